@@ -100,6 +100,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / PART_CHARS))
     bounds = sorted(set(rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    bounds = bounds or [0.0]
     splits = [-math.inf, *bounds, math.inf]
 
     def dealt(df: DataFrame) -> DataFrame:
