@@ -19,6 +19,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     """All columns of docs and the encoded sketch of a text column."""
 
     @F.pandas_udf("string")
-    def of(batches: Iterator) -> Iterator:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = Hashes()
         for s in batches:
             yield s.map(lambda x: encode(sketch(x, hashes)), na_action=None)
