@@ -35,6 +35,7 @@ from .common import PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions
 from .components import components
 
 BLOCK = 1024
+FILTER_BITS, FILTER_PARTS = 1 << 26, 64
 
 
 @dataclass(frozen=True)
@@ -198,17 +199,34 @@ def linked(members: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("group").applyInArrow(run, MEMBER)
 
 
-def full_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """class and full set, once a task for each class."""
+def class_filter(classes: DataFrame) -> bytes:
+    """A bitmap of FILTER_BITS bits (its size is fixed) with the bit of each class set; more classes only make it less choosy."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_BITS // FILTER_PARTS, np.uint8)
+        bits[t.column("bit").to_numpy() % len(bits)] = 1
+        return pa.table({"part": t.column("part")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    bit = F.shiftrightunsigned("class", 64 - FILTER_BITS.bit_length() + 1).alias("bit")
+    parts = classes.select(bit).withColumn("part", F.expr(f"bit div {FILTER_BITS // FILTER_PARTS}")).distinct()
+    found = {r["part"]: r["bits"] for r in parts.groupBy("part").applyInArrow(run, "part long, bits binary").collect()}
+    return b"".join(found.get(i, bytes(FILTER_BITS // FILTER_PARTS // 8)) for i in range(FILTER_PARTS))
+
+
+def full_sets(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
+    """class and full set of the classes named, and of a few more; once a task for each class."""
+    wanted = docs.sparkSession.sparkContext.broadcast(class_filter(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        hashes, seen, bits = Hashes(), set(), wanted.value
         for (texts,) in text_chunks(batches, ["text"]):
             new = {}
             for s in sets_of(texts, rule.width, hashes):
                 if len(s) and (c := class_of(s)) not in seen:
-                    seen.add(c)
-                    new[c] = s.tobytes()
+                    at = (c & (1 << 64) - 1) >> (64 - FILTER_BITS.bit_length() + 1)
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        seen.add(c)
+                        new[c] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["class", "full"])
 
     return docs.select("text").mapInArrow(run, "class long, full binary")
@@ -219,9 +237,9 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
     families = keep(components(star_edges(found, rule)), "families")
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block))
-    member = families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(sizes, "family")
+    member = keep(families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(sizes, "family"), "member")
     one = found.join(member.select("class"), "class", "left_semi").groupBy("class").agg(F.first("signature").alias("signature"))
-    full = full_sets(docs, rule).join(member.select("class"), "class", "left_semi").groupBy("class").agg(F.first("full").alias("full"))
+    full = full_sets(docs, rule, member.select("class")).join(member.select("class").hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("full").alias("full"))
     member = keep(member.join(one, "class").join(full, "class"), "members")
     many = member.where("blocks > 1")
 
