@@ -45,77 +45,73 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
-def line_keys(h: np.ndarray, n_words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of consecutive lines with word hashes h: (line, key, gap).
+def gaps_of(h: np.ndarray, n_words: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of consecutive lines with word hashes h: each line's key; and for the wanted lines (line, key, place) without each one word.
 
-    gap is 0 for a line as it is, else 1 and the position of the word left out.
-    Equal words have equal keys, left out or not.
+    Equal words have equal keys, whether a word was left out or not.
     """
     ends = np.cumsum(n_words)
     starts = ends - n_words
-    line = np.repeat(np.arange(len(n_words)), n_words)
     pos = np.arange(len(h)) - np.repeat(starts, n_words)
     # a polynomial hash: prefix sums give any line without one word at once
     term = h * powers(int(n_words.max(initial=1)))[pos]
     total = np.r_[U64(0), np.cumsum(term)]
     before, whole = total[starts], total[ends] - total[starts]
-    prefix = total[:-1] - np.repeat(before, n_words)
-    suffix = np.repeat(whole, n_words) - prefix - term
-    rest = prefix + suffix * U64(pow(int(BASE), -1, 2**64))
-    long = np.repeat(n_words >= least, n_words)
-    gaps = mix64(rest[long] ^ (np.repeat(n_words, n_words)[long] - 1).astype(U64))
     own = mix64(whole ^ n_words.astype(U64))
-    return np.concatenate([np.arange(len(n_words)), line[long]]), np.concatenate([own, gaps]), np.concatenate([np.zeros(len(own), np.uint32), (pos[long] + 1).astype(np.uint32)])
+    at = np.flatnonzero(np.repeat(wanted(own), n_words))
+    line = np.repeat(np.arange(len(n_words)), n_words)[at]
+    prefix = total[at] - before[line]
+    rest = prefix + (whole[line] - prefix - term[at]) * U64(pow(int(BASE), -1, 2**64))
+    return own, line, mix64(rest ^ (n_words[line] - 1).astype(U64)), (pos[at] + 1).astype(np.uint32)
 
 
 def split(text: str) -> list[str]:
     return text.split("\n")
 
 
+def five(key: np.ndarray) -> list[np.ndarray]:
+    """The low five bytes of keys, apart: enough, as partners are verified."""
+    rows = key.view(np.uint8).reshape(-1, 8)
+    return [rows[:, b].copy() for b in range(5)]
+
+
 def emit(docs: DataFrame, least: int) -> DataFrame:
-    """Keys of all lines, packed by shard. Within a chunk, equal lines emit once, as the earliest of them."""
-    n = partitions(docs.sparkSession) * 2
+    """Keys of all lines, packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
+    n = partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for texts, ids in text_chunks(batches, ["text", "doc_id"]):
             ws: list[bytes] = []
             doc, no, size = [], [], []
-            for text, i in zip(texts, ids):
-                for k, x in enumerate(split(text) if text else ()):
+            places = [LAST if i is None else i for i in ids]
+            for r in sorted(range(len(ids)), key=places.__getitem__):
+                for k, x in enumerate(split(texts[r]) if texts[r] else ()):
                     w = words(x)
                     if w:
                         ws += w
-                        doc.append(LAST if i is None else i)
+                        doc.append(places[r])
                         no.append(k)
                         size.append(len(w))
             if not size:
                 continue
-            n_words = np.array(size)
-            line, key, gap = line_keys(hashes.of(ws), n_words, least)
-            at = np.rec.fromarrays([np.array(doc, np.int64), np.array(no, np.int32)], names="doc,no")
-            order = np.lexsort((at.no, at.doc))
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order))
-            own = key[: len(n_words)]
-            _, same = np.unique(own[order], return_inverse=True)
-            first = np.zeros(len(order), bool)  # the earliest of equal lines in this chunk
-            first[order[np.unique(same, return_index=True)[1]]] = True
-            used = first[line] | (gap == 0)
-            line, key, gap = line[used], key[used], gap[used]
-            by = np.argsort(rank[line], kind="stable")
-            line, key, gap = line[by], key[by], gap[by]
-            shards, blobs = [], []
-            for s, i in by_shard(key % U64(n), n):
-                mine, inverse = np.unique(rank[line[i]], return_inverse=True)
-                src = order[mine]
-                low = (key[i] // U64(n)) & U64(2**40 - 1)
-                # sorted line numbers pack well as steps; five key bytes are enough, as partners are verified
-                steps = np.diff(np.r_[0, inverse]).astype(np.uint8)
-                five = low.view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
-                shards.append(s)
-                blobs.append(pack(at.doc[src], at.no[src], steps, gap[i], *[five[b::5] for b in range(5)]))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+            n_words, doc, no = np.array(size), np.array(doc, np.int64), np.array(no, np.int32)
+
+            def wanted(own: np.ndarray, n_words: np.ndarray = n_words) -> np.ndarray:
+                first = np.zeros(len(own), bool)
+                first[np.unique(own, return_index=True)[1]] = True
+                return first & (n_words >= least)
+
+            own, line, gaps, place = gaps_of(hashes.of(ws), n_words, wanted)
+            blobs: dict[int, list[np.ndarray]] = {}
+            for s, i in by_shard(own % U64(n), n):
+                blobs[s] = [np.diff(doc[i], prepend=0), no[i], *five(own[i] // U64(n))]
+            for s, i in by_shard(gaps % U64(n), n):
+                new = np.r_[True, line[i][1:] != line[i][:-1]]
+                src = line[i][new]
+                blobs.setdefault(s, [doc[:0], no[:0], *five(own[:0])])
+                blobs[s] += [np.diff(doc[src], prepend=0), no[src], new.astype(np.uint8), place[i], *five(gaps[i] // U64(n))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([pack(*x) for x in blobs.values()], pa.binary())], ["shard", "blob"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
@@ -127,31 +123,43 @@ def partners(packed: DataFrame) -> DataFrame:
     """For each line, a shard's earliest line that shares a key with it and comes before it."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, no, low, gap = [], [], [], []
-        for blob in t.column("blob").to_pylist():
-            d, k, steps, gaps, *five = unpack(blob)
-            line = np.cumsum(steps.astype(np.int64))
-            x = np.zeros((len(line), 8), np.uint8)
+        doc, no, row, low, gap = [], [], [], [], []
+        lines = 0
+
+        def add(d: np.ndarray, k: np.ndarray, of: np.ndarray, place: np.ndarray, key: list[np.ndarray]) -> int:
+            x = np.zeros((len(key[0]), 8), np.uint8)
             for b in range(5):
-                x[:, b] = five[b]
-            doc.append(d[line])
-            no.append(k[line])
-            low.append(x.reshape(-1).view(U64))
-            gap.append(gaps)
-        doc, no, low, gap = map(np.concatenate, (doc, no, low, gap))
-        order = np.argsort(low, kind="stable")
+                x[:, b] = key[b]
+            for to, v in ((doc, np.cumsum(d)), (no, k), (row, of + lines), (low, x.reshape(-1).view(U64)), (gap, place)):
+                to.append(v)
+            return len(d)
+
+        for blob in t.column("blob").to_pylist():
+            d, k, *rest = unpack(blob)
+            lines += add(d, k, np.arange(len(d)), np.zeros(len(d), np.uint32), rest[:5])
+            if len(rest) > 5:
+                d, k, new, place, *key = rest[5:]
+                lines += add(d, k, np.cumsum(new.astype(np.int64)) - 1, place, key)
+        doc, no, row, low, gap = map(np.concatenate, (doc, no, row, low, gap))
+        order = np.argsort(low)
         same = low[order][1:] == low[order][:-1]
-        shared = np.r_[same, False] | np.r_[False, same]  # most keys have one line
-        order = order[shared]
-        order = order[np.lexsort((no[order], doc[order], low[order]))]
-        doc, no, low, gap = doc[order], no[order], low[order], gap[order]
+        order = order[np.r_[same, False] | np.r_[False, same]]  # most keys have one line
+        row, low, gap = row[order], low[order], gap[order]
+        by = np.lexsort((no, doc))
+        new = np.r_[True, (doc[by][1:] != doc[by][:-1]) | (no[by][1:] != no[by][:-1])]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(new) - 1
+        doc, no = doc[by][new], no[by][new]  # by rank
+        row = rank[row]
+        order = np.lexsort((row, low))
+        row, low, gap = row[order], low[order], gap[order]
         here, n = np.arange(len(low)), len(low)
         found = []
 
         def meet(rows: np.ndarray, best: np.ndarray) -> None:
             rows, best = rows[best < n], best[best < n]
-            earlier = (doc[best] < doc[rows]) | ((doc[best] == doc[rows]) & (no[best] < no[rows]))
-            found.append((rows[earlier], best[earlier]))
+            src, dst = row[rows], row[best]
+            found.append((src * len(doc) + dst)[dst < src])
 
         def least_of(values: np.ndarray, new: np.ndarray) -> np.ndarray:
             starts = np.flatnonzero(new)
@@ -165,9 +173,8 @@ def partners(packed: DataFrame) -> DataFrame:
             by = np.lexsort((gap, low))  # stable: the earliest comes first
             new = np.r_[True, (low[by][1:] != low[by][:-1]) | (gap[by][1:] != gap[by][:-1])]
             meet(by, by[least_of(np.arange(n), new)])  # with another word in the same place
-        src, dst = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        rows = np.unique(np.stack([doc[src], no[src].astype(np.int64), doc[dst], no[dst].astype(np.int64)]), axis=1)
-        return pa.table({"doc": rows[0], "no": rows[1].astype(np.int32), "with_doc": rows[2], "with_no": rows[3].astype(np.int32)})
+        src, dst = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(1, len(doc)))
+        return pa.table({"doc": doc[src], "no": no[src], "with_doc": doc[dst], "with_no": no[dst]})
 
     return packed.groupBy("shard").applyInArrow(run, PARTNER)
 
@@ -184,7 +191,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, line number, and the earlier line's (with_doc, with_no), of every line that goes."""
-    found = keep(partners(emit(docs, least)), "partners")
+    found = keep(partners(emit(docs, least)).distinct(), "partners")
     wanted = found.select("doc", "no").union(found.select("with_doc", "with_no")).distinct()
     places = wanted.groupBy("doc").agg(F.collect_set("no").alias("numbers"))
     text = F.split("text", "\n")
