@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, lines, lm, minhash, packing, secrets
+from . import fingerprint, lines, lm, minhash, packing, quality, secrets
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.judged(quality.scores(docs, labels), 0.3)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Rule(width=4, percent=80))
 
@@ -38,6 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_secrets": op7_secrets,
     "op9_fingerprint": op9_fingerprint,
