@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, lines, lm, minhash, packing, quality, secrets
+from . import fingerprint, lines, lm, minhash, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Rule(width=4, percent=80))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.judged(toxicity.scores(docs, labels), 0.5)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.secrets(docs))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op9_fingerprint": op9_fingerprint,
     "op10_line_dedup": op10_line_dedup,
