@@ -69,10 +69,21 @@ def split(text: str) -> list[str]:
     return text.split("\n")
 
 
-def five(key: np.ndarray) -> list[np.ndarray]:
-    """The low five bytes of keys, apart: enough, as partners are verified."""
+def low_bytes(key: np.ndarray, n: int) -> list[np.ndarray]:
+    """The low n bytes of keys, apart."""
     rows = key.view(np.uint8).reshape(-1, 8)
-    return [rows[:, b].copy() for b in range(5)]
+    return [rows[:, b].copy() for b in range(n)]
+
+
+def from_bytes(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.zeros((len(parts[0]), 8), np.uint8)
+    for b, part in enumerate(parts):
+        x[:, b] = part
+    return x.reshape(-1).view(U64)
+
+
+#: Bytes of a key that travel (enough, as partners are verified), and of a line's own key beside its gaps.
+KEY_BYTES, OWN_BYTES = 5, 3
 
 
 def emit(docs: DataFrame, least: int) -> DataFrame:
@@ -105,12 +116,12 @@ def emit(docs: DataFrame, least: int) -> DataFrame:
             own, line, gaps, place = gaps_of(hashes.of(ws), n_words, wanted)
             blobs: dict[int, list[np.ndarray]] = {}
             for s, i in by_shard(own % U64(n), n):
-                blobs[s] = [np.diff(doc[i], prepend=0), no[i], *five(own[i] // U64(n))]
+                blobs[s] = [np.diff(doc[i], prepend=0), no[i], *low_bytes(own[i] // U64(n), KEY_BYTES)]
             for s, i in by_shard(gaps % U64(n), n):
                 new = np.r_[True, line[i][1:] != line[i][:-1]]
                 src = line[i][new]
-                blobs.setdefault(s, [doc[:0], no[:0], *five(own[:0])])
-                blobs[s] += [np.diff(doc[src], prepend=0), no[src], new.astype(np.uint8), place[i], *five(gaps[i] // U64(n))]
+                blobs.setdefault(s, [doc[:0], no[:0], *low_bytes(own[:0], KEY_BYTES)])
+                blobs[s] += [np.diff(doc[src], prepend=0), no[src], *low_bytes(own[src] // U64(n), OWN_BYTES), new.astype(np.uint8), place[i], *low_bytes(gaps[i] // U64(n), KEY_BYTES)]
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([pack(*x) for x in blobs.values()], pa.binary())], ["shard", "blob"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
@@ -123,56 +134,60 @@ def partners(packed: DataFrame) -> DataFrame:
     """For each line, a shard's earliest line that shares a key with it and comes before it."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, no, row, low, gap = [], [], [], [], []
+        doc, no, row, low, gap, text = [], [], [], [], [], []
         lines = 0
-
-        def add(d: np.ndarray, k: np.ndarray, of: np.ndarray, place: np.ndarray, key: list[np.ndarray]) -> int:
-            x = np.zeros((len(key[0]), 8), np.uint8)
-            for b in range(5):
-                x[:, b] = key[b]
-            for to, v in ((doc, np.cumsum(d)), (no, k), (row, of + lines), (low, x.reshape(-1).view(U64)), (gap, place)):
-                to.append(v)
-            return len(d)
-
         for blob in t.column("blob").to_pylist():
-            d, k, *rest = unpack(blob)
-            lines += add(d, k, np.arange(len(d)), np.zeros(len(d), np.uint32), rest[:5])
-            if len(rest) > 5:
-                d, k, new, place, *key = rest[5:]
-                lines += add(d, k, np.cumsum(new.astype(np.int64)) - 1, place, key)
-        doc, no, row, low, gap = map(np.concatenate, (doc, no, row, low, gap))
+            arrays = unpack(blob)
+            d, k, key, arrays = arrays[0], arrays[1], from_bytes(arrays[2 : 2 + KEY_BYTES]), arrays[2 + KEY_BYTES :]
+            parts = [(d, k, np.arange(len(d)), np.zeros(len(d), np.uint32), key, key & U64(256**OWN_BYTES - 1))]
+            if arrays:
+                d, k, own, (new, place), key = arrays[0], arrays[1], from_bytes(arrays[2 : 2 + OWN_BYTES]), arrays[2 + OWN_BYTES : 4 + OWN_BYTES], from_bytes(arrays[4 + OWN_BYTES :])
+                of = np.cumsum(new.astype(np.int64)) - 1
+                parts.append((d, k, of, place, key, own[of]))
+            for d, k, of, place, key, own in parts:
+                for to, v in ((doc, np.cumsum(d)), (no, k), (row, of + lines), (gap, place), (low, key), (text, own.astype(np.uint32))):
+                    to.append(v)
+                lines += len(d)
+        doc, no, row, low, gap, text = map(np.concatenate, (doc, no, row, low, gap, text))
         order = np.argsort(low)
         same = low[order][1:] == low[order][:-1]
         order = order[np.r_[same, False] | np.r_[False, same]]  # most keys have one line
-        row, low, gap = row[order], low[order], gap[order]
+        row, low, gap, text = row[order], low[order], gap[order], text[order]
         by = np.lexsort((no, doc))
         new = np.r_[True, (doc[by][1:] != doc[by][:-1]) | (no[by][1:] != no[by][:-1])]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new) - 1
         doc, no = doc[by][new], no[by][new]  # by rank
         row = rank[row]
-        order = np.lexsort((row, low))
-        row, low, gap = row[order], low[order], gap[order]
-        here, n = np.arange(len(low)), len(low)
         found = []
 
-        def meet(rows: np.ndarray, best: np.ndarray) -> None:
-            rows, best = rows[best < n], best[best < n]
-            src, dst = row[rows], row[best]
+        def meet(src: np.ndarray, dst: np.ndarray) -> None:
             found.append((src * len(doc) + dst)[dst < src])
 
-        def least_of(values: np.ndarray, new: np.ndarray) -> np.ndarray:
-            starts = np.flatnonzero(new)
-            return np.repeat(np.minimum.reduceat(values, starts), np.diff(np.r_[starts, len(values)]))
-
-        if n:
-            new = np.r_[True, low[1:] != low[:-1]]
-            whole = gap == 0
-            meet(here[whole], least_of(here, new)[whole])  # equal, or with a word more
-            meet(here[~whole], least_of(np.where(whole, here, n), new)[~whole])  # with a word less
-            by = np.lexsort((gap, low))  # stable: the earliest comes first
-            new = np.r_[True, (low[by][1:] != low[by][:-1]) | (gap[by][1:] != gap[by][:-1])]
-            meet(by, by[least_of(np.arange(n), new)])  # with another word in the same place
+        def firsts(*keys: np.ndarray) -> np.ndarray:
+            """For sorted rows, the place of the first with the same keys."""
+            new = np.any([np.r_[True, k[1:] != k[:-1]] for k in keys], axis=0)
+            return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+        if len(row):
+            order = np.lexsort((row, text, gap, low))
+            row, low, gap, text = row[order], low[order], gap[order], text[order]
+            first = firsts(low, gap, text)
+            equal = gap == 0
+            meet(row[equal], row[first[equal]])
+            # every chunk's first of equal lines is here, so the first of all is: the rest have gone with it
+            once = first == np.arange(len(row))
+            row, low, gap = row[once], low[once], gap[once]
+            order = np.lexsort((row, gap, low))
+            row, low, gap = row[order], low[order], gap[order]
+            meet(row, row[firsts(low, gap)])  # another word in the same place (or equal)
+            whole = np.where(gap == 0, row, len(doc))
+            starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+            sizes = np.diff(np.r_[starts, len(low)])
+            least_whole = np.repeat(np.minimum.reduceat(whole, starts), sizes)
+            meet(row[gap > 0], np.where(least_whole < len(doc), least_whole, len(doc) * 2)[gap > 0])  # a word less
+            gapped = np.repeat(np.minimum.reduceat(np.where(gap > 0, row, len(doc) * 2), starts), sizes)
+            meet(row[gap == 0], gapped[gap == 0])  # a word more
         src, dst = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(1, len(doc)))
         return pa.table({"doc": doc[src], "no": no[src], "with_doc": doc[dst], "with_no": no[dst]})
 
@@ -210,7 +225,7 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs with the lines that go taken out of text, and how many went in lines_removed."""
-    gone = duplicates(docs, least).groupBy("doc").agg(F.collect_set("no").alias("_gone"))
+    gone = keep(duplicates(docs, least), "gone").groupBy("doc").agg(F.collect_set("no").alias("_gone"))
     rows = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(int(LAST))))
     rows = rows.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
