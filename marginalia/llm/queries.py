@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, lines, lm, minhash, packing, quality, secrets, toxicity
+from . import fingerprint, lines, lm, minhash, packing, quality, secrets, toxicity, urls
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(docs))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_against_next(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
+    "op8_url_filters": op8_url_filters,
     "op9_fingerprint": op9_fingerprint,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filters": urls.oracle(),
+}
