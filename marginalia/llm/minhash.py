@@ -84,25 +84,26 @@ def signatures(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, class, signature (null without shingles)."""
+    """doc_id, text_hash, n_shingles, class, signature (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for texts, ids in text_chunks(batches, ["text", "doc_id"]):
+        for texts, ids, marks in text_chunks(batches, ["text", "doc_id", "text_hash"]):
             sets = sets_of(texts, rule.width, hashes)
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full, rule)) if full else iter(())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
+                    pa.array(marks, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "class", "signature"],
+                ["doc_id", "text_hash", "n_shingles", "class", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, signature binary")
 
 
 def star_edges(found: DataFrame, rule: Rule) -> DataFrame:
@@ -273,12 +274,12 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs."""
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of text) for each row of docs."""
     found = keep(sketches(docs, rule), "sketches")
     of = links(docs, found, rule, block)
-    rows = found.select("doc_id", "n_shingles", "class").join(of.withColumnRenamed("node", "class"), "class", "left")
+    rows = found.select("doc_id", "text_hash", "n_shingles", "class").join(of.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.withColumn("component", F.coalesce("component", "class"))
     some = rows.where("component is not null")
     ids = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(ids, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

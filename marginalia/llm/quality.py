@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -154,20 +155,29 @@ def fit(texts: list[str], labels: list[int], share: float) -> bytes:
     return out.getvalue()
 
 
-def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id and score (the probability of label 1) of every document."""
+def with_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, out: str = "score") -> DataFrame:
+    """All columns of docs and the probability of label 1."""
     rows, share = sample(docs, labels, label, per_class)
     model = docs.sparkSession.sparkContext.broadcast(fitted(rows, lambda texts, ys: fit(texts, ys, share)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = dict(np.load(io.BytesIO(model.value)))
         cache = Units()
-        for texts, ids in text_chunks(batches, ["text", "doc_id"], 2_000_000):
-            x = (pooled(*units(texts, cache), m["words"], m["shapes"]) - m["mean"]) / m["scale"]
-            z = forward(x, m)[1] / m["temperature"] + m["shift"]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())], ["doc_id", "score"])
+        for s in batches:
+            found = []
+            for (texts,) in text_chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), ["text"], 2_000_000):
+                x = (pooled(*units(texts, cache), m["words"], m["shapes"]) - m["mean"]) / m["scale"]
+                z = forward(x, m)[1] / m["temperature"] + m["shift"]
+                found.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    return docs.withColumn(out, of(F.coalesce("text", F.lit(""))))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
+    """doc_id and score of every document."""
+    return with_scores(docs.select("doc_id", "text"), labels, label, per_class).select("doc_id", "score")
 
 
 def judged(scored: DataFrame, least: float) -> DataFrame:
