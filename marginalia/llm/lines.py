@@ -88,7 +88,7 @@ KEY_BYTES, OWN_BYTES = 5, 3
 
 def emit(docs: DataFrame, least: int) -> DataFrame:
     """Keys of all lines, packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
-    n = partitions(docs.sparkSession)
+    n = 2 * partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -134,25 +134,37 @@ def partners(packed: DataFrame) -> DataFrame:
     """For each line, a shard's earliest line that shares a key with it and comes before it."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, no, row, low, gap, text = [], [], [], [], [], []
-        lines = 0
+        doc, no, parts = [], [], []
         for blob in t.column("blob").to_pylist():
             arrays = unpack(blob)
-            d, k, key, arrays = arrays[0], arrays[1], from_bytes(arrays[2 : 2 + KEY_BYTES]), arrays[2 + KEY_BYTES :]
-            parts = [(d, k, np.arange(len(d)), np.zeros(len(d), np.uint32), key, key & U64(256**OWN_BYTES - 1))]
-            if arrays:
-                d, k, own, (new, place), key = arrays[0], arrays[1], from_bytes(arrays[2 : 2 + OWN_BYTES]), arrays[2 + OWN_BYTES : 4 + OWN_BYTES], from_bytes(arrays[4 + OWN_BYTES :])
-                of = np.cumsum(new.astype(np.int64)) - 1
-                parts.append((d, k, of, place, key, own[of]))
-            for d, k, of, place, key, own in parts:
-                for to, v in ((doc, np.cumsum(d)), (no, k), (row, of + lines), (gap, place), (low, key), (text, own.astype(np.uint32))):
-                    to.append(v)
-                lines += len(d)
-        doc, no, row, low, gap, text = map(np.concatenate, (doc, no, row, low, gap, text))
+            key = from_bytes(arrays[2 : 2 + KEY_BYTES])
+            parts.append((key, None, None, key))
+            doc.append(np.cumsum(arrays[0]))
+            no.append(arrays[1])
+            if arrays := arrays[2 + KEY_BYTES :]:
+                own, (new, place), key = from_bytes(arrays[2 : 2 + OWN_BYTES]), arrays[2 + OWN_BYTES : 4 + OWN_BYTES], from_bytes(arrays[4 + OWN_BYTES :])
+                parts.append((key, np.cumsum(new, dtype=np.int32) - 1, place, own))
+                doc.append(np.cumsum(arrays[0]))
+                no.append(arrays[1])
+        low = np.concatenate([x[0] for x in parts])
         order = np.argsort(low)
         same = low[order][1:] == low[order][:-1]
-        order = order[np.r_[same, False] | np.r_[False, same]]  # most keys have one line
-        row, low, gap, text = row[order], low[order], gap[order], text[order]
+        shared = np.zeros(len(low), bool)  # most keys have one line, and the rest is built for the others only
+        shared[order[np.r_[same, False] | np.r_[False, same]]] = True
+        del order, same
+        low = low[shared]
+        row, gap, text = [], [], []
+        at = lines = 0
+        for (key, of, place, own), d in zip(parts, doc):
+            here = np.flatnonzero(shared[at : at + len(key)])
+            line = here if of is None else of[here].astype(np.int64)
+            row.append(line + lines)
+            gap.append(np.zeros(len(here), np.uint32) if place is None else place[here])
+            text.append((own[line] & U64(256**OWN_BYTES - 1)).astype(np.uint32))
+            at += len(key)
+            lines += len(d)
+        del parts, shared
+        doc, no, row, gap, text = map(np.concatenate, (doc, no, row, gap, text))
         by = np.lexsort((no, doc))
         new = np.r_[True, (doc[by][1:] != doc[by][:-1]) | (no[by][1:] != no[by][:-1])]
         rank = np.empty(len(by), np.int64)
