@@ -34,11 +34,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it as a table in the shared folder and read that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    release(spark)  # what earlier steps shuffled; this step's plan is still held by the caller
     df.write.parquet(path)
-    del df  # the caller's plan goes with this frame's name for it, unless the caller holds on to it
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions, text_chunks, unpack, words
+from .common import MIX, PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions, release, text_chunks, unpack, words
 
 #: Fewest words of a line that may lose or change one; shorter lines must be equal.
 LEAST_WORDS = 8
@@ -237,7 +237,9 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs with the lines that go taken out of text, and how many went in lines_removed."""
-    gone = keep(duplicates(docs, least), "gone").groupBy("doc").agg(F.collect_set("no").alias("_gone"))
+    found = keep(duplicates(docs, least), "gone")
+    release(docs.sparkSession)
+    gone = found.groupBy("doc").agg(F.collect_set("no").alias("_gone"))
     rows = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(int(LAST))))
     rows = rows.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
