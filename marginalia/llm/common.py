@@ -18,7 +18,12 @@ U64 = np.uint64
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
+#: Rows of an Arrow batch: documents are long, and a batch is held whole on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,20 +76,27 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, ws), U64, len(ws))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], cols: list[str], most: int = 4_000_000) -> Iterator[list[list]]:
-    """Rows of Arrow batches as one list a column, in chunks of about `most` characters of the first column."""
+def text_chunks(batches: Iterator[pa.RecordBatch], cols: list[str], most: int = 2_000_000) -> Iterator[list[list]]:
+    """Rows of Arrow batches as one list a column, in chunks of about `most` bytes of the first column, in order."""
+    held: list[list] = [[] for _ in cols]
+    size = 0
     for batch in batches:
         rows = batch.num_rows
-        if not rows:
-            continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(cols[0])), 0).to_numpy(zero_copy_only=False)
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(cols[0]))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths.astype(np.int64))
         start, base = 0, 0
         while start < rows:
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+            stop = min(rows, int(np.searchsorted(ends, base + most - size, "left")) + 1)
             part = batch.slice(start, stop - start)
-            yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in cols]
+            for to, c in zip(held, cols):
+                to.extend(part.column(part.schema.get_field_index(c)).to_pylist())
+            size += int(ends[stop - 1]) - base
             start, base = stop, int(ends[stop - 1])
+            if size >= most:
+                yield held
+                held, size = [[] for _ in cols], 0
+    if held[0]:
+        yield held
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

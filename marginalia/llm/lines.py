@@ -35,6 +35,7 @@ from .common import MIX, PACKED, U64, Hashes, by_shard, keep, mix64, pack, parti
 
 #: Fewest words of a line that may lose or change one; shorter lines must be equal.
 LEAST_WORDS = 8
+CHUNK = 3_000_000
 LAST = np.iinfo(np.int64).max  # a null doc_id's place
 BASE = U64(MIX[0])
 
@@ -92,7 +93,7 @@ def emit(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for texts, ids in text_chunks(batches, ["text", "doc_id"]):
+        for texts, ids in text_chunks(batches, ["text", "doc_id"], CHUNK):
             ws: list[bytes] = []
             doc, no, size = [], [], []
             places = [LAST if i is None else i for i in ids]

@@ -166,7 +166,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
         cache = Units()
         for s in batches:
             found = []
-            for (texts,) in text_chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), ["text"], 2_000_000):
+            for (texts,) in text_chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), ["text"], 1_000_000):
                 x = (pooled(*units(texts, cache), m["words"], m["shapes"]) - m["mean"]) / m["scale"]
                 z = forward(x, m)[1] / m["temperature"] + m["shift"]
                 found.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
