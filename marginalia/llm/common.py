@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,15 +40,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it as a table in the shared folder and read that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    release(spark)  # what earlier steps shuffled; this step's plan is still held by the caller
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of plans that are no longer referred to, rather than when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of plans that nothing refers to any more, rather than when the driver next collects garbage.
+
+    Python tells the JVM of dropped plans a moment later, hence two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions, release, text_chunks, unpack, words
+from .common import MIX, PACKED, U64, Hashes, by_shard, free, keep, mix64, pack, partitions, release, text_chunks, unpack, words
 
 #: Fewest words of a line that may lose or change one; shorter lines must be equal.
 LEAST_WORDS = 8
@@ -220,6 +220,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, line number, and the earlier line's (with_doc, with_no), of every line that goes."""
     found = keep(partners(emit(docs, least)).distinct(), "partners")
+    release(docs.sparkSession)
     wanted = found.select("doc", "no").union(found.select("with_doc", "with_no")).distinct()
     places = wanted.groupBy("doc").agg(F.collect_set("no").alias("numbers"))
     text = F.split("text", "\n")
@@ -236,12 +237,13 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return pairs.where(verified("line", "with_line")).groupBy("doc", "no").agg(F.min(F.struct("with_doc", "with_no")).alias("w")).select("doc", "no", "w.with_doc", "w.with_no")
 
 
-def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """docs with the lines that go taken out of text, and how many went in lines_removed."""
+def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS, out: str = "lines_removed") -> DataFrame:
+    """docs with the lines that go taken out of text, and how many went in column `out`."""
     found = keep(duplicates(docs, least), "gone")
     release(docs.sparkSession)
-    gone = found.groupBy("doc").agg(F.collect_set("no").alias("_gone"))
-    rows = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(int(LAST))))
-    rows = rows.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).withColumn("lines_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_gone")
+    gone, place = free(docs, "_gone"), free(docs, "_place")
+    numbers = found.groupBy(F.col("doc").alias(place)).agg(F.collect_set("no").alias(gone))
+    rows = docs.withColumn(place, F.coalesce("doc_id", F.lit(int(LAST)))).join(numbers, place, "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).withColumn(out, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    return rows.drop(gone, place)
