@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, lines, minhash, packing, quality
-from marginalia.llm.common import keep, table
+from marginalia.llm.common import free, keep, table
 
 LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives less than LEAST_QUALITY go."""
-    scored = quality.with_scores(docs, table(spark, sf_dir, "labels"), out="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = free(docs, "_score")
+    scored = quality.with_scores(docs, table(spark, sf_dir, "labels"), out=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one repeats, or all but repeats, go; so do documents of which nothing is left."""
-    found = lines.dedupe_lines(docs)
-    return found.where((F.col("lines_removed") == 0) | (F.trim("text") != "")).drop("lines_removed")
+    removed = free(docs, "_removed")
+    found = lines.dedupe_lines(docs, out=removed)
+    return found.where((F.col(removed) == 0) | (F.trim("text") != "")).drop(removed)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,9 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks")
-    return found.where(F.size("_leaks") == 0).drop("_leaks")
+    leaks = free(docs, "_leaks")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), out=leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
