@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, PACKED, U64, Hashes, by_shard, free, keep, mix64, pack, partitions, release, text_chunks, unpack, words
+from .common import MIX, PACKED, U64, by_shard, free, keep, mix64, pack, partitions, release, text_chunks, unpack, words
 
 #: Fewest words of a line that may lose or change one; shorter lines must be equal.
 LEAST_WORDS = 8
@@ -66,8 +66,34 @@ def gaps_of(h: np.ndarray, n_words: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return own, line, mix64(rest ^ (n_words[line] - 1).astype(U64)), (pos[at] + 1).astype(np.uint32)
 
 
-def split(text: str) -> list[str]:
-    return text.split("\n")
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of texts' lines laid end to end; and of each line with words its words, text and number.
+
+    The words are those of `words`; their hashes are polynomials of their bytes,
+    summed for all words at once.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    a = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    space = SPACE[a]
+    start = ~space & np.r_[True, space[:-1]]
+    at = np.flatnonzero(~space)
+    starts = np.flatnonzero(start)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none.astype(U64), none, none, none
+    first = np.searchsorted(at, starts)
+    length = np.diff(np.r_[first, len(at)])
+    place = at - np.repeat(starts, length)
+    h = mix64(np.add.reduceat((a[at] + U64(1)) * powers(int(length.max()))[place], first))
+    newline = a == 10
+    line, n_words = np.unique(np.cumsum(newline)[starts], return_counts=True)
+    lines = np.array([r.count(b"\n") + 1 for r in raw])
+    before = np.cumsum(lines) - lines
+    text = np.searchsorted(before, line, "right") - 1
+    return h, n_words, text, line - before[text]
 
 
 def low_bytes(key: np.ndarray, n: int) -> list[np.ndarray]:
@@ -92,29 +118,20 @@ def emit(docs: DataFrame, least: int) -> DataFrame:
     n = 2 * partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for texts, ids in text_chunks(batches, ["text", "doc_id"], CHUNK):
-            ws: list[bytes] = []
-            doc, no, size = [], [], []
-            places = [LAST if i is None else i for i in ids]
-            for r in sorted(range(len(ids)), key=places.__getitem__):
-                for k, x in enumerate(split(texts[r]) if texts[r] else ()):
-                    w = words(x)
-                    if w:
-                        ws += w
-                        doc.append(places[r])
-                        no.append(k)
-                        size.append(len(w))
-            if not size:
+            places = np.array([LAST if i is None else i for i in ids], np.int64)
+            order = np.argsort(places, kind="stable")
+            h, n_words, text, no = hashed([texts[r] for r in order.tolist()])
+            if not len(h):
                 continue
-            n_words, doc, no = np.array(size), np.array(doc, np.int64), np.array(no, np.int32)
+            doc, no = places[order][text], no.astype(np.int32)
 
             def wanted(own: np.ndarray, n_words: np.ndarray = n_words) -> np.ndarray:
                 first = np.zeros(len(own), bool)
                 first[np.unique(own, return_index=True)[1]] = True
                 return first & (n_words >= least)
 
-            own, line, gaps, place = gaps_of(hashes.of(ws), n_words, wanted)
+            own, line, gaps, place = gaps_of(h, n_words, wanted)
             blobs: dict[int, list[np.ndarray]] = {}
             for s, i in by_shard(own % U64(n), n):
                 blobs[s] = [np.diff(doc[i], prepend=0), no[i], *low_bytes(own[i] // U64(n), KEY_BYTES)]
