@@ -14,22 +14,50 @@ from pyspark.sql import functions as F
 NEAR, UNIT, WIDOW = 64, 7, 2
 
 
+def many_keys(rows: DataFrame, key: str):
+    """Rows grouped so that a call gets many whole keys: a call for each small key would cost more than its fold."""
+    spread = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(spread))).groupBy("_group")
+
+
 def reading_lines(parts: DataFrame, page: str = "page") -> DataFrame:
     """Parts (page, part, x, y, width, height) with their line: top to bottom, then left to right; a part joins the last
     line when it overlaps the union of that line's boxes in height, or is within NEAR of it."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x", "part"], ascending=[False, True, True])
-        out, line, low, high = [], 0, None, None
-        for y, h in zip(rows["y"], rows["height"]):
-            if low is not None and (min(high, y + h) - max(low, y) > 0 or max(low, y) - min(high, y + h) <= NEAR):
+        rows = rows.sort_values([page, "y", "x", "part"], ascending=[True, False, True, True])
+        out, last, line, low, high = [], None, 0, 0, 0
+        for p, y, h in zip(rows[page].tolist(), rows["y"].tolist(), rows["height"].tolist()):
+            if p != last:
+                last, line, low, high = p, 1, y, y + h
+            elif min(high, y + h) - max(low, y) > 0 or max(low, y) - min(high, y + h) <= NEAR:
                 low, high = min(low, y), max(high, y + h)
             else:
                 line, low, high = line + 1, y, y + h
             out.append(line)
         return rows[[page, "part"]].assign(line=out)
 
-    return parts.select(page, "part", "x", "y", "width", "height").groupBy(page).applyInPandas(fold, f"{page} long, part long, line long")
+    return many_keys(parts.select(page, "part", "x", "y", "width", "height"), page).applyInPandas(fold, f"{page} long, part long, line long")
+
+
+def reading_blocks(lines: DataFrame, page: str = "page") -> DataFrame:
+    """Lines (page, line, x, y, width, height) with their block: top to bottom, a line joins the last block when the gap to
+    the union of its boxes is at most twice the larger height and their left edges at most four times it apart."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([page, "y", "x", "line"], ascending=[True, False, True, True])
+        out, last, block, left, low, high = [], None, 0, 0, 0, 0
+        for p, x, y, h in zip(*(rows[c].tolist() for c in (page, "x", "y", "height"))):
+            tall = max(h, high - low)
+            if p == last and max(0, low - (y + h)) <= 2 * tall and abs(x - left) <= 4 * tall:
+                left, low, high = min(left, x), min(low, y), max(high, y + h)
+            else:
+                block = 1 if p != last else block + 1
+                last, left, low, high = p, x, y, y + h
+            out.append(block)
+        return rows[[page, "line"]].assign(block=out)
+
+    return many_keys(lines.select(page, "line", "x", "y", "width", "height"), page).applyInPandas(fold, f"{page} long, line long, block long")
 
 
 def ambiguous_columns(parts: DataFrame, page: str = "page", page_width: int = 640) -> DataFrame:
@@ -67,17 +95,14 @@ def paginate(blocks: DataFrame, capacity: int, doc: str = "doc_id") -> DataFrame
     what follows; a page break ends the page.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        key, out, page, used = rows[doc].iloc[0], [], 1, 0
-        items = list(rows[["ordinal", "kind", "lines"]].itertuples(index=False))
+    def one(key: int, items: list[tuple]) -> list[tuple]:
+        out, page, used = [], 1, 0
         for i, (o, kind, n) in enumerate(items):
-            n = int(n)
             if kind == "pageBreak":
                 out.append((key, o, page, 0, 0))
                 page, used = page + 1, 0
                 continue
-            follows = min(int(items[i + 1][2]), WIDOW) if kind == "heading" and i + 1 < len(items) and items[i + 1][1] != "pageBreak" else 0
+            follows = min(items[i + 1][2], WIDOW) if kind == "heading" and i + 1 < len(items) and items[i + 1][1] != "pageBreak" else 0
             if kind == "heading" and used and used + n + follows > capacity:
                 page, used = page + 1, 0
             at = 0
@@ -96,9 +121,17 @@ def paginate(blocks: DataFrame, capacity: int, doc: str = "doc_id") -> DataFrame
                     at, used = at + take, used + take
                 if at < n:
                     page, used = page + 1, 0
-        return pd.DataFrame(out, columns=[doc, "ordinal", "page", "first_line", "last_line"])
+        return out
 
-    return blocks.select(doc, "ordinal", "kind", "lines").groupBy(doc).applyInPandas(fold, f"{doc} long, ordinal long, page long, first_line long, last_line long")
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([doc, "ordinal"])
+        items: dict[int, list[tuple]] = {}
+        for key, *item in zip(*(rows[c].tolist() for c in (doc, "ordinal", "kind", "lines"))):
+            items.setdefault(key, []).append(tuple(item))
+        return pd.DataFrame([r for key, x in items.items() for r in one(key, x)], columns=[doc, "ordinal", "page", "first_line", "last_line"])
+
+    schema = f"{doc} long, ordinal long, page long, first_line long, last_line long"
+    return many_keys(blocks.select(doc, "ordinal", "kind", "lines"), doc).applyInPandas(fold, schema)
 
 
 def bands(pages: DataFrame, sections: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import many_keys
+
 # A checkpoint is due after so many records or bytes.
 CHECKPOINT_RECORDS, CHECKPOINT_BYTES = 100, 4 * 1024 * 1024
 
@@ -71,8 +73,10 @@ def undo_redo(log: DataFrame, doc: str, order: str, kind: str, command: str) ->
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        stack, cursor, ignored = [], 0, 0
-        for k, c in rows.sort_values(order)[[kind, command]].itertuples(index=False):
+        rows = rows.sort_values([doc, order])
+        ends: dict[int, tuple[list, int, int]] = {}
+        for d, k, c in zip(*(rows[x].tolist() for x in (doc, kind, command))):
+            stack, cursor, ignored = ends.get(d, ([], 0, 0))
             if k == "undo":
                 cursor, ignored = (cursor - 1, ignored) if cursor else (0, ignored + 1)
             elif k == "redo":
@@ -80,10 +84,11 @@ def undo_redo(log: DataFrame, doc: str, order: str, kind: str, command: str) ->
             else:
                 stack[cursor:] = [c]
                 cursor += 1
-        return pd.DataFrame({doc: [rows[doc].iloc[0]], "applied": [cursor], "redoable": [len(stack) - cursor], "ignored": [ignored], "top": [stack[cursor - 1] if cursor else None]})
+            ends[d] = stack, cursor, ignored
+        out = [(d, n, len(stack) - n, ignored, stack[n - 1] if n else None) for d, (stack, n, ignored) in ends.items()]
+        return pd.DataFrame(out, columns=[doc, "applied", "redoable", "ignored", "top"]).astype({"top": "Int64"})
 
-    kept = log.select(doc, order, kind, command)
-    return kept.groupBy(doc).applyInPandas(fold, f"{doc} long, applied long, redoable long, ignored long, top long")
+    return many_keys(log.select(doc, order, kind, command), doc).applyInPandas(fold, f"{doc} long, applied long, redoable long, ignored long, top long")
 
 
 def stale(results: DataFrame, heads: DataFrame, doc: str, version: list[str]) -> DataFrame:

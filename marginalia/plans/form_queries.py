@@ -99,6 +99,12 @@ def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_lines(parts_of(spark, sf_dir))
 
 
+@query()
+def reading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of lines; a fold over growing boxes, held against a plain walk in the tests."""
+    return layout.reading_blocks(parts_of(spark, sf_dir).withColumnRenamed("part", "line"))
+
+
 @query(f"WITH p AS ({PARTS}), n AS (SELECT page FROM p GROUP BY page HAVING count(*) >= 4) SELECT DISTINCT a.page FROM p a JOIN p b ON a.page = b.page AND a.y < b.y + b.height AND b.y < a.y + a.height AND b.x - (a.x + a.width) > 160 JOIN n ON n.page = a.page")
 def ambiguous_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.ambiguous_columns(parts_of(spark, sf_dir))

@@ -102,6 +102,26 @@ def test_pagination_rules(spark):
             assert at[key[0], key[1] + 1][0][0] == pieces[-1][0]
 
 
+def test_reading_blocks(spark):
+    rng = random.Random(3)
+    rows = [(p, i, rng.randrange(300), rng.randrange(2000), 50, rng.randrange(10, 40)) for p in range(5) for i in range(30)]
+    want = {}
+    for p in range(5):
+        boxes: list[list[int]] = []
+        for _, i, x, y, _, h in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[3], r[2], r[1])):
+            if boxes:
+                left, low, high = boxes[-1]
+                tall = max(h, high - low)
+                if max(0, low - y - h) <= 2 * tall and abs(x - left) <= 4 * tall:
+                    boxes[-1] = [min(left, x), min(low, y), max(high, y + h)]
+                    want[p, i] = len(boxes)
+                    continue
+            boxes.append([x, y, y + h])
+            want[p, i] = len(boxes)
+    df = spark.createDataFrame(rows, "page long, line long, x long, y long, width long, height long")
+    assert {(r["page"], r["line"]): r["block"] for r in layout.reading_blocks(df).collect()} == want
+
+
 def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 
