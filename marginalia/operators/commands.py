@@ -142,3 +142,49 @@ def map_offset(offset: Column, affinity: Column, start: Column, removed: Column,
     end = start + removed
     at_insertion = F.when(affinity == "forward", offset + inserted).otherwise(offset)
     return F.when(offset < start, offset).when((removed == 0) & (offset == start), at_insertion).when(offset == start, offset).when(offset >= end, offset - removed + inserted)
+
+
+# --- tables: cells (table_id, row, column, text) ------------------------------
+
+AXES = ("row", "column")
+
+
+def insert_line(cells: DataFrame, commands: DataFrame, axis: str) -> DataFrame:
+    """commands: table_id, after. An empty row (or column) after that one; a table at its limit is unchanged."""
+    other = AXES[1 - AXES.index(axis)]
+    size = cells.groupBy("table_id").agg((F.max("row") + 1).alias("_r"), (F.max("column") + 1).alias("_c"))
+    more = (F.col("_r") + int(axis == "row"), F.col("_c") + int(axis == "column"))
+    fits = (more[0] <= ROWS) & (more[1] <= COLUMNS) & (more[0] * more[1] <= CELLS)
+    wanted = commands.join(size, "table_id").where(fits & F.col("after").between(0, F.col("_r" if axis == "row" else "_c") - 1)).select("table_id", "after")
+    rows = cells.join(wanted, "table_id", "left")
+    moved = rows.withColumn(axis, F.when(F.col(axis) > F.col("after"), F.col(axis) + 1).otherwise(F.col(axis))).select(cells.columns)
+    new = rows.where(F.col(axis) == F.col("after")).select("table_id", (F.col(axis) + 1).alias(axis), other, F.lit("").alias("text"))
+    return moved.unionByName(new)
+
+
+def remove_line(cells: DataFrame, commands: DataFrame, axis: str) -> DataFrame:
+    """commands: table_id, at. A row (or column) goes and the others close up; the last one stays."""
+    size = cells.groupBy("table_id").agg((F.max(axis) + 1).alias("_n"))
+    rows = cells.join(commands.join(size.where("_n > 1"), "table_id").select("table_id", "at"), "table_id", "left")
+    left = rows.where(F.col("at").isNull() | (F.col(axis) != F.col("at")))
+    return left.withColumn(axis, F.when(F.col(axis) > F.col("at"), F.col(axis) - 1).otherwise(F.col(axis))).select(cells.columns)
+
+
+# --- lists: blocks with depth (0: not in a list) --------------------------------
+
+DEEPEST = 8
+
+
+def indent(items: DataFrame, commands: DataFrame, by: int) -> DataFrame:
+    """commands: doc_id, at. An item goes under the item before it (by = 1: one deeper than that at most, and DEEPEST), or after its parent (by = -1: out of the list at 0). Its descendants go along."""
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    rows = items.join(commands, "doc_id", "left").withColumn("_before", F.lag("depth").over(w))
+    start = F.max(F.when(F.col("ordinal") == F.col("at"), F.struct("depth", "_before"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("_s", start)
+    # descendants: the items after it until one that is no deeper
+    ends = F.min(F.when((F.col("ordinal") > F.col("at")) & (F.col("depth") <= F.col("_s.depth")), F.col("ordinal"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("_end", ends)
+    inside = (F.col("ordinal") >= F.col("at")) & (F.col("_end").isNull() | (F.col("ordinal") < F.col("_end")))
+    top = F.max(F.when(inside, F.col("depth"))).over(Window.partitionBy("doc_id"))
+    ok = (F.col("_s.depth") > 0) & ((F.lit(by) < 0) | ((F.col("_s._before") >= F.col("_s.depth")) & (top + by <= DEEPEST)))
+    return rows.withColumn("_ok", ok).withColumn("depth", F.when(inside & F.col("_ok"), F.col("depth") + by).otherwise(F.col("depth"))).select(items.columns)
