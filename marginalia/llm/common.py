@@ -164,9 +164,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def by_shard(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of each shard, in their order."""
+    """The rows of each shard that has any, in their order."""
     order = np.argsort(shard.astype(np.uint16 if n < 65536 else np.uint32), kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(n + 1))
-    for s in range(n):
-        if bounds[s] < bounds[s + 1]:
-            yield s, order[bounds[s] : bounds[s + 1]]
+    dealt = shard[order]
+    starts = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]]) if len(dealt) else np.zeros(0, np.int64)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(dealt)]):
+        yield int(dealt[lo]), order[lo:hi]

@@ -32,6 +32,8 @@ K = 128
 BITS = 48
 #: Characters of text that one part of the ordered pass holds, about.
 PART_CHARS = 8_000_000
+#: Parts at most, since the driver holds a bound for each; beyond it they grow, and Spark sorts and streams them from disk.
+MOST_PARTS = 20_000
 
 
 def sketch(text: str | None, hashes: Hashes, k: int = K, width: int = WORDS) -> np.ndarray:
@@ -99,7 +101,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    n = max(1, math.ceil(total / PART_CHARS))
+    n = min(MOST_PARTS, max(1, math.ceil(total / PART_CHARS)))
     bounds = sorted(set(rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     bounds = bounds or [0.0]
     splits = [-math.inf, *bounds, math.inf]
