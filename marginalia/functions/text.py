@@ -41,17 +41,6 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1))
 
 
-def grapheme_spans(text: Column) -> Column:
-    """(start, end) of each cluster in UTF-16 units."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(done: Column, g: Column) -> Column:
-        begin = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0).cast("long"))
-        return F.concat(done, F.array(F.struct(begin.alias("start"), (begin + utf16_length(g)).alias("end"))))
-
-    return F.aggregate(graphemes(text), empty, step)
-
-
 def find_all(text: Column, query: str) -> Column:
     """UTF-16 starts, in the lower-cased text, of a query's matches from left to right without overlap."""
     q = query.strip().lower()

@@ -130,13 +130,13 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'undecided' WHEN quality = 0 THEN 'rejected' ELSE 'accepted' END AS decision, CASE WHEN quality = 0 THEN '' ELSE left(text, 20) END AS text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'undecided' WHEN quality = 0 THEN 'rejected' ELSE 'accepted' END AS decision, CASE WHEN quality = 0 THEN '' ELSE text END AS text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 )
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions applied to the blocks that need one."""
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
     said = F.when(F.col("known").isNull(), "undecided").when(F.col("quality") == 0, "rejected").otherwise("accepted")
-    return rows.select("doc_id", said.alias("decision"), F.when(F.col("quality") == 0, "").otherwise(F.substring("text", 1, 20)).alias("text"))
+    return rows.select("doc_id", said.alias("decision"), F.when(F.col("quality") == 0, "").otherwise(F.col("text")).alias("text"))
 
 
 @query(

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..registry import query, read
 from ..sources import documents
 
-SHORT = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 12)"
+LETTERS = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 
 def raw_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of four versions and some that are broken."""
     d = F.col("doc_id")
-    t = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 12)
+    t = F.regexp_replace("text", "[^A-Za-z ]", "")
     head = lambda v: F.concat(F.lit(f'{{"schemaVersion":{v},"documentId":"d'), d.cast("string"), F.lit('",'))
     block = lambda style, body: F.concat(F.lit('"content":[{"id":"n","kind":"paragraph",' + style), body, F.lit("}]}"))
     plain = F.concat(F.lit('"text":"'), t, F.lit('"'))
@@ -40,7 +40,7 @@ def scan_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 SELECT doc_id, (3 - doc_id % 8)::INT AS hops, '{{"schemaVersion":3,"documentId":"d' || doc_id || '","sections":' || CASE WHEN doc_id % 8 = 3 THEN '[]' ELSE '[{{"id":"d' || doc_id || '-s0","startNodeId":null}}]' END
-|| ',"content":[{{"id":"n","kind":"paragraph","styleId":"body","runs":' || CASE WHEN doc_id % 8 < 2 AND {SHORT} = '' THEN '[]' ELSE '[{{"text":"' || {SHORT} || '","bold":' || CASE WHEN doc_id % 8 < 2 THEN 'false' ELSE 'true' END || '}}]' END || '}}]}}' AS canonical FROM documents WHERE doc_id % 8 < 4"""
+|| ',"content":[{{"id":"n","kind":"paragraph","styleId":"body","runs":' || CASE WHEN doc_id % 8 < 2 AND {LETTERS} = '' THEN '[]' ELSE '[{{"text":"' || {LETTERS} || '","bold":' || CASE WHEN doc_id % 8 < 2 THEN 'false' ELSE 'true' END || '}}]' END || '}}]}}' AS canonical FROM documents WHERE doc_id % 8 < 4"""
 )
 def migration_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions 0 to 3 at the current one; those with an unknown field are refused."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -39,15 +39,16 @@ def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH b AS (SELECT doc_id, left(text, 40) AS t FROM documents),
-g AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM b)
-SELECT doc_id, (i - 1)::BIGINT AS utf16_start, i::BIGINT AS utf16_end, octet_length(encode(left(t, i)))::BIGINT AS utf8_end FROM g"""
+WITH g AS (SELECT conv_id, turn, role, text, unnest(range(1, length(text) + 1)) AS i FROM conversations)
+SELECT conv_id, turn, role, (i - 1)::BIGINT AS utf16_start, i::BIGINT AS utf16_end, sum(octet_length(encode(substr(text, i, 1)))) OVER (PARTITION BY conv_id, turn, role, text ORDER BY i)::BIGINT AS utf8_end FROM g"""
 )
 def grapheme_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster spans of each document's title: its first 40 code points, which is what a title shows."""
-    title = F.substring("text", 1, 40)
-    rows = read(spark, sf_dir, "documents").select("doc_id", title.alias("t")).select("doc_id", "t", F.explode(text.grapheme_spans(F.col("t"))).alias("s"))
-    return rows.select("doc_id", F.col("s.start").alias("utf16_start"), F.col("s.end").alias("utf16_end"), text.utf16_to_bytes(F.col("t"), F.col("s.end")).alias("utf8_end"))
+    """Spans of the clusters of every turn, in UTF-16 units and bytes: sums of what stands before, in linear time."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.posexplode(text.graphemes(F.col("text"))).alias("i", "g"))
+    w = Window.partitionBy("conv_id", "turn", "role", "text").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    units = text.utf16_length(F.col("g"))
+    end = F.sum(units).over(w)
+    return rows.select("conv_id", "turn", "role", (end - units).alias("utf16_start"), end.alias("utf16_end"), F.sum(text.utf8_length(F.col("g"))).over(w).alias("utf8_end"))
 
 
 @query(
@@ -59,8 +60,6 @@ SELECT doc_id, start::BIGINT AS start, (start + length(run))::BIGINT AS stop FRO
 )
 def word_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(start, stop) in code points of maximal runs of letters."""
-    from pyspark.sql import Window
-
     runs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.runs(F.col("text"))).alias("i", "run"))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).cast("long")
@@ -146,15 +145,15 @@ def fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT doc_id, sha256(text) AS text_sha256, upper(hex(encode(left(text, 8)))) AS head_hex,
+SELECT doc_id, sha256(text) AS text_sha256, upper(hex(encode(text))) AS text_hex,
 (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha256('node|' || source || '|' || doc_id::VARCHAR) AS h)) AS node_uuid,
 coalesce(CASE WHEN doc_id % 3 = 0 THEN 'uk' END, string_split(lang || '-XX', '-')[1]) AS language FROM documents"""
 )
 def identity_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hash, hex codec (there and back), derived identifier, language of a locale."""
-    head = F.hex(F.encode(F.substring("text", 1, 8), "UTF-8"))
+    coded = F.hex(F.encode("text", "UTF-8"))
     return read(spark, sf_dir, "documents").select(
-        "doc_id", F.sha2("text", 256).alias("text_sha256"), F.hex(F.unhex(head)).alias("head_hex"), text.stable_uuid("node", F.col("source"), F.col("doc_id")).alias("node_uuid"),
+        "doc_id", F.sha2("text", 256).alias("text_sha256"), F.hex(F.unhex(coded)).alias("text_hex"), text.stable_uuid("node", F.col("source"), F.col("doc_id")).alias("node_uuid"),
         text.language(F.concat("lang", F.lit("-XX")), F.when(F.col("doc_id") % 3 == 0, F.lit("uk"))).alias("language"),
     )
 

@@ -27,7 +27,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def depth(raw: Column) -> Column:
     """How deep brackets nest outside of strings; escapes are minded. Only brackets and quotes are walked over."""
-    bare = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', "")
+    # escapes first, then strings: neither pattern recurses, however long a string is
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), '"[^"]*"', "")
     marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
     step = lambda a, c: F.struct((a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
     return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])

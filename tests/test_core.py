@@ -180,5 +180,5 @@ def test_validation_empty(spark):
 
 
 def test_depth(spark):
-    r = one(spark, a=documents.depth(F.lit('{"a":"[[[","b":[1,[2]]}')), b=documents.depth(F.lit("")), c=documents.depth(F.lit('["\\"[",{}]')))
-    assert tuple(r) == (3, 0, 2)
+    r = one(spark, a=documents.depth(F.lit('{"a":"[[[","b":[1,[2]]}')), b=documents.depth(F.lit("")), long=documents.depth(F.concat(F.lit('["'), F.repeat(F.lit('[x'), 200_000), F.lit('"]'))), c=documents.depth(F.lit('["\\"[",{}]')))
+    assert (r.a, r.b, r.long, r.c) == (3, 0, 1, 2)
