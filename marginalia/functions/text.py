@@ -41,13 +41,14 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1))
 
 
-def find_all(text: Column, query: str) -> Column:
-    """UTF-16 starts, in the lower-cased text, of a query's matches from left to right without overlap."""
+def find_all(text: Column, query: str, most: int | None = None) -> Column:
+    """UTF-16 starts, in the lower-cased text, of a query's matches from left to right without overlap; of the first `most` of them."""
     q = query.strip().lower()
     if not q:
         return F.array().cast("array<bigint>")
     parts = F.split(F.lower(text), re.escape(q).replace("\\ ", " "))
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: utf16_length(F.array_join(F.slice(parts, 1, k), q)))
+    hits = F.size(parts) - 1 if most is None else F.least(F.size(parts) - 1, F.lit(most))
+    starts = F.transform(F.sequence(F.lit(1), hits), lambda k: utf16_length(F.array_join(F.slice(parts, 1, k), q)))
     return F.when(F.size(parts) > 1, starts).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -21,7 +21,7 @@ SELECT doc_id, hit::BIGINT AS hit, {U16.format("before")}::BIGINT AS utf16_start
 def find_all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 64 case-insensitive matches of each document (the limit is the feature)."""
     docs = read(spark, sf_dir, "documents")
-    hits = F.slice(text.find_all(F.col("text"), " Th "), 1, text.HITS)
+    hits = text.find_all(F.col("text"), " Th ", text.HITS)
     return docs.select("doc_id", F.posexplode(hits).alias("n", "utf16_start")).select("doc_id", (F.col("n") + 1).cast("long").alias("hit"), "utf16_start")
 
 
