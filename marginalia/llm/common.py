@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -76,7 +77,7 @@ def words(text: str | None) -> list[bytes]:
 class Hashes(dict):
     """64-bit hashes of words, remembered up to a limit."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -111,6 +112,14 @@ def text_chunks(batches: Iterator[pa.RecordBatch], cols: list[str], most: int =
                 held, size = [[] for _ in cols], 0
     if held[0]:
         yield held
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker process goes on to other tasks, beside others of its kind."""
+    free_memory = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free_memory:
+        free_memory(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

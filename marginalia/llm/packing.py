@@ -23,6 +23,7 @@ no sequences.
 from __future__ import annotations
 
 import base64
+import functools
 import sys
 import zlib
 from collections.abc import Iterator
@@ -55,9 +56,12 @@ def encoder(path: str):
     """
     kept = sys.__dict__.setdefault("_marginalia_encoders", {})  # a worker process serves many tasks
     if path not in kept:
-        from tokenizers import Tokenizer
+        @functools.cache
+        def slow():
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(path)
 
-        slow = Tokenizer.from_file(path)
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
             import public_tokenizers
@@ -65,9 +69,9 @@ def encoder(path: str):
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            kept[path] = lambda t: slow.encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t)
+            kept[path] = lambda t: slow().encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t)
         else:
-            kept[path] = lambda t: slow.encode(t, add_special_tokens=False).ids
+            kept[path] = lambda t: slow().encode(t, add_special_tokens=False).ids
     return kept[path]
 
 

@@ -44,7 +44,7 @@ class Units(dict):
     """word -> its word unit and shape unit in one number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         shape = RUNS.sub(rb"\1", word.translate(CLASSES))[:12]
         core = word.lower().strip(b".,;:!?|*#%&$()[]\"'")

@@ -156,7 +156,7 @@ class Emissions(dict):
         self.w = w
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         c = core(word)
         self[word] = e = float(self.w[features(c)].sum()) if c else NONE
