@@ -1,5 +1,7 @@
 """Rows that skew, repeat or lack ids: nothing is lost and nothing else goes."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate
@@ -15,3 +17,27 @@ def test_leak_in_a_third_of_rows(spark):
     rows = [(10**6 + i, item["text"]) for i in range(docs.count() // 2)]
     found = decontaminate.contaminated(docs.union(spark.createDataFrame(rows, docs.schema)), benchmark)
     assert {r["doc_id"] for r in found.where((F.col("doc_id") >= 10**6) & (F.col("item_id") == item["item_id"])).collect()} == {i for i, _ in rows}
+
+
+def test_leak_far_below_the_gate(spark):
+    """Copies of which 62 to 80 % is left, of short and long items, amid other text, where the fit reads few documents."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    rng = random.Random(8)
+    plain = [w for r in docs.collect() if len(w := r["text"].split()) > 150]
+    items = [(k, [rng.choice(rng.choice(plain)) + f"q{rng.randrange(40)}" if rng.random() < 0.5 else rng.choice(rng.choice(plain)[:80]) for _ in range((6, 9, 15, 24, 40)[k % 5])]) for k in range(40)]
+    rows, want = [], set()
+    for i, (k, w) in enumerate(items * 5):
+        w = list(w)
+        keep = len(w) if len(w) < 15 else int(len(w) * rng.uniform(0.64, 0.8))
+        for j in rng.sample(range(len(w) - max(4, len(w) // 4)), len(w) - keep):
+            w[j] = f"other{rng.randrange(10**6)}"
+        around = rng.choice(plain)[:120]
+        cut = rng.randrange(len(around))
+        rows.append((10**6 + i, " ".join([*around[:cut], *w, *around[cut:]])))
+        item, left = (decontaminate.tokens(" ".join(x)) for x in (items[k][1], w))
+        if decontaminate.lcs(item, left) >= 0.6 * len(item) and len(set(item) & set(left)) >= 0.6 * len(set(item)):
+            want.add((10**6 + i, k))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = decontaminate.contaminated(docs.union(spark.createDataFrame(rows, docs.schema)), benchmark)
+    got = {(r["doc_id"], r["item_id"]) for r in found.where(F.col("doc_id") >= 10**6).collect()}
+    assert len(want) > 180 and want <= got
