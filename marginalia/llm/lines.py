@@ -96,23 +96,6 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, n_words, text, line - before[text]
 
 
-def low_bytes(key: np.ndarray, n: int) -> list[np.ndarray]:
-    """The low n bytes of keys, apart."""
-    rows = key.view(np.uint8).reshape(-1, 8)
-    return [rows[:, b].copy() for b in range(n)]
-
-
-def from_bytes(parts: list[np.ndarray]) -> np.ndarray:
-    x = np.zeros((len(parts[0]), 8), np.uint8)
-    for b, part in enumerate(parts):
-        x[:, b] = part
-    return x.reshape(-1).view(U64)
-
-
-#: Bytes of a key that travel (enough, as partners are verified), and of a line's own key beside its gaps.
-KEY_BYTES, OWN_BYTES = 5, 3
-
-
 def emit(docs: DataFrame, least: int) -> DataFrame:
     """Keys of all lines, packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
     n = 2 * partitions(docs.sparkSession)
@@ -134,12 +117,12 @@ def emit(docs: DataFrame, least: int) -> DataFrame:
             own, line, gaps, place = gaps_of(h, n_words, wanted)
             blobs: dict[int, list[np.ndarray]] = {}
             for s, i in by_shard(own % U64(n), n):
-                blobs[s] = [np.diff(doc[i], prepend=0), no[i], *low_bytes(own[i] // U64(n), KEY_BYTES)]
+                blobs[s] = [np.diff(doc[i], prepend=0), no[i], own[i]]
             for s, i in by_shard(gaps % U64(n), n):
                 new = np.r_[True, line[i][1:] != line[i][:-1]]
                 src = line[i][new]
-                blobs.setdefault(s, [doc[:0], no[:0], *low_bytes(own[:0], KEY_BYTES)])
-                blobs[s] += [np.diff(doc[src], prepend=0), no[src], *low_bytes(own[src] // U64(n), OWN_BYTES), new.astype(np.uint8), place[i], *low_bytes(gaps[i] // U64(n), KEY_BYTES)]
+                blobs.setdefault(s, [doc[:0], no[:0], own[:0]])
+                blobs[s] += [np.diff(doc[src], prepend=0), no[src], new.astype(np.uint8), place[i], gaps[i]]
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([pack(*x) for x in blobs.values()], pa.binary())], ["shard", "blob"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
@@ -155,13 +138,12 @@ def partners(packed: DataFrame) -> DataFrame:
         doc, no, parts = [], [], []
         for blob in t.column("blob").to_pylist():
             arrays = unpack(blob)
-            key = from_bytes(arrays[2 : 2 + KEY_BYTES])
-            parts.append((key, None, None, key))
+            parts.append((arrays[2], None, None))
             doc.append(np.cumsum(arrays[0]))
             no.append(arrays[1])
-            if arrays := arrays[2 + KEY_BYTES :]:
-                own, (new, place), key = from_bytes(arrays[2 : 2 + OWN_BYTES]), arrays[2 + OWN_BYTES : 4 + OWN_BYTES], from_bytes(arrays[4 + OWN_BYTES :])
-                parts.append((key, np.cumsum(new, dtype=np.int32) - 1, place, own))
+            if arrays := arrays[3:]:
+                new, place, key = arrays[2:]
+                parts.append((key, np.cumsum(new, dtype=np.int32) - 1, place))
                 doc.append(np.cumsum(arrays[0]))
                 no.append(arrays[1])
         low = np.concatenate([x[0] for x in parts])
@@ -171,18 +153,17 @@ def partners(packed: DataFrame) -> DataFrame:
         shared[order[np.r_[same, False] | np.r_[False, same]]] = True
         del order, same
         low = low[shared]
-        row, gap, text = [], [], []
+        row, gap = [], []
         at = lines = 0
-        for (key, of, place, own), d in zip(parts, doc):
+        for (key, of, place), d in zip(parts, doc):
             here = np.flatnonzero(shared[at : at + len(key)])
             line = here if of is None else of[here].astype(np.int64)
             row.append(line + lines)
             gap.append(np.zeros(len(here), np.uint32) if place is None else place[here])
-            text.append((own[line] & U64(256**OWN_BYTES - 1)).astype(np.uint32))
             at += len(key)
             lines += len(d)
         del parts, shared
-        doc, no, row, gap, text = map(np.concatenate, (doc, no, row, gap, text))
+        doc, no, row, gap = map(np.concatenate, (doc, no, row, gap))
         by = np.lexsort((no, doc))
         new = np.r_[True, (doc[by][1:] != doc[by][:-1]) | (no[by][1:] != no[by][:-1])]
         rank = np.empty(len(by), np.int64)
@@ -200,17 +181,9 @@ def partners(packed: DataFrame) -> DataFrame:
             return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
         if len(row):
-            order = np.lexsort((row, text, gap, low))
-            row, low, gap, text = row[order], low[order], gap[order], text[order]
-            first = firsts(low, gap, text)
-            equal = gap == 0
-            meet(row[equal], row[first[equal]])
-            # every chunk's first of equal lines is here, so the first of all is: the rest have gone with it
-            once = first == np.arange(len(row))
-            row, low, gap = row[once], low[once], gap[once]
             order = np.lexsort((row, gap, low))
             row, low, gap = row[order], low[order], gap[order]
-            meet(row, row[firsts(low, gap)])  # another word in the same place (or equal)
+            meet(row, row[firsts(low, gap)])  # equal, or another word in the same place
             whole = np.where(gap == 0, row, len(doc))
             starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
             sizes = np.diff(np.r_[starts, len(low)])

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate
+from marginalia.llm import decontaminate, lines
 from marginalia.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +41,10 @@ def test_leak_far_below_the_gate(spark):
     found = decontaminate.contaminated(docs.union(spark.createDataFrame(rows, docs.schema)), benchmark)
     got = {(r["doc_id"], r["item_id"]) for r in found.where(F.col("doc_id") >= 10**6).collect()}
     assert len(want) > 180 and want <= got
+
+
+def test_many_variants_of_a_line(spark):
+    """All lines that differ from the first in one word go, however many there are."""
+    n = 30_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("all these words stay but for"), F.lit(" x"), F.col("id"), F.lit(" and so on")).alias("text"))
+    assert [r["doc_id"] for r in lines.dedupe_lines(docs).where("lines_removed = 0").collect()] == [0]
