@@ -17,8 +17,9 @@ Order is (doc_id, line number). A line goes when an earlier one lies within the
 bound, whether that one goes or stays, so the result doesn't depend on any
 processing order. Lines without words never go. Null texts stay null; texts
 without a line that goes are returned as they are. A null doc_id comes after
-all others. Rows that repeat a doc_id have the same place, so neither is earlier
-and both stay. Other columns may have any name and are carried along.
+all others. Rows that share a doc_id, or have none, follow one another by a hash
+of their text, and each is a row of its own (see `placed`): of rows alike in both
+one keeps its lines. Other columns may have any name and are carried along.
 """
 
 from __future__ import annotations
@@ -96,18 +97,30 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, n_words, text, line - before[text]
 
 
+def placed(docs: DataFrame, place: str, tie: str) -> DataFrame:
+    """docs with two columns that tell each row from all others and order them: its doc_id, and 0 or, where rows share that, its number among all such rows by text."""
+    found = docs.withColumn(place, F.coalesce("doc_id", F.lit(int(LAST))))
+    shared = keep(found.groupBy(place).count().where("count > 1").select(place), "shared")
+    if shared.isEmpty():
+        return found.withColumn(tie, F.lit(0).cast("long"))
+    alone = found.join(shared, place, "left_anti").select(*found.columns, F.lit(0).cast("long").alias(tie))
+    # rows alike are dealt by chance, so that many of them are no single task's
+    ordered = found.join(shared, place, "left_semi").orderBy(place, F.xxhash64("text"), F.rand(1)).select(*found.columns, (F.monotonically_increasing_id() + 1).alias(tie))
+    return keep(alone.union(ordered), "placed")
+
+
 def emit(docs: DataFrame, least: int) -> DataFrame:
-    """Keys of all lines, packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
+    """Keys of all lines of rows (doc, tie, text), packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
     n = 2 * partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, ids in text_chunks(batches, ["text", "doc_id"], CHUNK):
-            places = np.array([LAST if i is None else i for i in ids], np.int64)
-            order = np.argsort(places, kind="stable")
+        for texts, ids, ties in text_chunks(batches, ["text", "doc", "tie"], CHUNK):
+            places, ties = np.array(ids, np.int64), np.array(ties, np.int64)
+            order = np.lexsort((ties, places))
             h, n_words, text, no = hashed([texts[r] for r in order.tolist()])
             if not len(h):
                 continue
-            doc, no = places[order][text], no.astype(np.int32)
+            doc, tie, no = places[order][text], ties[order][text], no.astype(np.int32)
 
             def wanted(own: np.ndarray, n_words: np.ndarray = n_words) -> np.ndarray:
                 first = np.zeros(len(own), bool)
@@ -117,35 +130,38 @@ def emit(docs: DataFrame, least: int) -> DataFrame:
             own, line, gaps, place = gaps_of(h, n_words, wanted)
             blobs: dict[int, list[np.ndarray]] = {}
             for s, i in by_shard(own % U64(n), n):
-                blobs[s] = [np.diff(doc[i], prepend=0), no[i], own[i]]
+                blobs[s] = [np.diff(doc[i], prepend=0), tie[i], no[i], own[i]]
             for s, i in by_shard(gaps % U64(n), n):
                 new = np.r_[True, line[i][1:] != line[i][:-1]]
                 src = line[i][new]
-                blobs.setdefault(s, [doc[:0], no[:0], own[:0]])
-                blobs[s] += [np.diff(doc[src], prepend=0), no[src], new.astype(np.uint8), place[i], gaps[i]]
+                blobs.setdefault(s, [doc[:0], tie[:0], no[:0], own[:0]])
+                blobs[s] += [np.diff(doc[src], prepend=0), tie[src], no[src], new.astype(np.uint8), place[i], gaps[i]]
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([pack(*x) for x in blobs.values()], pa.binary())], ["shard", "blob"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc", "tie", "text").mapInArrow(run, PACKED)
 
 
-PARTNER = "doc long, no int, with_doc long, with_no int"
+PARTNER = "doc long, tie long, no int, with_doc long, with_tie long, with_no int"
+ROW, WITH = ["doc", "tie", "no"], ["with_doc", "with_tie", "with_no"]
 
 
 def partners(packed: DataFrame) -> DataFrame:
     """For each line, a shard's earliest line that shares a key with it and comes before it."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, no, parts = [], [], []
+        doc, tie, no, parts = [], [], [], []
         for blob in t.column("blob").to_pylist():
             arrays = unpack(blob)
-            parts.append((arrays[2], None, None))
+            parts.append((arrays[3], None, None))
             doc.append(np.cumsum(arrays[0]))
-            no.append(arrays[1])
-            if arrays := arrays[3:]:
-                new, place, key = arrays[2:]
+            tie.append(arrays[1])
+            no.append(arrays[2])
+            if arrays := arrays[4:]:
+                new, place, key = arrays[3:]
                 parts.append((key, np.cumsum(new, dtype=np.int32) - 1, place))
                 doc.append(np.cumsum(arrays[0]))
-                no.append(arrays[1])
+                tie.append(arrays[1])
+                no.append(arrays[2])
         low = np.concatenate([x[0] for x in parts])
         order = np.argsort(low)
         same = low[order][1:] == low[order][:-1]
@@ -163,12 +179,12 @@ def partners(packed: DataFrame) -> DataFrame:
             at += len(key)
             lines += len(d)
         del parts, shared
-        doc, no, row, gap = map(np.concatenate, (doc, no, row, gap))
-        by = np.lexsort((no, doc))
-        new = np.r_[True, (doc[by][1:] != doc[by][:-1]) | (no[by][1:] != no[by][:-1])]
+        doc, tie, no, row, gap = map(np.concatenate, (doc, tie, no, row, gap))
+        by = np.lexsort((no, tie, doc) if tie.any() else (no, doc))
+        new = np.r_[True, np.any([x[by][1:] != x[by][:-1] for x in (doc, tie, no)], axis=0)]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new) - 1
-        doc, no = doc[by][new], no[by][new]  # by rank
+        doc, tie, no = doc[by][new], tie[by][new], no[by][new]  # by rank
         row = rank[row]
         found = []
 
@@ -192,7 +208,7 @@ def partners(packed: DataFrame) -> DataFrame:
             gapped = np.repeat(np.minimum.reduceat(np.where(gap > 0, row, len(doc) * 2), starts), sizes)
             meet(row[gap == 0], gapped[gap == 0])  # a word more
         src, dst = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(1, len(doc)))
-        return pa.table({"doc": doc[src], "no": no[src], "with_doc": doc[dst], "with_no": no[dst]})
+        return pa.table({"doc": doc[src], "tie": tie[src], "no": no[src], "with_doc": doc[dst], "with_tie": tie[dst], "with_no": no[dst]})
 
     return packed.groupBy("shard").applyInArrow(run, PARTNER)
 
@@ -208,32 +224,33 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, line number, and the earlier line's (with_doc, with_no), of every line that goes."""
+    """Of rows (doc, tie, text) that (doc, tie) tells apart: every line that goes, by row and number, and the earlier line's."""
     found = keep(partners(emit(docs, least)).distinct(), "partners")
     release(docs.sparkSession)
-    wanted = found.select("doc", "no").union(found.select("with_doc", "with_no")).distinct()
-    places = wanted.groupBy("doc").agg(F.collect_set("no").alias("numbers"))
+    wanted = found.select(ROW).union(found.select(WITH)).distinct()
+    places = wanted.groupBy("doc", "tie").agg(F.collect_set("no").alias("numbers"))
     text = F.split("text", "\n")
 
-    own = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), "text").join(places, "doc")
-    lines = keep(own.withColumn("lines", text).select("doc", F.explode(F.transform("numbers", lambda k: F.struct(k.alias("no"), F.get("lines", k).alias("line")))).alias("x")).select("doc", "x.no", "x.line"), "lines")
-    pairs = found.join(lines, ["doc", "no"]).join(lines.select(F.col("doc").alias("with_doc"), F.col("no").alias("with_no"), F.col("line").alias("with_line")), ["with_doc", "with_no"])
+    own = docs.select("doc", "tie", "text").join(places, ["doc", "tie"])
+    lines = keep(own.withColumn("lines", text).select("doc", "tie", F.explode(F.transform("numbers", lambda k: F.struct(k.alias("no"), F.get("lines", k).alias("line")))).alias("x")).select("doc", "tie", "x.no", "x.line"), "lines")
+    pairs = found.join(lines, ROW).join(lines.toDF(*WITH, "with_line"), WITH)
 
     @F.pandas_udf("boolean")
     def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([(x := words(p)) == (y := words(q)) or (max(len(x), len(y)) >= least and within_one(x, y)) for p, q in zip(a, b)], dtype=bool)
 
-    return pairs.where(verified("line", "with_line")).groupBy("doc", "no").agg(F.min(F.struct("with_doc", "with_no")).alias("w")).select("doc", "no", "w.with_doc", "w.with_no")
+    return pairs.where(verified("line", "with_line")).groupBy(ROW).agg(F.min(F.struct(WITH)).alias("w")).select(*ROW, "w.*")
 
 
 def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS, out: str = "lines_removed") -> DataFrame:
     """docs with the lines that go taken out of text, and how many went in column `out`."""
-    found = keep(duplicates(docs, least), "gone")
+    gone, place, tie = free(docs, "_gone"), free(docs, "_place"), free(docs, "_tie")
+    docs = placed(docs, place, tie)
+    found = keep(duplicates(docs.select(F.col(place).alias("doc"), F.col(tie).alias("tie"), "text"), least), "gone")
     release(docs.sparkSession)
-    gone, place = free(docs, "_gone"), free(docs, "_place")
-    numbers = found.groupBy(F.col("doc").alias(place)).agg(F.collect_set("no").alias(gone))
-    rows = docs.withColumn(place, F.coalesce("doc_id", F.lit(int(LAST)))).join(numbers, place, "left")
+    numbers = found.groupBy(F.col("doc").alias(place), F.col("tie").alias(tie)).agg(F.collect_set("no").alias(gone))
+    rows = docs.join(numbers, [place, tie], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).withColumn(out, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
-    return rows.drop(gone, place)
+    return rows.drop(gone, place, tie)

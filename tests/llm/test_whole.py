@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, lines
@@ -48,3 +49,17 @@ def test_many_variants_of_a_line(spark):
     n = 30_000
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("all these words stay but for"), F.lit(" x"), F.col("id"), F.lit(" and so on")).alias("text"))
     assert [r["doc_id"] for r in lines.dedupe_lines(docs).where("lines_removed = 0").collect()] == [0]
+
+
+@pytest.mark.parametrize("i", [None, 7])
+def test_rows_that_share_an_id(spark, i):
+    """Lines go from the row that repeats them and no other, and of rows alike in all one keeps its lines."""
+    same, other = "a line that an earlier row has", "a line that only one row has"
+    rows = [(i, same), (i, other), (1, same), (i, "twice here"), (i, "twice here"), (i, "twice here"), (i, "first\nof one"), (i, "other\nof one"), (i, None), (i, " \n"), (None, "no number")]
+    out = lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert out.columns == ["doc_id", "text", "lines_removed"]
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    ends = {(i, "first\nof one"), (i, "other"), (i, "other\nof one"), (i, "first")} & set(got)
+    assert len(ends) == 2 and sum("of one" in t for _, t in ends) == 1
+    want = [(1, same), (i, ""), (i, other), (i, "twice here"), (i, ""), (i, ""), (i, None), (i, " \n"), (None, "no number"), *ends]
+    assert sorted(map(str, got)) == sorted(map(str, want))
