@@ -1,29 +1,35 @@
-"""Language-model scores from an Elias-Fano n-gram trie, dealt over the cluster by context.
-
-The model. A word's context is the shortest run of words before it, three at
-most, that holds a word which isn't hot (hot: at least 1/128 of all training
-tokens); so rare words predict alone and frequent ones with what stands before
-them. After a context seen C times with T different words,
-
-    p(w | context) = max(c - D, 0) / (C + S) + (D T + S) / (C + S) * p(w)
-
-with D = 0.85 and S = 0.5, and p(w) after an unseen context. The lower order is
-
-    p(w) = (c - 0.5) / (N + 1)        for words with at least 2**-20 of all tokens
-           + rest / 2 / U             for all others, U of them
-           + rest / 2 * spelled(w)    for every word
-
-where spelled(w) is a byte model (three bytes of context, hashed to 2**13) with
-an end of word. U is the number of distinct words less those above, a tenth of
-them at least, and one for all unknown words together, so all sums to one at
-most.
-
-The work. One pass counts words: exact counts by hash, dealt by hash range; the
-words above either share are at most 2**20 and go to all tasks, as does the byte
-model (2**21 counts). A second pass emits every (context, word, document) once
-with its number, dealt by context; each shard builds its part of the trie from
-the training documents' rows, in a memory-mapped file, and scores its rows by it.
-Sums by document come last. A shard holds about PER_SHARD tokens at any size.
+"""Language-model scores from an Elias-Fano n-gram trie, dealt over the cluster.
+
+The model. Orders one to four, each smoothed by the order below (a hierarchical
+Dirichlet prior):
+
+    p1(w)     = (c(w) + 1) / (N + V + 1)               all unknown words are one
+    pk(w | h) = (c(h w) + M_k p(k-1)(w | h')) / (C(h) + M_k)
+
+where c counts training tokens, h' is h without its first word and C(h) how
+often h is followed by a word. So the words of each order sum to one, and a
+context that was never seen gives the order below. A text is its words and an
+end; before the first word stands a start, which is context only, so the first
+word has order two at most and the second three.
+
+The work is one round trip, in which all n-grams have the same way whatever the
+size of the corpus:
+
+1. Each chunk of texts (about CHUNK bytes) asks for its distinct n-grams, once
+   each, with their counts in the chunk's training texts. Words are dealt by
+   hash, pairs by first word and a slice of the second, triples and fours by
+   first pair and a slice of the third. There is a slice for each SHARE shards,
+   so that a context which holds a third of all rows is spread over as many.
+2. A shard adds the counts up, builds its tries from what was trained (levels
+   word - word, and pair - word - word) in a memory-mapped file, and answers
+   each chunk in the order asked: exact counts of words, quantised
+   probabilities of longer n-grams.
+3. Each chunk's texts meet the answers and are scored.
+
+Everything is counted in full and counts are sums, so results don't depend on
+partitions or chunks. Only sums (N, V) go to the driver and nothing is
+broadcast. Words are known by 64 bits; in longer n-grams by 40 within their
+context, and pairs by 48 within their shard.
 
 Nulls and empty texts are just the end token. A null doc_id counts as an empty
 string for the split. Repeated rows each count and each get a row. Only doc_id
@@ -39,20 +45,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions, release, text_chunks, unpack, words
-from .trie import Trie, dequantise, quantise
+from .common import MIX, U64, Hashes, by_shard, keep, mix64, pack, partitions, release, text_chunks, trim, unpack, words
+from .trie import Trie, dequantise
 
 FOLDS, HELD = 7, 2
-HOT, KNOWN = 1 / 128, 2.0**-20
-DISCOUNT, STRENGTH, LOWER_DISCOUNT = 0.85, 0.5, 0.5
-PER_SHARD = 1_500_000
+#: Weight of the order below in orders two, three and four.
+PRIOR = (1000.0, 100.0, 3.0)
 END, START = U64(xxhash.xxh64_intdigest(b" end")), U64(xxhash.xxh64_intdigest(b" start"))  # no word holds a blank
-CONTEXTS, RANGES = 1 << 13, 32
-SPELL_PRIOR = 0.02
-BASE_STEPS, SCORE_STEPS = 10**8, 10**6
+WORD_BITS, PAIR_BITS = 40, 48
+PER_SHARD = 7_000_000  # bytes of text
+SHARE = 16
 CHUNK = 2_500_000
 
 
@@ -60,257 +66,220 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def spelling(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For words one after another, the cell (context, next byte) of each byte and end, and where words start."""
-    a = np.frombuffer(b" " + b" ".join(types) + b" ", np.uint8).astype(np.int64)
-    one = a[:-1]
-    two = np.where(one == 32, 32, np.r_[32, a[:-2]])
-    three = np.where(two == 32, 32, np.r_[32, 32, a[:-3]])
-    ctx = ((one + 257 * two + 66049 * three) * 2654435761 >> 7) % CONTEXTS
-    return ctx * 256 + a[1:], np.cumsum([0, *(len(t) + 1 for t in types[:-1])])
-
-
-def count_words(docs: DataFrame, shards: int) -> DataFrame:
-    """By shard: training words' counts, and (shards below 0) cells of the byte model over each task's distinct words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        key, count = np.zeros(0, U64), np.zeros(0, np.int64)
-        cells = np.zeros(CONTEXTS * 256, np.int64)
-        spelled: set[int] = set()
-
-        def merged(k: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            u, inverse = np.unique(np.concatenate(k), return_inverse=True)
-            return u, np.bincount(inverse, np.concatenate(c), len(u)).astype(np.int64)
-
-        for texts, ids in text_chunks(batches, ["text", "doc_id"]):
-            ws: list[bytes] = []
-            ends = 0
-            for text, i in zip(texts, ids):
-                if not held_out(i):
-                    ws += words(text)
-                    ends += 1
-            if not ends:
-                continue
-            h = hashes.of(ws)
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            new = [ws[j] for x, j in zip(u.tolist(), first.tolist()) if x not in spelled]
-            if len(spelled) > 2_000_000:
-                spelled.clear()
-            spelled.update(u.tolist())
-            if new:
-                cells += np.bincount(spelling(new)[0], minlength=len(cells))
-            key, count = merged([key, u, np.array([END])], [count, n, np.array([ends])])
-        if len(key):
-            out = [(s, pack(key[i], count[i])) for s, i in by_shard(key % U64(shards), shards)]
-            size = len(cells) // RANGES
-            for r in range(RANGES):
-                part = cells[r * size : (r + 1) * size]
-                at = np.flatnonzero(part)
-                out.append((-1 - r, pack(at.astype(np.uint32), part[at])))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "blob"])
-
-    def total(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        parts = [unpack(x) for x in t.column("blob").to_pylist()]
-        k, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        u, inverse = np.unique(k, return_inverse=True)
-        n = np.bincount(inverse, c, len(u)).astype(np.int64)
-        if shard < 0:
-            blob, distinct, tokens = pack(u, n), 0, 0
+class Grams:
+    """The distinct n-grams of a chunk in sorted order, and which of them each token ends.
+
+    words: hashes. pairs, triples, fours: (parent, word), where parents are
+    words, pairs and triples, and words are numbers in `words` (one past its end:
+    the start). of: for each order the n-gram of each token, -1 for none.
+    """
+
+    def __init__(self, texts: list[str | None], hashes: Hashes):
+        per = [words(t) for t in texts]
+        self.size = np.array([len(w) + 1 for w in per], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        h = np.full(int(self.size.sum()), END)
+        at = np.ones(len(h), bool)
+        at[np.cumsum(self.size) - 1] = False
+        h[at] = hashes.of([w for x in per for w in x])
+        self.place = np.arange(len(h)) - np.repeat(self.first, self.size)
+        self.words, one = np.unique(h, return_inverse=True)
+        base = len(self.words) + 1
+        before = np.where(self.place > 0, np.r_[0, one[:-1]], base - 1)
+        self.of, self.grams = [one], []
+        for order in (2, 3, 4):
+            on = np.flatnonzero(self.place >= order - 2)
+            parent = before[on] if order == 2 else self.of[-1][on - 1]
+            u, inverse = np.unique(parent * base + one[on], return_inverse=True)
+            of = np.full(len(h), -1, np.int64)
+            of[on] = inverse
+            self.of.append(of)
+            self.grams.append(np.divmod(u, base))
+
+    def counts(self, train: np.ndarray) -> list[np.ndarray]:
+        """How often training texts have each n-gram, by order."""
+        on = np.repeat(train, self.size)
+        sizes = (len(self.words), *(len(w) for _, w in self.grams))
+        return [np.bincount(o[on & (o >= 0)], minlength=n).astype(np.uint32) for o, n in zip(self.of, sizes)]
+
+    def dealt(self, n: int) -> tuple[list[np.ndarray], list[dict[int, np.ndarray]]]:
+        """Codes of words and pairs; and for each order the n-grams of each of n shards, in order."""
+        slices = U64(1 + n // SHARE)
+        word = mix64(np.r_[self.words, START] ^ U64(MIX[3]))
+        (a, b), (p, c), (t, _) = self.grams
+        pair = mix64(word[a] * U64(MIX[1]) + word[b])
+        two = (word[a] + word[b] % slices) % U64(n)
+        three = (pair[p] + word[c] % slices) % U64(n)
+        shards = (word[:-1] % U64(n), two, three, three[t])
+        return [word >> U64(64 - WORD_BITS), pair >> U64(64 - PAIR_BITS)], [dict(by_shard(s, n)) for s in shards]
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of equal values, and the runs' lengths."""
+    new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[new], np.diff(np.r_[new, len(x)]).astype(np.uint32)
+
+
+def asked(g: Grams, train: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+    """What a chunk asks of each shard."""
+    counts = g.counts(train)
+    (word, pair), shards = g.dealt(n)
+    (a, b), (p, c), (t, d) = g.grams
+    none = np.zeros(0, np.int64)
+    for s in sorted(set().union(*shards)):
+        i1, i2, i3, i4 = (of.get(s, none) for of in shards)
+        first, fan = runs(a[i2])
+        root, fan3 = runs(p[i3])
+        fan4 = np.bincount(np.searchsorted(i3, t[i4]), minlength=len(i3)).astype(np.uint32)
+        yield s, pack(g.words[i1], counts[0][i1], word[first], fan, word[b[i2]], counts[1][i2], pair[root], fan3, word[c[i3]], counts[2][i3], fan4, word[d[i4]], counts[3][i4])
+
+
+def merged(parent: np.ndarray | None, word: np.ndarray, count: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """One trained level from rows of all chunks: (parent, word, count) without repeats, and each row's node, -1 for none.
+
+    Rows after -1 have no node.
+    """
+    if parent is None:
+        u, inverse = np.unique(word, return_inverse=True)
+        up = None
+    else:
+        if len(parent) and int(parent.max()) >= 1 << (63 - WORD_BITS):
+            order = np.lexsort((word, parent))
         else:
-            often = n >= KNOWN * n.sum()  # every word with that share of all has it of this shard
-            blob, distinct, tokens = pack(u[often], n[often]), len(u), int(n.sum())
-        return pa.table({"shard": pa.array([shard], pa.int32()), "distinct": [distinct], "tokens": [tokens], "blob": pa.array([blob], pa.binary())})
-
-    return docs.mapInArrow(run, PACKED).groupBy("shard").applyInArrow(total, "shard int, distinct long, tokens long, blob binary")
-
-
-class Lower:
-    """The lower order: known words' counts, and the byte model."""
-
-    def __init__(self, tokens: int, distinct: int, known: np.ndarray, counts: np.ndarray, cells: np.ndarray):
-        self.tokens, self.distinct = tokens, distinct
-        order = np.argsort(known)
-        self.known, self.counts = known[order], counts[order]
-        self.hot = self.known[(self.counts >= max(1.0, HOT * tokens)) & (self.known != END)]
-        cells = cells.reshape(CONTEXTS, 256) + SPELL_PRIOR
-        self.cells = np.log10(cells / cells.sum(1, keepdims=True)).astype(np.float32).reshape(-1)
-        end = self.counts[self.known == END].sum()
-        self.end = (end + 0.5) / (tokens + 1)
-        self.others = 1.0 / (max(distinct - len(self.known), distinct / 10) + 1)
-        self.rest = max(1e-9, 1 - self.end - np.maximum(self.counts[self.known != END] - LOWER_DISCOUNT, 0).sum() / (tokens + 1))
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
-        there = self.known[i] == h if len(self.known) else np.zeros(len(h), bool)
-        return np.where(there, self.counts[i] if len(self.known) else 0, 0), there
-
-    def is_hot(self, h: np.ndarray) -> np.ndarray:
-        return np.isin(h, self.hot)
-
-    def log10(self, h: np.ndarray, types: list[bytes]) -> np.ndarray:
-        """log10 p(w) of distinct words."""
-        if not len(types):
-            return np.zeros(0)
-        cell, starts = spelling(types)
-        spelled = 10.0 ** np.maximum(np.add.reduceat(self.cells[cell].astype(np.float64), starts), -60.0)
-        count, there = self.find(h)
-        return np.log10(self.rest / 2 * (spelled + np.where(there, 0.0, self.others)) + np.maximum(count - LOWER_DISCOUNT, 0) / (self.tokens + 1))
-
-
-def lower_order(docs: DataFrame) -> Lower:
-    """Counts go to the driver as at most 2**20 words over KNOWN's share, and 2**21 cells."""
-    found = keep(count_words(docs, partitions(docs.sparkSession)), "words")
-    tokens, distinct = found.agg(F.sum("tokens"), F.sum("distinct")).first()
-    tokens, distinct = tokens or 0, distinct or 0
-    cells, known, counts = np.zeros(CONTEXTS * 256, np.int64), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for row in found.select("shard", "blob").toLocalIterator():
-        u, n = unpack(row["blob"])
-        if row["shard"] < 0:
-            cells[u.astype(np.int64) + (-1 - row["shard"]) * (len(cells) // RANGES)] += n
-        else:
-            often = (n >= KNOWN * tokens) | (u == END)
-            known.append(u[often])
-            counts.append(n[often])
-    return Lower(tokens, distinct, np.concatenate(known), np.concatenate(counts), cells)
-
-
-def contexts(h: np.ndarray, at: np.ndarray, lower: Lower) -> np.ndarray:
-    """Context keys of tokens; at is each token's place in its document. Odd keys are single words outside the known ones."""
-    before = [np.where(at >= k, np.r_[np.full(min(k, len(h)), START), h[: max(0, len(h) - k)]], START) for k in (1, 2, 3)]
-    hot = lower.is_hot(np.concatenate(before[:2])).reshape(2, -1)
-    single = mix64(before[0] + U64(MIX[0]))
-    double = mix64(single * U64(MIX[1]) + before[1])
-    triple = mix64(double * U64(MIX[2]) + before[2])
-    key = np.where(~hot[0], single, np.where(~hot[1], double, triple))
-    counted = ~hot[0] & ~lower.find(before[0])[1] & (at >= 1)
-    return (key & ~U64(1)) | counted.astype(U64)
+            order = np.argsort(np.where(parent < 0, 0, parent + 1).astype(U64) << U64(WORD_BITS) | word)
+        up, u = parent[order], word[order]
+        new = np.r_[True, (up[1:] != up[:-1]) | (u[1:] != u[:-1])][: len(u)]
+        inverse = np.empty(len(u), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        up, u = up[new], u[new]
+    total = np.bincount(inverse, count, len(u)).astype(np.int64)
+    kept = (total > 0) if up is None else (total > 0) & (up >= 0)
+    node = np.where(kept, np.cumsum(kept) - 1, -1)
+    return (None if up is None else up[kept], u[kept], total[kept]), node[inverse]
+
+
+def summed(count: np.ndarray, fan: np.ndarray) -> np.ndarray:
+    """Sums of as many consecutive counts as each fan says, one at least."""
+    return np.add.reduceat(count, np.cumsum(fan, dtype=np.int64) - fan, dtype=np.int64) if len(fan) else np.zeros(0, np.int64)
+
+
+def answered(requests: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], int, int]:
+    """Answers to all requests of a shard: exact counts of words, codes of pairs, triples, fours; training tokens and distinct words."""
+    column = lambda i: np.concatenate([r[i] for r in requests])
+    u, inverse = np.unique(column(0), return_inverse=True)
+    total = np.bincount(inverse, column(1), len(u)).astype(np.int64)
+    out = [total[inverse]]
+    ends = [np.cumsum([len(r[0]) for r in requests])[:-1]]
+
+    word, fan, second, count = map(column, (2, 3, 4, 5))
+    one, node = merged(None, word, summed(count, fan))
+    parent = np.repeat(node, fan)
+    two, _ = merged(parent, second, count)
+    trie = Trie([one, two])
+    found = trie.find(0, None, word)
+    out.append(trie.code(1, trie.find(1, np.repeat(found, fan), second)))
+    ends.append(np.cumsum([len(r[4]) for r in requests])[:-1])
+    del word, fan, second, count, node, parent, one, two, trie, found
+
+    root, fan, third, count = map(column, (6, 7, 8, 9))
+    one, node = merged(None, root, summed(count, fan))
+    two, node = merged(np.repeat(node, fan), third, count)
+    fan4, fourth, count = map(column, (10, 11, 12))
+    three, _ = merged(np.repeat(node, fan4), fourth, count)
+    del node, count
+    trie = Trie([one, two, three])
+    del one, two, three
+    found = trie.find(1, np.repeat(trie.find(0, None, root), fan), third)
+    out.append(trie.code(1, found))
+    ends.append(np.cumsum([len(r[8]) for r in requests])[:-1])
+    out.append(trie.code(2, trie.find(2, np.repeat(found, fan4), fourth)))
+    ends.append(np.cumsum([len(r[11]) for r in requests])[:-1])
+    return list(zip(*(np.split(x, e) for x, e in zip(out, ends)))), int(total.sum()), int((total > 0).sum())
+
+
+def probabilities(g: Grams, counts: list[np.ndarray], tokens: int, distinct: int) -> np.ndarray:
+    """Of each token, from the counts of the chunk's n-grams by order."""
+    own = [np.where(o >= 0, c[np.maximum(o, 0)] if len(c) else 0, 0).astype(np.float64) for o, c in zip(g.of, counts)]
+    starts = float(counts[0][np.searchsorted(g.words, END)])  # as many as ends
+    p = (own[0] + 1.0) / (tokens + distinct + 1.0)
+    for order, prior in zip((2, 3, 4), PRIOR):
+        context = np.r_[0.0, own[order - 2][:-1]]
+        if order == 2:
+            context = np.where(g.place > 0, context, starts)
+        p = np.where(g.place >= order - 2, (own[order - 1] + prior * p) / (context + prior), p)
+    return p
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    lower = lower_order(docs)
-    release(spark)
-    shards = sums_in = max(partitions(spark), math.ceil(lower.tokens / PER_SHARD))
-    shared = spark.sparkContext.broadcast(lower)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower: Lower = shared.value
-        hashes = Hashes(200_000)
-        for texts, ids in text_chunks(batches, ["text", "doc_id"], CHUNK):
-            per = [words(t) for t in texts]
-            size = np.array([len(w) + 1 for w in per])
-            ws = [w for x in per for w in (*x, b"")]
-            h = hashes.of(ws)
-            ends = np.cumsum(size) - 1
-            h[ends] = END
-            doc = np.repeat(np.arange(len(per)), size)
-            at = np.arange(len(h)) - np.repeat(np.r_[0, ends[:-1] + 1], size)
-            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            is_end = u == END
-            p1 = np.full(len(u), math.log10(lower.end))
-            p1[~is_end] = lower.log10(u[~is_end], [ws[j] for j in first[~is_end].tolist()])
-            p1 = quantise(p1)[inverse]
-            count, known = lower.find(u)
-            base = np.bincount(doc, np.where(known, np.log10(count + 1.0), 0.0)[inverse], len(per))
-            n_known = np.bincount(doc, (known & (count > 0))[inverse], len(per)).astype(np.int64)
-            key = contexts(h, at, lower)
-            word = (mix64(h) >> U64(32)).astype(np.uint32)
-            train = np.array([not held_out(i) for i in ids])
-            # a chunk is known by its rows; equal chunks share a name, and their sums are shared out at the end
-            chunk = np.array([xxhash.xxh64_intdigest("".join(f"{i!r}:{t or ''}\n" for t, i in zip(texts, ids)).encode("utf-8", "surrogatepass"))], U64)
-            slot = (key >> U64(1)) % U64(shards)
-            # the flag stays lowest: 40 bits of what the shard leaves of the key, and the flag
-            low = (((key >> U64(1)) // U64(shards)) & U64(2**39 - 1)) << U64(1) | (key & U64(1))
-            out = []
-            for s, i in by_shard(slot, shards):
-                order = i[np.lexsort((doc[i], word[i], low[i]))]
-                k, w, d, p = low[order], word[order], doc[order], p1[order]
-                new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1])])
-                n = np.diff(np.r_[new, len(k)])  # a pair that a document repeats travels once
-                k, w, d, p = k[new], w[new], d[new], p[new]
-                head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                out.append((s, pack(chunk, k[head], np.diff(np.r_[head, len(k)]).astype(np.uint32), w, d.astype(np.uint32), (2 * n + train[d]).astype(np.uint32), p)))
-            doc_ids, null = np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids])
-            out.append((-1 - int(chunk[0] % U64(sums_in)), pack(chunk, doc_ids, null, size, n_known, base)))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "blob"])
-
-    def by_trie(t: pa.Table) -> pa.Table:
-        if (own := t.column("shard")[0].as_py()) < 0:  # documents' own rows, dealt as their sums will be
-            blobs = t.column("blob").combine_chunks()
-            return pa.table({"shard": pa.array(np.full(len(blobs), -1 - own), pa.int32()), "blob": blobs})
-        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-        chunks, own, docs_before = [], [], 0
-        for blob in t.column("blob").to_pylist():
-            chunk, head, fan, w, d, n, p = unpack(blob)
-            mine, d = np.unique(d, return_inverse=True)
-            for c, x in zip(cols, (np.repeat(head, fan), w, d + docs_before, n, p)):
-                c.append(x)
-            chunks.append(chunk)
-            own.append(mine)
-            docs_before += len(mine)
-        key, w, d, n, p = map(np.concatenate, cols)
-        del cols
-        order = np.lexsort((w, key))
-        key, w, d, n, p = key[order], w[order], d[order], n[order], p[order]
-        train, n = n & 1, n >> 1
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (w[1:] != w[:-1])])
-        pair_key, pair_word = key[starts], w[starts]
-        trained = np.add.reduceat(n * train, starts).astype(np.int64)
-        seen = trained > 0
-        trie = Trie(pair_key[seen], pair_word[seen], trained[seen], DISCOUNT, STRENGTH)
-        place, there = trie.find(pair_key)
-        prob = trie.prob(place, there, pair_word.astype(U64), 10.0 ** dequantise(p[starts]))
-        context_count = np.zeros(len(starts), np.int64)
-        context_count[there] = trie.count(place[there])
-        each = np.diff(np.r_[starts, len(key)])
-        counted = np.where(pair_key & U64(1), context_count, 0)
-        of = lambda values: np.bincount(d, np.repeat(values, each) * n, docs_before)
-        # sums travel as whole numbers of small steps, whose upper bytes pack to nothing
-        sums = [np.rint(of(v) * scale).astype(np.int64) for v, scale in ((counted > 0, 1), (np.log10(counted + 1.0), BASE_STEPS), (np.log10(prob), SCORE_STEPS))]
-        ends = np.cumsum([len(x) for x in own])
-        out = [(int(c[0] % U64(sums_in)), pack(c, mine, *[x[e - len(mine) : e] for x in sums])) for c, mine, e in zip(chunks, own, ends)]
-        return pa.table({"shard": pa.array([s for s, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    def add_up(t: pa.Table) -> pa.Table:
-        own: dict[int, list] = {}
-        sums: dict[int, list[np.ndarray]] = {}
-        parts = []
-        for blob in t.column("blob").to_pylist():
-            chunk, *x = unpack(blob)
-            if x[1].dtype == bool:
-                own.setdefault(int(chunk[0]), []).append(x)
-            else:
-                parts.append((int(chunk[0]), x))
-        for chunk, (docs_of, *values) in parts:
-            if chunk not in sums:
-                sums[chunk] = [np.zeros(len(own[chunk][0][0]), np.int64) for _ in values]
-            for total, v in zip(sums[chunk], values):
-                total[docs_of] += v
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for chunk, copies in own.items():
-            known, base, score = (x / len(copies) for x in sums[chunk])
-            for doc_id, null, size, n_known, own_base in copies:
-                for c, x in zip(out, (doc_id, null, size, n_known + np.rint(known).astype(np.int64), own_base + base / BASE_STEPS, score / SCORE_STEPS)):
-                    c.append(x)
-        doc_id, null, size, known, base, score = map(np.concatenate, out)
-        return pa.table({"doc_id": pa.array(doc_id, mask=null), "n_tokens": size.astype(np.int64), "n_known": known, "base": base, "score": score})
-
-    packed = docs.mapInArrow(emit, PACKED)
-    sums = keep(packed.groupBy("shard").applyInArrow(by_trie, PACKED), "sums")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions(spark), math.ceil(size / PER_SHARD))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        task = TaskContext.get().partitionId() << 32
+        for k, (texts, ids) in enumerate(text_chunks(batches, ["text", "doc_id"], CHUNK)):
+            out = list(asked(Grams(texts, hashes), np.array([not held_out(i) for i in ids]), n))
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            null = np.array([i is None for i in ids])
+            own = pack(np.array([0 if i is None else i for i in ids], np.int64), null, np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
+            out.append((-1 - (task + k) % n, own))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([task + k] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "chunk", "blob"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        shard, chunks, blobs = t.column("shard")[0].as_py(), t.column("chunk").to_pylist(), t.column("blob").to_pylist()
+        tokens = distinct = 0
+        if shard >= 0:  # below are the chunks' own texts, which go on as they are
+            found, tokens, distinct = answered([unpack(x) for x in blobs])
+            blobs = [pack(*x) for x in found]
+            trim()
+        first = [i == 0 for i in range(len(blobs))]
+        return pa.table(
+            {"chunk": pa.array(chunks, pa.int64()), "shard": pa.array([shard] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary()), "tokens": [tokens * f for f in first], "distinct": [distinct * f for f in first]}
+        )
+
+    packed = docs.mapInArrow(ask, "shard int, chunk long, blob binary")
+    answers = keep(packed.groupBy("shard").applyInArrow(answer, "chunk long, shard int, blob binary, tokens long, distinct long"), "answers")
     del packed
     release(spark)
-    n, v = lower.tokens, lower.distinct
-    whole = sums.groupBy("shard").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base double, score double")
+    tokens, distinct = answers.agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct = tokens or 0, distinct or 0
+
+    def finish(t: pa.Table) -> pa.Table:
+        got = dict(zip(t.column("shard").to_pylist(), t.column("blob").to_pylist()))
+        ids, null, lengths, raw = unpack(got.pop(min(got)))
+        ends = np.cumsum(lengths)
+        raw = raw.tobytes()
+        g = Grams([raw[e - k : e].decode("utf-8", "surrogatepass") for k, e in zip(lengths.tolist(), ends.tolist())], Hashes())
+        _, shards = g.dealt(n)
+        counts = [np.zeros(len(g.words), np.int64), *(np.zeros(len(w), np.uint16) for _, w in g.grams)]
+        for s, blob in got.items():
+            for to, of, x in zip(counts, shards, unpack(blob)):
+                if s in of:
+                    to[of[s]] = x
+        counts[1:] = [dequantise(c) for c in counts[1:]]
+        p = probabilities(g, counts, tokens, distinct)
+        count = counts[0][g.of[0]]
+        of_doc = lambda x: np.add.reduceat(x, g.first)
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, mask=null),
+                "n_tokens": g.size,
+                "n_known": of_doc((count > 0).astype(np.int64)),
+                "base": of_doc(np.log10(count + 1.0)),
+                "score": of_doc(np.log10(p)),
+            }
+        )
+
+    whole = answers.select("chunk", "shard", "blob").groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base double, score double")
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return whole.select(
         "doc_id",
         (F.crc32(text.cast("binary")) % FOLDS == HELD).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * math.log10(tokens + distinct + 1)).alias("base_score"),
         "score",
     )

@@ -1,12 +1,19 @@
 """An n-gram trie of Elias-Fano levels in a memory-mapped file.
 
-Level one holds the contexts (sorted keys), level two the words that follow
-each. A level is a monotone sequence in Elias-Fano form: low bits packed, high
-bits in unary. Words are stored relative to their context: each is raised by the
-last value of the context before, which keeps the whole level monotone, and a
-word is found by successor search within its context's range. Pointers from
-contexts to their words, and cumulative counts, are Elias-Fano sequences too.
-Probabilities are quantised to steps of 1/STEP in log10.
+A level holds the words that follow the nodes of the level above. Its sequence
+is monotone: a node's words are sorted, and each is raised by the last value of
+the node before (words are relative to their context). Pointers, a monotone
+sequence too, tell where each node's words begin. A word is found by successor
+search within its context's range.
+
+A sequence in Elias-Fano form is its numbers' low bits, packed, and their high
+bits in unary. Both are read in place: one number is a select on the unary part
+(a rank directory with a count for each 64 bits, then a table of bytes) and a
+few bytes of the packed part, and a successor search narrows to the numbers of
+equal high bits first.
+
+Each node has the log10 of its n-gram's add-one smoothed probability, up to the
+corpus's common factor, quantised to steps of 1/STEP.
 """
 
 from __future__ import annotations
@@ -18,18 +25,25 @@ import numpy as np
 from .common import U64
 
 STEP = 1024
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Ones of a byte, and the place of its j-th one.
+ONES = _BITS.sum(1).astype(np.uint8)
+PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
+BLOCK = 1 << 18
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEP), 0, 65535).astype(np.uint16)
+def quantise(count: np.ndarray) -> np.ndarray:
+    """Counts as steps of log10(count + 1)."""
+    return np.minimum(np.rint(np.log10(count + 1.0) * STEP), 65535).astype(np.uint16)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    return code.astype(np.float64) / -STEP
+    """Counts of codes; exact up to some 400, and within 1/STEP in log10 above."""
+    return np.rint(10.0 ** (code.astype(np.float64) / STEP) - 1.0)
 
 
 class Sequence:
-    """A non-decreasing sequence of numbers below 2**62 in a slice of a mapped file."""
+    """A non-decreasing sequence of 64-bit numbers in a slice of a mapped file."""
 
     @staticmethod
     def write(values: np.ndarray, file) -> tuple[int, ...]:
@@ -37,100 +51,129 @@ class Sequence:
         top = int(values[-1]) + 1 if n else 1
         low = min(56, max(0, (top // max(n, 1)).bit_length() - 1))
         high = (values >> U64(low)).astype(np.int64) + np.arange(n)
-        at = file.tell()
-        bits = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
+        bits = np.zeros((int(high[-1]) // 64 + 1) * 64 if n else 64, np.uint8)
         bits[high] = 1
         upper = np.packbits(bits, bitorder="little")
+        ones = bits.reshape(-1, 64).sum(1)
+        at = file.tell()
         file.write(upper.tobytes())
-        if low:
-            lanes = (values[:, None] >> np.arange(low, dtype=U64)[None, :]).astype(np.uint8) & 1 if n < 50_000 else None
-            if lanes is None:  # in blocks of whole bytes, so that the bit matrix stays small
-                for i in range(0, n, 40_000):
-                    part = values[i : i + 40_000]
-                    file.write(np.packbits(((part[:, None] >> np.arange(low, dtype=U64)[None, :]) & U64(1)).astype(np.uint8), bitorder="little").tobytes())
-            else:
-                file.write(np.packbits(lanes, bitorder="little").tobytes())
-        file.write(bytes(8))
+        file.write((np.cumsum(ones) - ones).astype(np.uint32).tobytes())
+        file.write((np.cumsum(64 - ones) - (64 - ones)).astype(np.uint32).tobytes())
+        for i in range(0, n if low else 0, 40_000):  # blocks of whole bytes, so that the bit matrix stays small
+            part = values[i : i + 40_000, None] >> np.arange(low, dtype=U64)[None, :]
+            file.write(np.packbits((part & U64(1)).astype(np.uint8), bitorder="little").tobytes())
+        file.write(bytes(16 - file.tell() % 8))
         return at, n, low, len(upper), file.tell()
 
     def __init__(self, raw: np.ndarray, at: int, n: int, low: int, upper: int, end: int):
         self.n, self.low = n, low
-        self.lows = raw[at + upper : end]
-        ones = np.flatnonzero(np.unpackbits(raw[at : at + upper], bitorder="little"))
-        self.high = ones - np.arange(n)  # the select directory of the unary part
+        ranks = at + upper
+        self.upper = raw[at:ranks].reshape(-1, 8)
+        self.ones = raw[ranks : ranks + upper // 2].view(np.uint32)
+        self.zeros = raw[ranks + upper // 2 : ranks + upper].view(np.uint32)
+        self.lows = raw[ranks + upper : end]
+
+    def _select(self, i: np.ndarray, ranks: np.ndarray, flip: int) -> np.ndarray:
+        """Place in the unary part of each i-th one (flip 0) or zero (flip 255)."""
+        block = np.searchsorted(ranks, i.astype(np.uint32), "right") - 1
+        inside = (i - ranks[block]).astype(np.uint8)
+        eight = self.upper[block] ^ np.uint8(flip)
+        total = np.cumsum(ONES[eight], axis=1, dtype=np.uint8)
+        byte = np.minimum((total <= inside[:, None]).sum(1), 7)
+        row = np.arange(len(i))
+        value = eight[row, byte]
+        return block * 64 + byte * 8 + PLACE[value, np.minimum(inside - (total[row, byte] - ONES[value]), 7)]
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        out = self.high[i].astype(U64) << U64(self.low)
+        i = i.astype(np.int64)
+        out = (self._select(i, self.ones, 0) - i).astype(U64) << U64(self.low)
         if self.low:
-            bit = i.astype(np.int64) * self.low
+            bit = i * self.low
             byte, word = bit >> 3, np.zeros(len(bit), U64)
             for b in range((self.low + 14) // 8):
                 word |= self.lows[byte + b].astype(U64) << U64(8 * b)
             out |= (word >> (bit & 7).astype(U64)) & U64((1 << self.low) - 1)
         return out
 
+    def _bucket(self, high: np.ndarray) -> np.ndarray:
+        """The number of values with less than these high bits."""
+        out = np.full(len(high), self.n, np.int64)
+        most = self.upper.size * 8 - self.n  # zeros of the unary part
+        out[high <= 0] = 0
+        on = np.flatnonzero((high > 0) & (high <= most))
+        out[on] = np.minimum(self._select(high[on] - 1, self.zeros, 255) - (high[on] - 1), self.n)
+        return out
+
     def successor(self, values: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
         """For each value the first position in [lo, hi) that holds no less, or hi."""
         lo = np.broadcast_to(np.asarray(lo, np.int64), len(values)).copy()
         hi = np.broadcast_to(np.asarray(self.n if hi is None else hi, np.int64), len(values)).copy()
-        want = (values >> U64(self.low)).astype(np.int64)
-        lo = np.minimum(np.maximum(lo, np.searchsorted(self.high, want, "left")), hi)
-        hi = np.maximum(np.minimum(hi, np.searchsorted(self.high, want, "right")), lo)
-        while True:
-            on = np.flatnonzero(lo < hi)
-            if not len(on):
-                return lo
+        high = np.minimum(values >> U64(self.low), U64(2**62)).astype(np.int64)
+        lo = np.minimum(np.maximum(lo, self._bucket(high)), hi)
+        hi = np.maximum(np.minimum(hi, self._bucket(high + 1)), lo)
+        on = np.flatnonzero(lo < hi)
+        while len(on):
             mid = (lo[on] + hi[on]) >> 1
             less = self[mid] < values[on]
             lo[on[less]] = mid[less] + 1
             hi[on[~less]] = mid[~less]
+            on = on[lo[on] < hi[on]]
+        return lo
 
 
 class Trie:
-    """Built from the trained (context, word, count) of one shard, sorted and distinct; words below 2**32."""
-
-    def __init__(self, ctx: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float, strength: float):
-        starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, np.int64)
-        bounds = np.r_[starts, len(ctx)].astype(np.int64)
-        fan = np.diff(bounds)
-        total = np.add.reduceat(count, starts) if len(ctx) else count
-        lasts = np.cumsum(word[bounds[1:] - 1].astype(U64)) if len(ctx) else np.zeros(0, U64)
-        lift = np.r_[U64(0), lasts[:-1]] if len(ctx) else lasts
-        norm = np.repeat(total + strength, fan)
+    """Levels of (parent, word, count), sorted and distinct: parent is a node of the level above (None for the first)."""
+
+    def __init__(self, levels: list[tuple[np.ndarray | None, np.ndarray, np.ndarray]]):
         self.file = tempfile.TemporaryFile()  # noqa: SIM115 - has no name, so nothing is left behind
-        plan = [Sequence.write(x, self.file) for x in (ctx[starts], bounds.astype(U64), np.repeat(lift, fan) + word, np.r_[0, np.cumsum(total)].astype(U64))]
-        probs = self.file.tell()
-        self.file.write(quantise(np.log10(np.maximum(count - discount, 1e-9) / norm)).tobytes())
-        weights = self.file.tell()
-        self.file.write(quantise(np.log10((discount * fan + strength) / (total + strength))).tobytes())
+        plan, above = [], 0
+        for parent, word, count in levels:
+            pointers = None
+            if parent is not None:
+                bounds = np.searchsorted(parent, np.arange(above + 1))
+                last = np.zeros(above, U64)
+                some = np.flatnonzero(np.diff(bounds))
+                last[some] = word[bounds[some + 1] - 1]
+                word = (np.cumsum(last, dtype=U64) - last)[parent] + word
+                pointers = Sequence.write(bounds.astype(U64), self.file)
+            words = Sequence.write(word, self.file)
+            codes = self.file.tell()
+            self.file.write(quantise(count).tobytes() + bytes(-2 * len(count) % 8))
+            plan.append((pointers, words, codes))
+            above = len(word)
         self.file.flush()
         raw = np.memmap(self.file, np.uint8, "r")
-        self.contexts, self.pointers, self.words, self.counts = (Sequence(raw, *x) for x in plan)
-        self.probs, self.weights = raw[probs:weights].view(np.uint16), raw[weights:].view(np.uint16)
-
-    def find(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each context, and whether it is there."""
-        i = self.contexts.successor(ctx)
-        there = i < self.contexts.n
-        there[there] = self.contexts[i[there]] == ctx[there]
-        return np.where(there, i, 0), there
-
-    def count(self, place: np.ndarray) -> np.ndarray:
-        return (self.counts[place + 1] - self.counts[place]).astype(np.int64)
-
-    def prob(self, place: np.ndarray, there: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probability of words after contexts, given the lower order's."""
-        out = lower.copy()
-        p = place[there]
-        if not len(p):
-            return out
-        lo, hi = self.pointers[p].astype(np.int64), self.pointers[p + 1].astype(np.int64)
-        lift = np.where(lo > 0, self.words[np.maximum(lo - 1, 0)], U64(0))
-        want = lift + word[there]
-        i = self.words.successor(want, lo, hi)
-        got = i < hi
-        got[got] = self.words[i[got]] == want[got]
-        direct = np.zeros(len(p))
-        direct[got] = 10.0 ** dequantise(self.probs[i[got]])
-        out[there] = direct + 10.0 ** dequantise(self.weights[p]) * lower[there]
+        self.pointers = [Sequence(raw, *p) if p else None for p, _, _ in plan]
+        self.words = [Sequence(raw, *w) for _, w, _ in plan]
+        self.codes = [raw[c : c + 2 * w[1]].view(np.uint16) for _, w, c in plan]
+
+    def _find(self, level: int, node: np.ndarray | None, word: np.ndarray) -> np.ndarray:
+        words, pointers = self.words[level], self.pointers[level]
+        if pointers is None:
+            lo, hi, want = 0, words.n, word
+        else:
+            lo, hi = pointers[node].astype(np.int64), pointers[node + 1].astype(np.int64)
+            want = word.copy()
+            on = np.flatnonzero(lo)
+            want[on] += words[lo[on] - 1]
+        i = words.successor(want, lo, hi)
+        got = np.flatnonzero(i < hi)
+        out = np.full(len(word), -1, np.int64)
+        got = got[words[i[got]] == want[got]]
+        out[got] = i[got]
+        return out
+
+    def find(self, level: int, node: np.ndarray | None, word: np.ndarray) -> np.ndarray:
+        """The node of each word after a node of the level above, or -1; after -1 there is none."""
+        out = np.full(len(word), -1, np.int64)
+        asked = np.arange(len(word)) if node is None else np.flatnonzero(node >= 0)
+        for i in range(0, len(asked), BLOCK):
+            on = asked[i : i + BLOCK]
+            out[on] = self._find(level, None if node is None else node[on], word[on])
+        return out
+
+    def code(self, level: int, node: np.ndarray) -> np.ndarray:
+        """Quantised probabilities of nodes; 0 for -1."""
+        out = np.zeros(len(node), np.uint16)
+        out[node >= 0] = self.codes[level][node[node >= 0]]
         return out

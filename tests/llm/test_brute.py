@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import decontaminate, fingerprint, lines, lm, minhash, packing, quality, secrets, toxicity
 from marginalia.llm.common import Hashes, table, words
 from marginalia.llm.components import components
-from marginalia.llm.trie import Sequence, Trie
+from marginalia.llm.trie import Sequence, Trie, dequantise
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,46 +129,80 @@ def test_sequences(tmp_path):
 
 
 def test_trie():
+    """Every node of three levels is found under its parent, nothing else is, and codes give the counts back."""
     rng = random.Random(3)
-    rows = sorted({(rng.randrange(1, 40), rng.randrange(2**32)) for _ in range(500)})
-    ctx, word = (np.array(x, np.uint64) for x in zip(*rows))
-    count = np.array([rng.randrange(1, 5) for _ in rows])
-    trie = Trie(ctx, word.astype(np.uint32), count, 0.8, 0.5)
-    place, there = trie.find(np.arange(45, dtype=np.uint64))
-    assert set(np.flatnonzero(there).tolist()) == set(ctx.tolist())
-    total, fan = Counter(), Counter()
-    for (c, _), n in zip(rows, count):
-        total[c] += int(n)
-        fan[c] += 1
-    for (c, w), n in zip(rows, count.tolist()):
-        p = trie.prob(place[[c]], there[[c]], np.array([w], np.uint64), np.array([0.01]))[0]
-        want = (n - 0.8) / (total[c] + 0.5) + (0.8 * fan[c] + 0.5) / (total[c] + 0.5) * 0.01
-        assert p == pytest.approx(want, rel=0.005)
-    assert trie.prob(place[[44]], there[[44]], np.array([5], np.uint64), np.array([0.01]))[0] == 0.01
+    paths = sorted({(rng.randrange(40), rng.randrange(2**40), rng.randrange(6)) for _ in range(900)} | {(7, 0, 0), (39, 2**40 - 1, 0)})
+    count = Counter({x: rng.randrange(1, 300) for x in paths})
+    levels, nodes = [], [{(): 0}]
+    for k in (1, 2, 3):
+        own = sorted({x[:k] for x in paths})
+        parent = np.array([nodes[-1][x[:-1]] for x in own]) if k > 1 else None
+        levels.append((parent, np.array([x[-1] for x in own], np.uint64), np.array([sum(count[y] for y in paths if y[:k] == x) for x in own])))
+        nodes.append({x: i for i, x in enumerate(own)})
+    trie = Trie(levels)
+    asked = paths + [(a, b, c + 1) for a, b, c in paths] + [(a + 1, b, c) for a, b, c in paths] + [(50, 1, 1)]
+    node = None
+    for k in range(3):
+        node = trie.find(k, node, np.array([x[k] for x in asked], np.uint64))
+        assert node.tolist() == [nodes[k + 1].get(x[: k + 1], -1) for x in asked]
+        assert dequantise(trie.code(k, node)).tolist() == pytest.approx([levels[k][2][i] if i >= 0 else 0 for i in node.tolist()], rel=1e-3)
+    empty = Trie([(None, np.zeros(0, np.uint64), np.zeros(0)), (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))])
+    assert empty.find(1, empty.find(0, None, np.array([5], np.uint64)), np.array([5], np.uint64)).tolist() == [-1]
+
+
+class Counted:
+    """Orders one to four by plain counting, as the model's text says."""
+
+    def __init__(self, texts):
+        self.tokens = {i: ["<start>", *words(t), "<end>"] for i, t in texts.items()}
+        self.count, self.context = Counter(), Counter()
+        for i, ws in self.tokens.items():
+            if zlib.crc32(str(i).encode()) % lm.FOLDS != lm.HELD:
+                for j in range(1, len(ws)):
+                    for k in range(1, min(4, j + 1) + 1):
+                        self.count[tuple(ws[j - k + 1 : j + 1])] += 1
+                        self.context[tuple(ws[j - k + 1 : j])] += 1
+        self.n, self.v = self.context[()], sum(len(g) == 1 for g in self.count)
+
+    def p(self, context, w):
+        out = (self.count[(w,)] + 1) / (self.n + self.v + 1)
+        for k, prior in zip((1, 2, 3), lm.PRIOR):
+            if k <= len(context):
+                h = tuple(context[len(context) - k :])
+                out = (self.count[(*h, w)] + prior * out) / (self.context[h] + prior)
+        return out
 
 
 def test_language_model(docs, texts):
+    model = Counted(texts)
     rows = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    tokens = {i: words(t) + [None] for i, t in texts.items()}
-    count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
-    n, v = sum(count.values()), len(count)
-    for i, ws in tokens.items():
+    for i, ws in model.tokens.items():
         r = rows[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(w in count for w in ws), n, zlib.crc32(str(i).encode()) % 7 == 2)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel=1e-7)
+        known = sum(model.count[(w,)] > 0 for w in ws[1:])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws) - 1, known, model.n, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert r["base_score"] == pytest.approx(sum(math.log10((model.count[(w,)] + 1) / (model.n + model.v + 1)) for w in ws[1:]), rel=1e-9)
+        want = sum(math.log10(model.p(ws[max(0, j - 3) : j], ws[j])) for j in range(1, len(ws)))
+        assert r["score"] == pytest.approx(want, abs=5e-4 * len(ws))  # codes are steps of 1/1024
     held = [r for r in rows.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_lower_order_sums_to_one(docs):
-    """Over all words of up to two letters and the mass of the rest, which must stay below one."""
-    lower = lm.lower_order(docs)
-    types = [bytes(x) for k in (1, 2) for x in itertools.product(b"abcdefghijklmnopqrstuvwxyz|", repeat=k)]
-    h = Hashes().of(types)
-    unknown = ~lower.find(h)[1]
-    p = 10 ** lower.log10(h, types) - np.where(unknown, lower.rest / 2 * lower.others, 0.0)
-    # words outside the table share half of the rest, however many there are
-    assert 0 < p.sum() + lower.end + lower.rest / 2 <= 1
+    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+
+
+def test_orders_sum_to_one(texts):
+    """Over all known words, the end and the unknown, after contexts seen and unseen, of every length."""
+    model = Counted(texts)
+    every = [g[0] for g in model.count if len(g) == 1] + ["never\x00seen"]
+    longest = [g for g in model.count if len(g) == 3 and g[-1] != "<end>"]
+    for context in [(), ("<start>",), longest[0][1:], longest[5], ("no", "such", "words"), ("no", *longest[9][1:])]:
+        assert sum(model.p(context, w) for w in every) == pytest.approx(1)
+
+
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    """Bit for bit, whatever the partitions, chunks and shards."""
+    want = sorted(lm.score(docs.repartition(1)).collect(), key=lambda r: r["doc_id"])
+    assert sorted(lm.score(docs.repartition(12)).collect(), key=lambda r: r["doc_id"]) == want
+    monkeypatch.setattr(lm, "CHUNK", 50_000)
+    monkeypatch.setattr(lm, "PER_SHARD", 5_000)  # many shards, hence slices
+    assert sorted(lm.score(docs.repartition(3)).collect(), key=lambda r: r["doc_id"]) == want
 
 
 def test_packing(docs, texts):
