@@ -20,7 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
     """At most per_class documents of either label (text, label), in hash order of doc_id, and the share of label 1.
 
     Only rows outside fold 0 are read. A doc_id with several labels counts with
-    the least; null labels and ids don't count. The ids, 2 * per_class at most,
+    the least, one with several texts with that of the least hash; null labels
+    and ids don't count. The ids, 2 * per_class at most,
     are sent to all tasks, so documents aren't shuffled.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
@@ -32,8 +33,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
         share = min(1.0, 1.2 * per_class / max(1, counts.get(y, 0)) + 0.01)
         part = rows.where((F.col("label") == y) & (F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)))).orderBy(mark).limit(per_class)
         picked = part if picked is None else picked.union(part)
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    return chosen.select("doc_id", "text", "label"), counts.get(1, 0) / max(1, sum(counts.values()))
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    one = chosen.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
+    return one.select("doc_id", "x.text", "label"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def fitted(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:

@@ -181,4 +181,6 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
 
 
 def judged(scored: DataFrame, least: float) -> DataFrame:
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    """Scores with held_out and predicted; further columns follow."""
+    more = [c for c in scored.columns if c not in ("doc_id", "score")]
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)

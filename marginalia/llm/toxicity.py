@@ -9,8 +9,11 @@ words and on windows elsewhere. Marginals of whole documents come from forward
 and backward recursions, iterated over all positions at once until they settle:
 a step contracts, so a few rounds give the same numbers as a walk along the text.
 
-A document's score is a logistic function, fitted on a held-back part of the
-sample, of the log-odds of its likeliest toxic word. Only `per_class` documents
+A document's marginals are aggregated to the log-odds of its likeliest toxic word
+and the log of the expected number of toxic words; its score is a logistic
+function of both, fitted on a held-back part of the sample. Its offending offsets
+are those of words that are toxic with over one half, in code points, end
+exclusive. Words are runs without ASCII white space, in training and in use. Only `per_class` documents
 of either label are learnt from; all documents are scored, whole. Null and empty
 texts have no words and get the score of the least log-odds. Repeated rows get
 equal results. Columns besides doc_id and text are not read.
@@ -172,27 +175,30 @@ def tag(per: list[list[str]], emissions: Emissions, a: np.ndarray) -> tuple[np.n
     return marginals(e, first, a), n
 
 
-def highest(odds: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.full(len(n), NONE)
+def aggregated(odds: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each text the highest log-odds and the log of the expected number of toxic words, both NONE at least."""
+    out = np.full((len(n), 2), NONE)
     if len(odds):
-        out[n > 0] = np.maximum.reduceat(odds, (np.cumsum(n) - n)[n > 0])
-    return np.clip(out, NONE, -NONE)
+        at = (np.cumsum(n) - n)[n > 0]
+        out[n > 0, 0] = np.clip(np.maximum.reduceat(odds, at), NONE, -NONE)
+        out[n > 0, 1] = np.log(np.add.reduceat(1 / (1 + np.exp(-np.clip(odds, -60, 60))), at) + math.exp(NONE))
+    return out
 
 
-def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps with a light ridge."""
-    c = np.zeros(2)
-    x = np.stack([z, np.ones_like(z)], 1)
+def logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes of the columns of z, and an offset, by Newton steps with a light ridge."""
+    x = np.c_[z, np.ones(len(z))]
+    c = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(c))
         c = c - np.linalg.solve(h, x.T @ (p - y) + 0.05 * c)
-    return float(c[0]), float(c[1])
+    return c
 
 
 def fit(texts: list[str], labels: list[int], share: float) -> bytes:
     y = np.array(labels, np.int64)
-    raw = [t.split() for t in texts]
+    raw = [WORD.findall(t) for t in texts]
     per = [[c for w in ws if (c := core(w))] for ws in raw]
     learn = np.arange(len(y)) % 8 != 0
     bad = toxic_stems([w for w, k in zip(per, learn) if k], y[learn])
@@ -212,23 +218,24 @@ def fit(texts: list[str], labels: list[int], share: float) -> bytes:
             ys.append(tags[i : i + WINDOW])
     w, a = train(np.array(xs), np.array(ys).astype(float)) if xs else (np.zeros(BUCKETS), np.zeros((2, 2)))
     emissions = Emissions(w)
-    slope, offset = 1.0, 0.0
+    c = np.array([1.0, 0.0, 0.0])
     if len(y):
-        z = highest(*tag(raw, emissions, a))
-        slope, offset = logistic(z[~learn], y[~learn].astype(float)) if (~learn).any() else (1.0, 0.0)
+        z = aggregated(*tag(raw, emissions, a))
+        if (~learn).any():
+            c = logistic(z[~learn], y[~learn].astype(float))
         own = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         share = float(np.clip(share, 1e-3, 1 - 1e-3))
-        offset += np.log(share / (1 - share)) - np.log(own / (1 - own))
+        c[-1] += np.log(share / (1 - share)) - np.log(own / (1 - own))
     out = io.BytesIO()
-    np.savez(out, w=w.astype(np.float32), a=a, slope=slope, offset=offset)
+    np.savez(out, w=w.astype(np.float32), a=a, c=c)
     return out.getvalue()
 
 
 SPANS = "array<struct<start:long,end:long,probability:double>>"
 
 
-def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, spans: bool = False) -> DataFrame:
-    """doc_id and score of every document; with spans, also code-point offsets of words that are toxic with over 0.5."""
+def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
+    """doc_id, score and spans (offending words: start, end, probability) of every document."""
     rows, share = sample(docs, labels, label, per_class)
     model = docs.sparkSession.sparkContext.broadcast(fitted(rows, lambda texts, ys: fit(texts, ys, share)))
 
@@ -236,18 +243,15 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class:
         m = dict(np.load(io.BytesIO(model.value)))
         emissions = Emissions(m["w"].astype(np.float64))
         for texts, ids in text_chunks(batches, ["text", "doc_id"]):
-            per = [WORD.findall(t) if spans else t.split() for t in (t or "" for t in texts)]
-            odds, n = tag(per, emissions, m["a"])
-            z = np.clip(m["slope"] * highest(odds, n) + m["offset"], -50, 50)
-            cols = {"doc_id": pa.array(ids, pa.int64()), "score": pa.array(1 / (1 + np.exp(-z)))}
-            if spans:
-                ends = np.cumsum(n)
-                found = []
-                for text, lo, hi in zip(texts, ends - n, ends):
-                    hits = set(np.flatnonzero(odds[lo:hi] > 0).tolist())
-                    places = [(k, x.span()) for k, x in enumerate(WORD.finditer(text)) if k in hits] if hits else []
-                    found.append([{"start": s, "end": e, "probability": float(1 / (1 + np.exp(-odds[lo + k])))} for k, (s, e) in places])
-                cols["spans"] = pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double" + (f", spans {SPANS}" if spans else ""))
+            odds, n = tag([WORD.findall(t or "") for t in texts], emissions, m["a"])
+            z = np.clip(aggregated(odds, n) @ m["c"][:-1] + m["c"][-1], -50, 50)
+            found = []
+            ends = np.cumsum(n)
+            for text, lo, hi in zip(texts, ends - n, ends):
+                hits = set(np.flatnonzero(odds[lo:hi] > 0).tolist())
+                places = [(k, x.span()) for k, x in enumerate(WORD.finditer(text)) if k in hits] if hits else []
+                found.append([{"start": s, "end": e, "probability": float(1 / (1 + np.exp(-odds[lo + k])))} for k, (s, e) in places])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(1 / (1 + np.exp(-z))), "spans": pa.array(found, kind)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, spans {SPANS}")

@@ -436,6 +436,27 @@ def test_held_out(spark):
         assert r[0] >= least
 
 
+def test_toxic_documents_and_offsets(spark):
+    """Held-out recall and precision, and spans that are whole words of the text; other white space than ASCII's doesn't cut words."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    rows = quality.judged(toxicity.scores(docs, labels), 0.5).join(labels, "doc_id").where("held_out").join(docs, "doc_id").collect()
+    toxic, found = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["predicted"] == 1]
+    right = [r for r in found if r["toxic"] == 1]
+    assert len(right) >= 0.88 * len(toxic) and len(right) >= 0.9 * len(found)
+    for r in rows:
+        places = {m.span() for m in toxicity.WORD.finditer(r["text"])}
+        assert all((x["start"], x["end"]) in places and x["probability"] > 0.5 for x in r["spans"])
+    assert sum(len(r["spans"]) > 0 for r in right) >= 0.95 * len(right)
+    assert sum(len(r["spans"]) > 0 for r in rows if r["toxic"] == 0) < 0.03 * len(rows)
+    one = right[0]["spans"][0]
+    word = right[0]["text"][one["start"] : one["end"]]
+    odd = spark.createDataFrame([(10**7, "\U0001f600 plain\u00a0words " + word + "\u2003end\n" + word)], docs.schema)
+    row = toxicity.scores(docs.union(odd), labels).where("doc_id = 10000000").first()
+    text = odd.first()["text"]
+    assert all(text[x["start"] : x["end"]] in text.replace("\n", " ").split(" ") for x in row["spans"])
+
+
 def test_marginals():
     """The settled recursions against all taggings."""
     rng = np.random.default_rng(7)

@@ -51,7 +51,7 @@ ALL = [1, 2, 2, 3, 4, 5, 6, 7, 8, None, None]
 
 
 def test_scores_one_row_each(docs, none, labels):
-    for found in (quality.scores(docs, labels), toxicity.scores(docs, labels), toxicity.scores(docs, labels, spans=True), lm.score(docs)):
+    for found in (quality.scores(docs, labels), toxicity.scores(docs, labels), lm.score(docs)):
         rows = found.collect()
         assert sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x)) == ALL
         assert all(r["score"] == r["score"] for r in rows)
