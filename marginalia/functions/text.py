@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,30 @@ from pyspark.sql import functions as F
 HITS, TRANSCRIPT_BYTES, EMAIL_BYTES, DECIMAL_CHARS = 64, 4096, 320, 128
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sums_before(numbers: Column) -> Column:
+    """For an array of whole numbers, the sum of those before each; summed up in blocks, so that a long array takes little more than linear time."""
+    block = 256
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of(xs: Column) -> Column:
+        part = lambda b: F.slice(xs, b * block + 1, F.lit(block))
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / block).cast("int")), lambda b: total(part(b)))
+        earlier = let(sums, lambda s: F.transform(s, lambda _, i: total(F.slice(s, F.lit(1), i))))
+
+        def within(before: Column, b: Column) -> Column:
+            start = F.struct(before.alias("at"), F.array().cast("array<bigint>").alias("out"))
+            return F.aggregate(part(b), start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+
+        return F.flatten(F.transform(earlier, within))
+
+    return let(numbers, of)
+
+
 def utf16_length(text: Column) -> Column:
     """Number of UTF-16 code units; null for null."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
@@ -41,15 +66,49 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1))
 
 
+def replace_units(text: Column, start: Column, stop: Column, new: Column, expected: Column | None = None) -> tuple[Column, Column]:
+    """text with [start, stop) in UTF-16 units replaced, and why that can't be done (null where it can; the text is then as it was).
+
+    invalid_range: not a range of the text; invalid_utf16_boundary: an end splits
+    a surrogate pair; invalid_grapheme_boundary: an end splits a cluster;
+    broken_invariant: the range doesn't hold `expected`; no_op: it holds new.
+    """
+
+    def of(clusters: Column) -> Column:
+        lengths = F.transform(clusters, utf16_length)
+        bounds = F.array_append(sums_before(lengths), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x))
+
+        def place(b: Column) -> Column:
+            i, j = (F.array_position(b, x.cast("long")).cast("int") for x in (start, stop))
+            end = F.element_at(b, F.lit(-1))
+            old = F.array_join(F.slice(clusters, F.greatest(i, F.lit(1)), F.greatest(j - i, F.lit(0))), "")
+            splits = lambda x: ~utf16_to_bytes(text, x.cast("long")).isNotNull()
+            code = (
+                F.when(~F.coalesce((start >= 0) & (start <= stop) & (stop <= end), F.lit(False)), "invalid_range")
+                .when(splits(start) | splits(stop), "invalid_utf16_boundary")
+                .when((i == 0) | (j == 0), "invalid_grapheme_boundary")
+                .when(old != (F.lit(None).cast("string") if expected is None else expected), "broken_invariant")
+                .when(old == new, "no_op")
+            )
+            done = F.concat(F.array_join(F.slice(clusters, F.lit(1), F.greatest(i - 1, F.lit(0))), ""), new, F.array_join(F.slice(clusters, F.greatest(j, F.lit(1)), F.size(clusters)), ""))
+            return F.struct(F.when(code.isNull(), done).otherwise(text).alias("text"), code.alias("code"))
+
+        return let(bounds, place)
+
+    found = let(graphemes(text), of)
+    return found["text"], found["code"]
+
+
 def find_all(text: Column, query: str, most: int | None = None) -> Column:
     """UTF-16 starts, in the lower-cased text, of a query's matches from left to right without overlap; of the first `most` of them."""
     q = query.strip().lower()
     if not q:
         return F.array().cast("array<bigint>")
-    parts = F.split(F.lower(text), re.escape(q).replace("\\ ", " "))
-    hits = F.size(parts) - 1 if most is None else F.least(F.size(parts) - 1, F.lit(most))
-    starts = F.transform(F.sequence(F.lit(1), hits), lambda k: utf16_length(F.array_join(F.slice(parts, 1, k), q)))
-    return F.when(F.size(parts) > 1, starts).otherwise(F.array().cast("array<bigint>"))
+    parts = F.split(F.lower(text), re.escape(q).replace("\\ ", " "), -1 if most is None else most + 1)
+    own = len(q.encode("utf-16-le")) // 2
+    # a match begins after all parts and matches before it
+    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), utf16_length)
+    return let(lengths, lambda xs: F.zip_with(xs, sums_before(F.transform(xs, lambda x: x + own)), lambda x, before: before + x))
 
 
 def runs(text: Column) -> Column:

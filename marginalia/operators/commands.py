@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import replace_units as replace_text_units
+
 # Largest tables.
 ROWS, COLUMNS, CELLS = 50, 20, 1000
 
@@ -37,6 +39,21 @@ def replace_text(blocks: DataFrame, commands: DataFrame) -> DataFrame:
     return _with(blocks, commands).withColumn("text", text).select(blocks.columns)
 
 
+def replace_units(blocks: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """commands: doc_id, at (ordinal), start, stop (UTF-16 units), expected (null: anything), new; one for a document.
+
+    The blocks after all commands that can be done, and each command's doc_id and
+    code: null for done, invalid_target where the document has no such block, or
+    what `text.replace_units` says.
+    """
+    rows = _with(blocks, commands)
+    text, code = replace_text_units(F.col("text"), F.col("start"), F.col("stop"), F.col("new"), F.col("expected"))
+    after = rows.withColumn("text", F.when(F.col("at") == F.col("ordinal"), text).otherwise(F.col("text"))).select(blocks.columns)
+    hit = blocks.select("doc_id", F.col("ordinal").alias("at"), "text", F.lit(True).alias("_there"))
+    codes = commands.join(hit, ["doc_id", "at"], "left").select("doc_id", F.when(F.col("_there").isNull(), "invalid_target").otherwise(code).alias("code"))
+    return after, codes
+
+
 def replace_across(blocks: DataFrame, commands: DataFrame) -> DataFrame:
     """commands: doc_id, first, start, last, stop, new. The first block keeps its identity and takes what is left of the last; those between go."""
     rows = _with(blocks, commands)

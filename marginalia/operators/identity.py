@@ -46,6 +46,27 @@ def same_set(a: DataFrame, b: DataFrame, group: list[str], key: str) -> DataFram
     return both.groupBy(*group).agg(F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("extra")).withColumn("equal", (F.col("missing") + F.col("extra")) == 0)
 
 
+def disposition(records: DataFrame, durable: DataFrame, commit: str, kind: str, key: str, content: str) -> DataFrame:
+    """What becomes of each commit, whose records (commit, kind, key, content) meet durable ones (kind, key, content).
+
+    Kinds are transaction, audit, snapshot and asset. identity_conflict: a key is
+    there with other content. idempotent: all is there. partial_record_set: a
+    transaction without its audit or the other way round, a snapshot without its
+    transaction, or a transaction without an asset. committed: the rest.
+    """
+    there = durable.groupBy(kind, key).agg(F.min(content).alias("_low"), F.max(content).alias("_high"))
+    state = F.when(F.col("_low").isNull(), "missing").when((F.col("_low") == F.col(content)) & (F.col("_high") == F.col(content)), "exact").otherwise("conflict")
+    rows = records.join(there, [kind, key], "left").withColumn("_state", state)
+    of = lambda k: F.max(F.when(F.col(kind) == k, F.col("_state")))
+    found = rows.groupBy(commit).agg(
+        of("transaction").alias("_t"), of("audit").alias("_a"), of("snapshot").alias("_s"), F.bool_or(F.col("_state") == "conflict").alias("_conflict"),
+        F.bool_and(F.col("_state") == "exact").alias("_exact"), F.coalesce(F.bool_and(F.when(F.col(kind) == "asset", F.col("_state") == "exact")), F.lit(True)).alias("_assets"),
+    )
+    partial = ~F.col("_t").eqNullSafe(F.col("_a")) | ((F.col("_t") == "missing") & (F.col("_s") == "exact")) | ((F.col("_t") == "exact") & ~F.col("_assets"))
+    code = F.when(F.col("_conflict"), "identity_conflict").when(F.col("_exact"), "idempotent").when(F.coalesce(partial, F.lit(False)), "partial_record_set").otherwise("committed")
+    return found.select(commit, code.alias("disposition"))
+
+
 def completeness(descriptors: DataFrame, records: DataFrame, content_hash: str, size: str) -> DataFrame:
     """Each descriptor against the byte records: ok, missing, size_mismatch or divergent; unreferenced records don't matter."""
     found = records.groupBy(content_hash).agg(F.count("*").alias("_n"), F.min(size).alias("_low"), F.max(size).alias("_high"))

@@ -35,12 +35,26 @@ def carried(rows: DataFrame, key: str, order: list[str], value: Column, name: st
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def longest_prefix(rows: DataFrame, text: str, keys: DataFrame, key: str, longest: int) -> DataFrame:
-    """For each row the longest key that its text begins with, or null. Prefixes are joined by equality, not tried in turn."""
-    tagged = rows.withColumn("_id", F.struct(*rows.columns))
-    prefixes = tagged.select("_id", text, F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text)))).alias("_n")).withColumn(key, F.substr(text, F.lit(1), F.col("_n")))
-    found = prefixes.join(keys.select(key).distinct(), key).groupBy("_id").agg(F.max_by(key, F.length(key)).alias(key))
-    return tagged.join(found, "_id", "left").drop("_id")
+#: Keys of a prefix table that are written into the plan, at most; more are joined.
+LITERAL_KEYS = 256
+
+
+def longest_prefix(rows: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """For each row the longest key (not empty) that its text begins with, or null.
+
+    Few keys are tried within the row, longest first, without a shuffle. Of many,
+    the prefixes of each distinct text are joined by equality.
+    """
+    keys = keys.select(key).where(F.length(key) > 0).distinct()
+    few = sorted((r[key] for r in keys.limit(LITERAL_KEYS + 1).collect()), key=lambda k: (-len(k), k))
+    if len(few) <= LITERAL_KEYS:
+        fit = F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda k: F.startswith(F.col(text), k))
+        return rows.withColumn(key, F.get(fit, F.lit(0)))
+    longest = keys.agg(F.max(F.length(key))).first()[0]
+    texts = rows.select(F.col(text).alias("_text")).where(F.length("_text") > 0).distinct()
+    prefixes = texts.select("_text", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("_text")))).alias("_n")).withColumn(key, F.substr("_text", F.lit(1), F.col("_n")))
+    found = prefixes.join(keys, key).groupBy("_text").agg(F.max_by(key, F.length(key)).alias(key))
+    return rows.join(found, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 def successor(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:

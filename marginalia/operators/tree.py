@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes nest this deep at most; a chain that goes on is a cycle, or refused.
+#: Nodes nest this deep at most; a tree that goes on is refused.
 DEPTH = 32
 
 
 def paths(nodes: DataFrame, doc: str, node: str, parent: str, ordinal: str, deepest: int = DEPTH) -> DataFrame:
     """Each reachable node's depth, path of ordinals from the root (sortable: preorder) and root.
 
-    Level by level from the roots; each level is one join by (document, parent),
-    and the loop ends with the first empty level. Nodes of a cycle, and below
-    one, aren't reached from any root and don't appear.
+    Level by level from the roots; each level is one join by (document, parent)
+    with the level before, which is persisted, and the loop ends with the first
+    empty level. Nodes of a cycle, and below one, aren't reached from any root and
+    don't appear. Nodes below `deepest` levels are an error.
     """
     base = nodes.select(doc, node, parent, ordinal)
     level = base.where(F.col(parent).isNull()).select(doc, node, F.lit(0).alias("depth"), F.array(ordinal).alias("path"), F.col(node).alias("root"))
     out = level
-    for _ in range(deepest):
+    for depth in range(deepest + 1):
         up = level.select(doc, F.col(node).alias(parent), F.col("depth").alias("_d"), F.col("path").alias("_p"), "root")
         level = base.where(F.col(parent).isNotNull()).join(up, [doc, parent]).select(doc, node, (F.col("_d") + 1).alias("depth"), F.concat("_p", F.array(ordinal)).alias("path"), "root")
+        level = level.persist(StorageLevel.MEMORY_AND_DISK)
         if level.isEmpty():
             break
+        if depth == deepest:
+            raise ValueError(f"nodes nest deeper than {deepest} levels")
         out = out.union(level)
     return out
 

@@ -72,8 +72,9 @@ def glyph_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"))
+    rows = read(spark, sf_dir, "events").select("event_type", "value")
+    ends = rows.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    return aggregates.nearest_ranks(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95}).join(ends, "event_type").select("event_type", "p50", "p95", "least", "most")
 
 
 @query("SELECT l_orderkey, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS complete FROM lineitem GROUP BY 1")
@@ -100,10 +101,10 @@ def running_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over", F.col("total") > 1000)
 
 
-@query("SELECT page_id, length(html)::BIGINT AS size, html LIKE '%<table%' AS has_table FROM pages p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.page_id AND quality = 0) AND page_id % 3 = 0")
+@query("SELECT page_id, length(html)::BIGINT AS size, html LIKE '%<table%' AS has_table FROM pages p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.page_id AND quality = 0)")
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested pages without a text element: an anti-join and a filter."""
-    pages = read(spark, sf_dir, "pages").where("page_id % 3 = 0")
+    """Pages without a text element: an anti-join."""
+    pages = read(spark, sf_dir, "pages")
     text = read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("page_id"))
     return pages.join(text, "page_id", "left_anti").select("page_id", F.length("html").cast("long").alias("size"), F.col("html").contains("<table").alias("has_table"))
 

@@ -99,9 +99,19 @@ def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_lines(parts_of(spark, sf_dir))
 
 
-@query()
+JOINS = "greatest(0, lo - (y + height)) <= 2 * greatest(height, hi - lo) AND abs(x - le) <= 4 * greatest(height, hi - lo)"
+
+
+@query(
+    f"""
+WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y DESC, x, part) AS i FROM ({PARTS})),
+f AS (SELECT page, part, i, 1 AS block, x AS le, y AS lo, y + height AS hi FROM p WHERE i = 1
+UNION ALL SELECT p.page, p.part, p.i, CASE WHEN {JOINS} THEN block ELSE block + 1 END, CASE WHEN {JOINS} THEN least(le, x) ELSE x END,
+CASE WHEN {JOINS} THEN least(lo, y) ELSE y END, CASE WHEN {JOINS} THEN greatest(hi, y + height) ELSE y + height END FROM f JOIN p ON p.page = f.page AND p.i = f.i + 1)
+SELECT page, part AS line, block::BIGINT AS block FROM f"""
+)
 def reading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of lines; a fold over growing boxes, held against a plain walk in the tests."""
+    """Blocks of lines: a fold over growing boxes."""
     return layout.reading_blocks(parts_of(spark, sf_dir).withColumnRenamed("part", "line"))
 
 

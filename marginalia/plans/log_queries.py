@@ -78,13 +78,14 @@ def dedupe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH d AS (SELECT doc_id % 500 AS slot, sha256(text) AS h FROM documents), a AS (SELECT * FROM d WHERE slot % 2 = 0), b AS (SELECT * FROM d WHERE slot % 3 = 0),
+WITH d AS (SELECT doc_id % 500 AS slot, sha256(text) AS h FROM documents), a AS (SELECT * FROM d WHERE slot % 3 <> 0), b AS (SELECT * FROM d WHERE slot % 3 = 0 OR slot % 2 = 0),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT slot, count(*) AS records, count(DISTINCT h) AS contents, CASE WHEN count(DISTINCT h) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'idempotent' ELSE 'single' END AS status FROM u GROUP BY slot"""
 )
 def guarded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping sides that together are all documents."""
     docs = read(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("slot"), F.sha2("text", 256).alias("h"))
-    return identity.reconcile(docs.where("slot % 2 = 0").unionByName(docs.where("slot % 3 = 0")), ["slot"], F.col("h"))
+    return identity.reconcile(docs.where("slot % 3 <> 0").unionByName(docs.where("slot % 3 = 0 or slot % 2 = 0")), ["slot"], F.col("h"))
 
 
 @query(
@@ -200,9 +201,21 @@ def checkpoint_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.checkpoint_due(log_of(spark, sf_dir), "user_id", "revision", F.octet_length("props"), F.col("event_type") == "purchase").select("user_id", "revision", "since_records", "since_bytes", "due")
 
 
-@query()
+UNDO, REDO = "kind = 'undo'", "kind = 'redo'"
+
+
+@query(
+    "WITH RECURSIVE "
+    + LOG.strip().removeprefix("WITH ")
+    + f""", k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY revision) AS i, CASE WHEN event_id % 4 = 1 THEN 'undo' WHEN event_id % 9 = 2 THEN 'redo' ELSE 'commit' END AS kind FROM log),
+f AS (SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS stack, 0::BIGINT AS n, 0::BIGINT AS ignored FROM (SELECT DISTINCT user_id FROM k)
+UNION ALL SELECT f.user_id, k.i, CASE WHEN {UNDO} OR {REDO} THEN stack ELSE list_append(stack[1:n], event_id) END,
+CASE WHEN {UNDO} THEN greatest(n - 1, 0) WHEN {REDO} THEN least(n + 1, len(stack)) ELSE n + 1 END, ignored + CASE WHEN {UNDO} AND n = 0 OR {REDO} AND n = len(stack) THEN 1 ELSE 0 END
+FROM f JOIN k ON k.user_id = f.user_id AND k.i = f.i + 1), e AS (SELECT user_id, arg_max(stack, i) AS stack, arg_max(n, i) AS n, arg_max(ignored, i) AS ignored FROM f GROUP BY user_id)
+SELECT user_id, n AS applied, len(stack) - n AS redoable, ignored, CASE WHEN n > 0 THEN stack[n] END AS top FROM e"""
+)
 def undo_redo_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold in order; held against a plain walk in the tests."""
+    """What is applied after a log of commits, undos and redos, and what redo could bring back: a fold in order."""
     kind = F.when(F.col("event_id") % 4 == 1, "undo").when(F.col("event_id") % 9 == 2, "redo").otherwise("commit")
     return log.undo_redo(log_of(spark, sf_dir).withColumn("kind", kind), "user_id", "revision", "kind", "event_id")
 

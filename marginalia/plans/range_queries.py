@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import ranges
 from ..registry import query, read
 
@@ -15,9 +16,9 @@ lines AS (SELECT doc_id, ordinal, line, (coalesce(sum(length(line)) OVER (PARTIT
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with their start and stop where lines stand end to end."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
-    rows = ranges.prefix_sum(rows, "doc_id", ["ordinal"], F.length("line"), "start").withColumn("start", F.col("start").cast("long"))
-    return rows.withColumn("ordinal", F.col("ordinal").cast("long")).withColumn("stop", F.col("start") + F.length("line"))
+    split = lambda lines: F.zip_with(lines, text.sums_before(F.transform(lines, F.length)), lambda line, start: F.struct(line.alias("line"), start.alias("start")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.let(F.split("text", "\n"), split)).alias("ordinal", "x"))
+    return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "x.line", "x.start", (F.col("x.start") + F.length("x.line")).alias("stop"))
 
 
 def anchors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +95,7 @@ SELECT p.p_partkey, left(p_type, n) AS code FROM part p LEFT JOIN m USING (p_par
 )
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.createDataFrame([(k,) for k in KEYS], "code string")
-    return ranges.longest_prefix(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", keys, "code", max(map(len, KEYS))).select("p_partkey", "code")
+    return ranges.longest_prefix(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", keys, "code").select("p_partkey", "code")
 
 
 @query("SELECT o_orderkey, (SELECT min(n.o_orderdate) FROM orders n WHERE n.o_custkey = o.o_custkey AND n.o_orderdate > o.o_orderdate) AS following FROM orders o")

@@ -92,6 +92,26 @@ def flatten_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("places", F.when(F.size("places") > 0, F.col("places")))
 
 
+KINDS = ("transaction", "audit", "snapshot", "asset")
+
+
+@query(
+    f"""
+WITH r AS (SELECT o_orderkey AS commit, kind, o_orderkey * 4 + CASE kind {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))} END AS key, o_orderdate::VARCHAR AS content, o_orderkey % 16 AS how FROM orders, (VALUES {", ".join(f"('{k}')" for k in KINDS)}) k(kind)),
+s AS (SELECT *, CASE WHEN kind = 'asset' AND how = 9 OR kind = 'audit' AND how = 11 THEN 'conflict' WHEN how = 0 OR how IN (1, 9, 11) OR how = 2 AND kind <> 'asset' OR how = 3 AND kind = 'audit' OR how = 4 AND kind = 'snapshot' OR how = 5 AND kind <> 'snapshot' THEN 'exact' ELSE 'missing' END AS state FROM r)
+SELECT commit, CASE WHEN how IN (9, 11) THEN 'identity_conflict' WHEN how IN (0, 1) THEN 'idempotent' WHEN how IN (2, 3, 4) THEN 'partial_record_set' ELSE 'committed' END AS disposition FROM s GROUP BY commit, how"""
+)
+def commit_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits of four records each against a store that has all, some, none or others of them."""
+    key, how, kind = F.col("o_orderkey"), F.col("o_orderkey") % 16, F.col("kind")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (key * 4 + i).alias("key")) for i, k in enumerate(KINDS)])).alias("x")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", key.alias("commit"), each, F.col("o_orderdate").cast("date").cast("string").alias("content")).select("o_orderkey", "commit", "x.*", "content")
+    kept = how.isin(0, 1, 9, 11) | ((how == 2) & (kind != "asset")) | ((how == 3) & (kind == "audit")) | ((how == 4) & (kind == "snapshot")) | ((how == 5) & (kind != "snapshot"))
+    other = ((how == 9) & (kind == "asset")) | ((how == 11) & (kind == "audit"))
+    durable = rows.where(kept).select("kind", "key", F.when(other, "other").otherwise(F.col("content")).alias("content"))
+    return identity.disposition(rows.select("commit", "kind", "key", "content"), durable, "commit", "kind", "key", "content")
+
+
 @query("WITH a AS (SELECT p_brand AS id, p_type AS payload FROM part), g AS (SELECT id, count(DISTINCT payload) AS n FROM a GROUP BY 1) SELECT id, count(*) AS records, count(DISTINCT payload) AS contents, CASE WHEN count(DISTINCT payload) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'idempotent' ELSE 'single' END AS status FROM a GROUP BY id")
 def payload_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one identity must have one payload: by counting, not by joining a table with itself."""

@@ -43,12 +43,15 @@ WITH g AS (SELECT conv_id, turn, role, text, unnest(range(1, length(text) + 1))
 SELECT conv_id, turn, role, (i - 1)::BIGINT AS utf16_start, i::BIGINT AS utf16_end, sum(octet_length(encode(substr(text, i, 1)))) OVER (PARTITION BY conv_id, turn, role, text ORDER BY i)::BIGINT AS utf8_end FROM g"""
 )
 def grapheme_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of the clusters of every turn, in UTF-16 units and bytes: sums of what stands before, in linear time."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.posexplode(text.graphemes(F.col("text"))).alias("i", "g"))
-    w = Window.partitionBy("conv_id", "turn", "role", "text").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    units = text.utf16_length(F.col("g"))
-    end = F.sum(units).over(w)
-    return rows.select("conv_id", "turn", "role", (end - units).alias("utf16_start"), end.alias("utf16_end"), F.sum(text.utf8_length(F.col("g"))).over(w).alias("utf8_end"))
+    """Spans of the clusters of every turn, in UTF-16 units and bytes: sums of what stands before, within the row."""
+
+    def spans(g):
+        units, size = F.transform(g, text.utf16_length), F.transform(g, text.utf8_length)
+        return F.arrays_zip(units.alias("units"), size.alias("size"), text.sums_before(units).alias("start"), text.sums_before(size).alias("bytes"))
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.explode(text.let(text.graphemes(F.col("text")), spans)).alias("x"))
+    x = F.col("x")
+    return rows.select("conv_id", "turn", "role", x["start"].alias("utf16_start"), (x["start"] + x["units"]).alias("utf16_end"), (x["bytes"] + x["size"]).alias("utf8_end"))
 
 
 @query(
@@ -60,10 +63,15 @@ SELECT doc_id, start::BIGINT AS start, (start + length(run))::BIGINT AS stop FRO
 )
 def word_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(start, stop) in code points of maximal runs of letters."""
-    runs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.runs(F.col("text"))).alias("i", "run"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).cast("long")
-    return runs.withColumn("start", start).where(F.col("run").rlike(r"^\p{L}")).select("doc_id", "start", (F.col("start") + F.length("run")).alias("stop"))
+    # runs of letters and of others take turns, so a word is every other run
+    def words(runs):
+        length = F.transform(runs, F.length)
+        first = F.when(F.get(runs, F.lit(0)).rlike(r"^\p{L}"), 0).otherwise(1)
+        both = F.zip_with(text.sums_before(length), length, lambda s, n: F.struct(s.alias("start"), (s + n).alias("stop")))
+        return F.filter(both, lambda _, i: F.pmod(i, F.lit(2)) == first)
+
+    found = F.explode(text.let(text.runs(F.col("text")), words)).alias("x")
+    return read(spark, sf_dir, "documents").select("doc_id", found).select("doc_id", "x.start", "x.stop")
 
 
 @query(

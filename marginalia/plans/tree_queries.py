@@ -68,6 +68,29 @@ def replace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(commands.replace_text(blocks_of(spark, sf_dir), orders_of(spark, sf_dir, at=0, start=2, stop=8, new="NEW")))
 
 
+MIXED = "e\u0301\U0001f600x"  # a letter with a mark, a character of two units, a letter
+
+
+@query(
+    BLOCKS
+    + f""", f AS (SELECT doc_id, '{MIXED}' || left(text, 20) AS text, doc_id % 7 = 0 AS lost, doc_id % 8 AS how FROM blocks WHERE ordinal = 0),
+c AS (SELECT *, CASE WHEN lost THEN 'invalid_target' WHEN how = 1 THEN 'invalid_utf16_boundary' WHEN how = 2 THEN 'invalid_grapheme_boundary' WHEN how IN (3, 4) THEN 'invalid_range' WHEN how = 5 THEN 'no_op' WHEN how = 6 THEN 'broken_invariant' END AS code FROM f)
+SELECT doc_id, code, CASE WHEN code IS NOT NULL THEN text WHEN how = 0 THEN replace(text, '\U0001f600', 'new') ELSE 'new' || text END AS text FROM c"""
+)
+def replace_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits by UTF-16 units on cluster boundaries, each with its code; the first line of each document after them."""
+    how = F.col("doc_id") % 8
+    first = blocks_of(spark, sf_dir).where("ordinal = 0").withColumn("text", F.concat(F.lit(MIXED), F.substring("text", 1, 20)))
+    start = F.when(how == 1, 3).when(how == 2, 1).when(how == 3, 5).when(how.isin(5, 7), 0).otherwise(2)
+    stop = F.when(how == 2, 2).when(how == 4, 10**6).when(how == 5, 2).when(how == 7, 0).otherwise(4)
+    new = F.when(how == 5, MIXED[:2]).otherwise("new")
+    orders = read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 7 == 0, 10**6).otherwise(0).cast("long").alias("at"), start.alias("start"), stop.alias("stop"), new.alias("new"), F.when(how == 6, "other").alias("expected")
+    )
+    after, codes = commands.replace_units(first, orders)
+    return after.join(codes, "doc_id").select("doc_id", "code", "text")
+
+
 @query(
     BLOCKS
     + f""", last AS (SELECT doc_id, text FROM blocks WHERE ordinal = 2), b AS (SELECT b.doc_id, b.ordinal, node, kind, CASE WHEN b.doc_id % 3 = 0 AND b.ordinal = 0 THEN left(b.text, 3) || '+' || substr(l.text, 5) ELSE b.text END AS text FROM blocks b LEFT JOIN last l USING (doc_id)

@@ -47,13 +47,14 @@ def preflight(rows: DataFrame) -> DataFrame:
     return rows.withColumn("version", version).withColumn("code", code)
 
 
-def decode(rows: DataFrame, version: int) -> DataFrame:
-    """Rows of one version with their document as a struct; strict, so a malformed row is an error, and closed: a key that the version doesn't have gives code unknown_field."""
-    known = [c.strip().split(" ")[0] for c in SCHEMAS[version].split(", ") if " " in c.strip()]
-    keys = F.json_object_keys("raw")
-    found = F.from_json("raw", SCHEMAS[version], {"mode": "FAILFAST"})
-    extra = F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0
-    return rows.withColumn("document", found).withColumn("code", F.coalesce("code", F.when(extra, "unknown_field")))
+def fields(version: int) -> list[str]:
+    """The keys that a document of a version may have."""
+    return [c.strip().split(" ")[0] for c in SCHEMAS[version].split(", ") if " " in c.strip()]
+
+
+def decoded(raw: Column, version: int) -> Column:
+    """A document as a struct; strict, so a malformed one is an error."""
+    return F.from_json(raw, SCHEMAS[version], {"mode": "FAILFAST"})
 
 
 def encode(document: Column) -> Column:
@@ -84,18 +85,21 @@ HOPS: dict[int, Callable[[Column], Column]] = {0: _to_1, 1: _to_2, 2: _to_3}
 def migrate(rows: DataFrame) -> DataFrame:
     """Documents of any version (raw, version, code) at the current one: canonical text, and the hops that led there.
 
-    Rows are parted by version, each part goes through its hops, and their union
-    is the result; rows with a code are left out.
+    In one pass: a row's version picks its schema, the keys that it may have and
+    its hops. Rows with a code, and those with a key that their version doesn't
+    have, are left out.
     """
-    out = None
+    more = canonical = F.lit(None)
+    keys = F.json_object_keys("raw")
     for v in SCHEMAS:
-        part = decode(rows.where((F.col("version") == v) & F.col("code").isNull()), v).where("code is null")
-        d = F.col("document")
+        is_v = F.col("version") == v
+        d = decoded(F.col("raw"), v)
         for k in range(v, CURRENT):
             d = HOPS[k](d)
-        part = part.withColumn("canonical", encode(d)).withColumn("hops", F.lit(CURRENT - v)).drop("document")
-        out = part if out is None else out.unionByName(part)
-    return out
+        more = F.when(is_v, F.size(F.array_except(keys, F.array(*map(F.lit, fields(v)))))).otherwise(more)
+        canonical = F.when(is_v, encode(d)).otherwise(canonical)
+    good = rows.where(F.col("code").isNull() & F.col("version").isin(*SCHEMAS)).where(more == 0)
+    return good.withColumn("canonical", canonical).withColumn("hops", F.lit(CURRENT) - F.col("version"))
 
 
 def envelope(rows: DataFrame) -> DataFrame:
