@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all ends of edges (a, b long); component is the smallest node that can be reached.
 
-    Every round writes its edges to the shared folder, so lineage stays short
-    and a lost executor costs one round at most. A round leaves at most as many
+    Every round writes its edges to the shared folder and deletes those of the
+    round before, so lineage stays short and a lost executor costs one round at most. A round leaves at most as many
     edges as it got; hot nodes meet in partial minima and in joins that adaptive
     execution may split. Loops (a = a) are components of one; no edges, no rows.
     """
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = keep(edges.select("a", "b").where("a <> b").distinct(), "edges")
     mark = None
     while True:
-        now = keep(small_star(large_star(now)), "edges")
+        before, now = now, keep(small_star(large_star(now)), "edges")
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break
