@@ -24,6 +24,7 @@ one keeps its lines. Other columns may have any name and are carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, PACKED, U64, by_shard, free, keep, mix64, pack, partitions, release, text_chunks, unpack, words
+from .common import MIX, PACKED, U64, by_shard, discard, free, keep, mix64, pack, partitions, release, text_chunks, unpack, words
 
 #: Fewest words of a line that may lose or change one; shorter lines must be equal.
 LEAST_WORDS = 8
 CHUNK = 3_000_000
+PER_SHARD = 16_000_000  # bytes of text
 LAST = np.iinfo(np.int64).max  # a null doc_id's place
 BASE = U64(MIX[0])
 
@@ -111,7 +113,8 @@ def placed(docs: DataFrame, place: str, tie: str) -> DataFrame:
 
 def emit(docs: DataFrame, least: int) -> DataFrame:
     """Keys of all lines of rows (doc, tie, text), packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
-    n = 2 * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), math.ceil(size / PER_SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, ids, ties in text_chunks(batches, ["text", "doc", "tie"], CHUNK):
@@ -240,14 +243,16 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         for a, b in batches:
             yield pd.Series([(x := words(p)) == (y := words(q)) or (max(len(x), len(y)) >= least and within_one(x, y)) for p, q in zip(a, b)], dtype=bool)
 
-    return pairs.where(verified("line", "with_line")).groupBy(ROW).agg(F.min(F.struct(WITH)).alias("w")).select(*ROW, "w.*")
+    gone = keep(pairs.where(verified("line", "with_line")).groupBy(ROW).agg(F.min(F.struct(WITH)).alias("w")).select(*ROW, "w.*"), "gone")
+    discard(found, lines)
+    return gone
 
 
 def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS, out: str = "lines_removed") -> DataFrame:
     """docs with the lines that go taken out of text, and how many went in column `out`."""
     gone, place, tie = free(docs, "_gone"), free(docs, "_place"), free(docs, "_tie")
     docs = placed(docs, place, tie)
-    found = keep(duplicates(docs.select(F.col(place).alias("doc"), F.col(tie).alias("tie"), "text"), least), "gone")
+    found = duplicates(docs.select(F.col(place).alias("doc"), F.col(tie).alias("tie"), "text"), least)
     release(docs.sparkSession)
     numbers = found.groupBy(F.col("doc").alias(place), F.col("tie").alias(tie)).agg(F.collect_set("no").alias(gone))
     rows = docs.join(numbers, [place, tie], "left")
