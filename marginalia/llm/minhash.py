@@ -274,12 +274,14 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of text) for each row of docs."""
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of text) and component (its smallest class, null without shingles) for each row of docs."""
     found = keep(sketches(docs, rule), "sketches")
-    of = links(docs, found, rule, block)
-    rows = found.select("doc_id", "text_hash", "n_shingles", "class").join(of.withColumnRenamed("node", "class"), "class", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "class"))
-    some = rows.where("component is not null")
-    ids = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(ids, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    names = ["doc_id", "text_hash", "n_shingles", "class"]
+    some, none = found.where("class is not null").select(names), found.where("class is null").select(names)
+    rows = some.join(links(docs, found, rule, block).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(ids, "component")
+    # rows without shingles meet no join, so that many of them are no single task's
+    alone = none.select(*names, F.col("class").alias("component"), F.col("doc_id").alias("component_id"))
+    out = out.select(*alone.columns).union(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "component")
