@@ -1,12 +1,15 @@
 """URL filters: fixed rules, then a path-template tree judged by labelled purity. DataFrame functions only.
 
-Each host has a tree of path segments. Level by level, a node's children become
-one wildcard where they vary (at least FAN different ones, none with half of the
-rows), and a child joins the wildcard too where its labelled share of bad pages
-doesn't differ from its siblings' (a two-proportion test at Z). What stays apart
-stays literal. Segments past LEVELS are one. Templates are the resulting paths;
-one is rejected when its bad share, smoothed with PRIOR rows of the overall
-share, is at least REJECT.
+Each host has a tree of path segments. Level by level, a node's child is judged
+against its siblings where both have LEAST labelled pages or more: it differs
+when its share of bad pages does (a two-proportion test at Z), else it is alike.
+Children become one wildcard when they are alike, and where they vary (at least
+FAN different ones, none with half of the rows) also those that can't be judged.
+A child that differs stays literal however many siblings it has, and so does one
+that can't be judged beside few. Levels go on until no path has a further
+segment; those past LEVELS are one. Templates are the resulting paths; one is
+rejected when its bad share, smoothed with PRIOR rows of the overall share, is at
+least REJECT.
 
 Counting works on distinct (host, path) rows, so a host with a third of all
 pages is reduced before any shuffle by partial sums. Null urls and urls without
@@ -16,6 +19,8 @@ A page without a label counts for variety only. No labels: nothing is rejected.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-LEVELS, FAN, Z, PRIOR, REJECT = 4, 5, 2.0, 5.0, 0.5
+LEVELS, FAN, LEAST, Z, PRIOR, REJECT = 12, 5, 5, 2.0, 5.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,28 +59,29 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def templates(paths: DataFrame) -> DataFrame:
     """paths (host, path, n, labelled, bad; host and path distinct) with each one's template."""
     rows = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
+    whole = []
     for level in range(LEVELS):
-        if level < LEVELS - 1:
-            child = F.coalesce(F.get("segments", F.lit(level)), F.lit(""))
-        else:
-            child = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments"), F.lit(1))), "/")
-        rows = rows.withColumn("child", child)
+        whole.append(rows.where(F.size("segments") <= level).drop("segments"))
+        rows = rows.where(F.size("segments") > level)
+        if level and rows.isEmpty():  # kept below, so this only looks for a row
+            break
+        rows = rows.withColumn("child", F.get("segments", F.lit(level)) if level < LEVELS - 1 else F.array_join(F.slice("segments", level + 1, 1 << 30), "/"))
         nodes = rows.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         up = nodes.groupBy("host", "template").agg(
             F.count("*").alias("fan"), F.sum("n").alias("all"), F.max("n").alias("top"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
         )
         rest = F.col("all_labelled") - F.col("labelled")
-        p = F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0))
-        gap = F.col("bad") / F.nullif(F.col("labelled"), F.lit(0)) - (F.col("all_bad") - F.col("bad")) / F.nullif(rest, F.lit(0))
-        spread = p * (1 - p) * (1 / F.nullif(F.col("labelled"), F.lit(0)) + 1 / F.nullif(rest, F.lit(0)))
-        # no labels on either side, or no spread: nothing speaks against joining
-        alike = F.coalesce(gap * gap < Z * Z * spread, F.lit(True)) | (spread <= 0)
+        p = F.col("all_bad") / F.col("all_labelled")
+        gap = F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / rest
+        spread = p * (1 - p) * (1 / F.col("labelled") + 1 / rest)
+        known = (F.col("labelled") >= LEAST) & (rest >= LEAST)
+        differs = known & F.when(known, (spread > 0) & (gap * gap >= Z * Z * spread)).otherwise(False)
         varied = (F.col("fan") >= FAN) & (2 * F.col("top") < F.col("all"))
-        segment = F.when(F.col("child") == "", F.lit("")).when(varied | alike, F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
+        segment = F.when((known | varied) & ~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
         found = nodes.join(up, ["host", "template"]).select("host", "template", "child", segment.alias("segment"))
         rows = rows.join(found, ["host", "template", "child"]).withColumn("template", F.concat("template", "segment")).drop("segment", "child")
         rows = keep(rows, "templates")
-    return rows.drop("segments")
+    return functools.reduce(DataFrame.unionByName, whole, rows.drop("segments"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, bad: str = "quality", bad_value: int = 0) -> DataFrame:
@@ -101,15 +107,16 @@ def oracle() -> str:
     """The same in SQL."""
     levels = ""
     for k in range(LEVELS):
-        child = f"coalesce(segments[{k + 1}], '')" if k < LEVELS - 1 else f"array_to_string(segments[{k + 1}:], '/')"
+        child = f"segments[{k + 1}]" if k < LEVELS - 1 else f"array_to_string(segments[{k + 1}:], '/')"
         levels += f"""
-, c{k} AS (SELECT *, {child} AS child FROM t{k})
-, n{k} AS (SELECT host, template, child, sum(n) n, sum(labelled) labelled, sum(bad) bad FROM c{k} GROUP BY ALL)
-, u{k} AS (SELECT host, template, count(*) fan, sum(n) al, max(n) top, sum(labelled) al_l, sum(bad) al_b FROM n{k} GROUP BY ALL)
-, v{k} AS (SELECT n{k}.*, fan, al, top, al_l, al_b, bad / nullif(labelled, 0) - (al_b - bad) / nullif(al_l - labelled, 0) AS gap,
-  al_b / nullif(al_l, 0) * (1 - al_b / nullif(al_l, 0)) * (1 / nullif(labelled, 0) + 1 / nullif(al_l - labelled, 0)) AS spread FROM n{k} JOIN u{k} USING (host, template))
-, w{k} AS (SELECT host, template, child, CASE WHEN child = '' THEN '' WHEN (fan >= {FAN} AND 2 * top < al) OR coalesce(gap * gap < {Z * Z} * spread, true) OR coalesce(spread <= 0, false) THEN '/*' ELSE '/' || child END AS segment FROM v{k})
-, t{k + 1} AS (SELECT host, path, n, labelled, bad, segments, template || segment AS template FROM c{k} JOIN w{k} USING (host, template, child))"""
+, c{k} AS MATERIALIZED (SELECT *, {child} AS child FROM t{k} WHERE len(segments) > {k})
+, n{k} AS MATERIALIZED (SELECT host, template, child, sum(n) n, sum(labelled) labelled, sum(bad) bad FROM c{k} GROUP BY ALL)
+, u{k} AS MATERIALIZED (SELECT host, template, count(*) fan, sum(n) al, max(n) top, sum(labelled) al_l, sum(bad) al_b FROM n{k} GROUP BY ALL)
+, v{k} AS MATERIALIZED (SELECT n{k}.*, labelled >= {LEAST} AND al_l - labelled >= {LEAST} AS known, fan >= {FAN} AND 2 * top < al AS varied,
+  bad / labelled - (al_b - bad) / (al_l - labelled) AS gap, al_b / al_l * (1 - al_b / al_l) * (1 / labelled + 1 / (al_l - labelled)) AS spread FROM n{k} JOIN u{k} USING (host, template))
+, w{k} AS MATERIALIZED (SELECT host, template, child, CASE WHEN (known OR varied) AND NOT (known AND coalesce(spread > 0 AND gap * gap >= {Z * Z} * spread, false)) THEN '/*' ELSE '/' || child END AS segment FROM v{k})
+, t{k + 1} AS MATERIALIZED (SELECT host, path, n, labelled, bad, segments, template || segment AS template FROM c{k} JOIN w{k} USING (host, template, child)
+  UNION ALL SELECT * FROM t{k} WHERE len(segments) <= {k})"""
     rule = verdict = "NULL"
     for what, of, start in sorted(RULES, key=lambda r: len(r[1] + r[2])):
         fits = f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{start}')"
@@ -118,7 +125,7 @@ def oracle() -> str:
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)
 , p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r)
 , m AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS is_bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id)
-, t0 AS (SELECT host, path, count(*)::DOUBLE n, count(is_bad)::DOUBLE labelled, coalesce(sum(is_bad), 0)::DOUBLE bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM p LEFT JOIN m USING (page_id) GROUP BY host, path)
+, t0 AS MATERIALIZED (SELECT host, path, count(*)::DOUBLE n, count(is_bad)::DOUBLE labelled, coalesce(sum(is_bad), 0)::DOUBLE bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM p LEFT JOIN m USING (page_id) GROUP BY host, path)
 {levels}
 , o AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS share FROM t{LEVELS})
 , e AS (SELECT host, template, (sum(bad) + {PRIOR} * any_value(share)) / (sum(labelled) + {PRIOR}) AS bad_share FROM t{LEVELS}, o GROUP BY host, template)

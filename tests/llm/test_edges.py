@@ -117,3 +117,67 @@ def test_urls(spark, labels):
     }
     assert urls.judged(pages.where("false"), labels).count() == 0
     assert urls.judged(pages, labels.where("false")).count() == 6
+
+
+def page_rows(spark, rows):
+    """Pages of (host, path, is bad or None), numbered, and their labels."""
+    pages = spark.createDataFrame([(i, f"https://{h}{p}") for i, (h, p, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not bad)) for i, (_, _, bad) in enumerate(rows) if bad is not None], "doc_id long, quality int")
+    return pages, labels
+
+
+def test_url_templates_are_rejected(spark, tmp_path):
+    """A bad branch beside good ones, at any depth and however many siblings it has; ids are one wildcard; thin branches are left alone. The SQL says the same."""
+    import duckdb
+
+    rows = []
+    for k in range(8):  # many sections, one of them bad
+        rows += [("many.io", f"/s{k}/{i}", k == 3) for i in range(12)]
+    for i in range(12):  # two branches that part at the fifth segment
+        rows += [("deep.io", f"/a/b/c/d/bad/{i}", True), ("deep.io", f"/a/b/c/d/good/{i}", False)]
+    rows += [("thin.io", "/x/1", True), ("thin.io", "/y/1", False), ("thin.io", "/z/1", None)]
+    rows += [("tie.io", f"/t/{i}", i % 2 == 0) for i in range(10)]
+    rows += [("none.io", "", None), ("none.io", "/", None), ("none.io", "//q//", None), ("none.io", "/" + "/".join("abcdefghijklmnop"), None)]
+    rows += [("fill.io", f"/{i}", False) for i in range(200)]
+    pages, labels = page_rows(spark, rows)
+    found = urls.judged(pages, labels).orderBy("page_id").collect()
+    said = {(r["host"], r["path"]): (r["template"], r["verdict"]) for r in found}
+    assert said["many.io", "/s3/5"] == ("/s3/*", "block") and said["many.io", "/s4/5"] == ("/*/*", "allow")
+    assert said["deep.io", "/a/b/c/d/bad/7"] == ("/a/b/c/d/bad/*", "block") and said["deep.io", "/a/b/c/d/good/7"] == ("/a/b/c/d/good/*", "allow")
+    assert [said["thin.io", p] for p in ("/x/1", "/y/1", "/z/1")] == [("/x/1", "allow"), ("/y/1", "allow"), ("/z/1", "allow")]
+    assert said["none.io", "/a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p"][0] == "/a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p"
+    assert said["none.io", ""][0] == said["none.io", "/"][0] == "" and said["none.io", "//q//"][0] == "/q"
+    bad = {p for (h, p), (_, v) in said.items() if v == "block"}
+    assert all("/s3/" in p or "/bad/" in p for p in bad)
+    con = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", labels)):
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    told = {(r[0], r[1]): r[2:] for r in con.execute(f"select page_id, host, path, rule, verdict, template, bad_share from ({urls.oracle()})").fetchall()}
+    assert told == {(r["page_id"], r["host"]): (r["path"], r["rule"], r["verdict"], r["template"], r["bad_share"]) for r in found}
+
+
+def test_smoothed_share_at_the_bound(spark):
+    """A template whose smoothed share is just REJECT goes."""
+    share = 0.5  # as many bad as good overall, so smoothing leaves one half as it is
+    rows = [("a.io", f"/x/{i}", i % 2 == 0) for i in range(20)]
+    pages, labels = page_rows(spark, rows)
+    got = urls.judged(pages, labels).select("template", "verdict", "bad_share").distinct().collect()
+    assert [tuple(r) for r in got] == [("/x/*", "block", share)]
+
+
+def test_short_items_and_blocks(spark, monkeypatch):
+    """Items of one to five words leak where they stand in a row; blocks of the benchmark give what one search gives."""
+    docs = spark.createDataFrame(
+        [(1, "some words then Alpha, beta gamma! and more"), (2, "alpha then beta gamma"), (3, "zeta"), (4, None), (5, "zetas"), (None, "x zeta y alpha beta gamma")], "doc_id long, text string"
+    )
+    items = [(10, "alpha beta gamma"), (11, "Zeta."), (12, "..."), (None, "beta gamma")]
+    items += [(20 + i, " ".join(f"word{i}n{j}" for j in range(12))) for i in range(9)]
+    docs = docs.union(spark.createDataFrame([(100 + i, "before " + t + " after") for i, t in items[4:]], docs.schema))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 10), (1, None), (2, None), (3, 11), (None, 10), (None, 11), (None, None)} | {(100 + i, i) for i, _ in items[4:]}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+    found = decontaminate.leaks(docs, benchmark)
+    assert found.count() == docs.count()
+    assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == want
