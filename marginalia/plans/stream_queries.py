@@ -10,8 +10,10 @@ from ..streaming import state
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder all executors share, or one of the driver's own where none is named."""
+    """The folder all executors share, spark.checkpoint.dir. Only a local session may go without; it gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return where or spark.sparkContext._jvm.System.getProperty("java.io.tmpdir") + "/marginalia-checkpoints"
 
 
