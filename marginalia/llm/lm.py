@@ -12,24 +12,25 @@ context that was never seen gives the order below. A text is its words and an
 end; before the first word stands a start, which is context only, so the first
 word has order two at most and the second three.
 
-The work is one round trip, in which all n-grams have the same way whatever the
+The work goes order by order, and all n-grams have the same way whatever the
 size of the corpus:
 
-1. Each chunk of texts (about CHUNK bytes) asks for its distinct n-grams, once
-   each, with their counts in the chunk's training texts. Words are dealt by
-   hash, pairs by first word and a slice of the second, triples and fours by
-   first pair and a slice of the third. There is a slice for each SHARE shards,
-   so that a context which holds a third of all rows is spread over as many.
-2. A shard adds the counts up, builds its tries from what was trained (levels
-   word - word, and pair - word - word) in a memory-mapped file, and answers
-   each chunk in the order asked: exact counts of words, quantised
-   probabilities of longer n-grams.
-3. Each chunk's texts meet the answers and are scored.
+1. Texts are packed into chunks of about CHUNK bytes, a table in the shared folder.
+2. Each chunk asks for its distinct n-grams of the order, once each, with their
+   counts in the chunk's training texts. They are dealt by context and a slice of
+   the last word. There is a slice for each SHARE shards, so that a context which
+   holds a third of all rows is spread over as many.
+3. A shard adds the counts up, builds its part of the level from what was trained
+   (contexts, and the words after each) in a memory-mapped file, and answers each
+   chunk in the order asked: quantised probabilities, and exact counts of words.
+4. Each chunk's texts meet the answers of all orders and are scored.
 
 Everything is counted in full and counts are sums, so results don't depend on
-partitions or chunks. Only sums (N, V) go to the driver and nothing is
-broadcast. Words are known by 64 bits; in longer n-grams by 40 within their
-context, and pairs by 48 within their shard.
+the partitions of the input. Only sums (N, V) go to the driver and nothing is
+broadcast. Single words are known by 64 bits. In longer n-grams a word is known
+by 32 bits (24 in order four) within its context, and a context by 40 within its
+shard; so an n-gram that isn't there is taken for one that is with a chance of
+2**-32 (2**-24) for each word that follows its context.
 
 Nulls and empty texts are just the end token. A null doc_id counts as an empty
 string for the split. Repeated rows each count and each get a row. Only doc_id
@@ -44,74 +45,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, Hashes, by_shard, keep, mix64, pack, partitions, release, text_chunks, trim, unpack, words
+from .common import MIX, U64, by_shard, keep, mix64, pack, partitions, release, trim, unpack
 from .trie import Trie, dequantise
 
 FOLDS, HELD = 7, 2
 #: Weight of the order below in orders two, three and four.
 PRIOR = (1000.0, 100.0, 3.0)
+ORDERS = 1 + len(PRIOR)
 END, START = U64(xxhash.xxh64_intdigest(b" end")), U64(xxhash.xxh64_intdigest(b" start"))  # no word holds a blank
-WORD_BITS, PAIR_BITS = 40, 48
-PER_SHARD = 7_000_000  # bytes of text
+WORD_BITS, CONTEXT_BITS = {2: 32, 3: 32, 4: 24}, 40
+PER_SHARD = 10_000_000  # bytes of text
 SHARE = 16
-CHUNK = 2_500_000
+CHUNK = 3_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the number of each; a sort of number and place in one word, where both fit, is the fastest way."""
+    bits = len(x).bit_length()
+    if len(x) == 0 or int(x.max()) >> (64 - bits):
+        return np.unique(x, return_inverse=True)
+    both = np.sort(x.view(U64) << U64(bits) | np.arange(len(x), dtype=U64))
+    value, at = (both >> U64(bits)).view(np.int64), (both & U64((1 << bits) - 1)).view(np.int64)
+    new = np.r_[True, value[1:] != value[:-1]]
+    inverse = np.empty(len(x), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return value[new], inverse
+
+
 class Grams:
-    """The distinct n-grams of a chunk in sorted order, and which of them each token ends.
+    """The distinct n-grams of a chunk in sorted order, up to an order, and which of them each token ends.
 
-    words: hashes. pairs, triples, fours: (parent, word), where parents are
-    words, pairs and triples, and words are numbers in `words` (one past its end:
+    words: hashes. grams: (parent, word) for orders from two on, where parents are
+    n-grams of the order below and words are numbers in `words` (one past its end:
     the start). of: for each order the n-gram of each token, -1 for none.
     """
 
-    def __init__(self, texts: list[str | None], hashes: Hashes):
-        per = [words(t) for t in texts]
-        self.size = np.array([len(w) + 1 for w in per], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        h = np.full(int(self.size.sum()), END)
-        at = np.ones(len(h), bool)
-        at[np.cumsum(self.size) - 1] = False
-        h[at] = hashes.of([w for x in per for w in x])
-        self.place = np.arange(len(h)) - np.repeat(self.first, self.size)
-        self.words, one = np.unique(h, return_inverse=True)
+    def __init__(self, size: np.ndarray, coded: np.ndarray, hashes: np.ndarray, top: int = ORDERS):
+        """Of texts with `size` tokens each, the end included; coded has each word's number in hashes."""
+        self.size, self.first = size, np.cumsum(size) - size
+        self.words, rank = np.unique(np.r_[hashes, END], return_inverse=True)
+        one = np.full(int(size.sum()), rank[-1])
+        at = np.ones(len(one), bool)
+        at[np.cumsum(size) - 1] = False
+        one[at] = rank[coded]
+        self.place = np.arange(len(one)) - np.repeat(self.first, self.size)
         base = len(self.words) + 1
         before = np.where(self.place > 0, np.r_[0, one[:-1]], base - 1)
         self.of, self.grams = [one], []
-        for order in (2, 3, 4):
+        for order in range(2, top + 1):
             on = np.flatnonzero(self.place >= order - 2)
             parent = before[on] if order == 2 else self.of[-1][on - 1]
-            u, inverse = np.unique(parent * base + one[on], return_inverse=True)
-            of = np.full(len(h), -1, np.int64)
+            u, inverse = numbered(parent * base + one[on])
+            of = np.full(len(one), -1, np.int64)
             of[on] = inverse
             self.of.append(of)
             self.grams.append(np.divmod(u, base))
 
-    def counts(self, train: np.ndarray) -> list[np.ndarray]:
-        """How often training texts have each n-gram, by order."""
-        on = np.repeat(train, self.size)
-        sizes = (len(self.words), *(len(w) for _, w in self.grams))
-        return [np.bincount(o[on & (o >= 0)], minlength=n).astype(np.uint32) for o, n in zip(self.of, sizes)]
+    def counts(self, train: np.ndarray, order: int) -> np.ndarray:
+        """How often training texts have each n-gram of an order."""
+        of = self.of[order - 1]
+        n = len(self.words) if order == 1 else len(self.grams[order - 2][0])
+        return np.bincount(of[np.repeat(train, self.size) & (of >= 0)], minlength=n).astype(np.uint32)
 
-    def dealt(self, n: int) -> tuple[list[np.ndarray], list[dict[int, np.ndarray]]]:
-        """Codes of words and pairs; and for each order the n-grams of each of n shards, in order."""
-        slices = U64(1 + n // SHARE)
+    def dealt(self, order: int, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Codes of an order's contexts and of its words, and the n-grams of each of n shards, in order."""
         word = mix64(np.r_[self.words, START] ^ U64(MIX[3]))
-        (a, b), (p, c), (t, _) = self.grams
-        pair = mix64(word[a] * U64(MIX[1]) + word[b])
-        two = (word[a] + word[b] % slices) % U64(n)
-        three = (pair[p] + word[c] % slices) % U64(n)
-        shards = (word[:-1] % U64(n), two, three, three[t])
-        return [word >> U64(64 - WORD_BITS), pair >> U64(64 - PAIR_BITS)], [dict(by_shard(s, n)) for s in shards]
+        code = word
+        for parent, last in self.grams[: order - 2]:
+            code = mix64(code[parent] * U64(MIX[1]) + word[last])
+        parent, last = self.grams[order - 2]
+        shard = (code[parent] + word[last] % U64(1 + n // SHARE)) % U64(n)
+        return (code >> U64(64 - CONTEXT_BITS)), (word >> U64(64 - WORD_BITS[order])).astype(np.uint32), dict(by_shard(shard, n))
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,42 +134,23 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], np.diff(np.r_[new, len(x)]).astype(np.uint32)
 
 
-def asked(g: Grams, train: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    """What a chunk asks of each shard."""
-    counts = g.counts(train)
-    (word, pair), shards = g.dealt(n)
-    (a, b), (p, c), (t, d) = g.grams
-    none = np.zeros(0, np.int64)
-    for s in sorted(set().union(*shards)):
-        i1, i2, i3, i4 = (of.get(s, none) for of in shards)
-        first, fan = runs(a[i2])
-        root, fan3 = runs(p[i3])
-        fan4 = np.bincount(np.searchsorted(i3, t[i4]), minlength=len(i3)).astype(np.uint32)
-        yield s, pack(g.words[i1], counts[0][i1], word[first], fan, word[b[i2]], counts[1][i2], pair[root], fan3, word[c[i3]], counts[2][i3], fan4, word[d[i4]], counts[3][i4])
-
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Small numbers as bytes."""
+    return x.astype(np.uint8) if len(x) and int(x.max()) < 256 else x
 
-def merged(parent: np.ndarray | None, word: np.ndarray, count: np.ndarray) -> tuple[tuple, np.ndarray]:
-    """One trained level from rows of all chunks: (parent, word, count) without repeats, and each row's node, -1 for none.
 
-    Rows after -1 have no node.
-    """
-    if parent is None:
-        u, inverse = np.unique(word, return_inverse=True)
-        up = None
-    else:
-        if len(parent) and int(parent.max()) >= 1 << (63 - WORD_BITS):
-            order = np.lexsort((word, parent))
-        else:
-            order = np.argsort(np.where(parent < 0, 0, parent + 1).astype(U64) << U64(WORD_BITS) | word)
-        up, u = parent[order], word[order]
-        new = np.r_[True, (up[1:] != up[:-1]) | (u[1:] != u[:-1])][: len(u)]
-        inverse = np.empty(len(u), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        up, u = up[new], u[new]
-    total = np.bincount(inverse, count, len(u)).astype(np.int64)
-    kept = (total > 0) if up is None else (total > 0) & (up >= 0)
-    node = np.where(kept, np.cumsum(kept) - 1, -1)
-    return (None if up is None else up[kept], u[kept], total[kept]), node[inverse]
+def asked(g: Grams, train: np.ndarray, order: int, n: int) -> Iterator[tuple[int, bytes]]:
+    """What a chunk asks of each shard: contexts (in two parts), how many words after each, the words, and counts; with order two also single words and theirs."""
+    context, word, shards = g.dealt(order, n)
+    low, top = context.astype(np.uint32), (context >> U64(32)).astype(np.uint8)
+    parent, last = g.grams[order - 2]
+    count, single = g.counts(train, order), g.counts(train, 1)
+    alone = dict(by_shard(g.words % U64(n), n)) if order == 2 else {}
+    none = np.zeros(0, np.int64)
+    for s in sorted({*shards, *alone}):
+        i, one = shards.get(s, none), alone.get(s, none)
+        head, fan = runs(parent[i])
+        yield s, pack(low[head], top[head], narrow(fan), word[last[i]], narrow(count[i]), g.words[one], narrow(single[one]))
 
 
 def summed(count: np.ndarray, fan: np.ndarray) -> np.ndarray:
@@ -163,38 +158,24 @@ def summed(count: np.ndarray, fan: np.ndarray) -> np.ndarray:
     return np.add.reduceat(count, np.cumsum(fan, dtype=np.int64) - fan, dtype=np.int64) if len(fan) else np.zeros(0, np.int64)
 
 
-def answered(requests: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], int, int]:
-    """Answers to all requests of a shard: exact counts of words, codes of pairs, triples, fours; training tokens and distinct words."""
-    column = lambda i: np.concatenate([r[i] for r in requests])
-    u, inverse = np.unique(column(0), return_inverse=True)
-    total = np.bincount(inverse, column(1), len(u)).astype(np.int64)
-    out = [total[inverse]]
-    ends = [np.cumsum([len(r[0]) for r in requests])[:-1]]
-
-    word, fan, second, count = map(column, (2, 3, 4, 5))
-    one, node = merged(None, word, summed(count, fan))
-    parent = np.repeat(node, fan)
-    two, _ = merged(parent, second, count)
-    trie = Trie([one, two])
-    found = trie.find(0, None, word)
-    out.append(trie.code(1, trie.find(1, np.repeat(found, fan), second)))
-    ends.append(np.cumsum([len(r[4]) for r in requests])[:-1])
-    del word, fan, second, count, node, parent, one, two, trie, found
-
-    root, fan, third, count = map(column, (6, 7, 8, 9))
-    one, node = merged(None, root, summed(count, fan))
-    two, node = merged(np.repeat(node, fan), third, count)
-    fan4, fourth, count = map(column, (10, 11, 12))
-    three, _ = merged(np.repeat(node, fan4), fourth, count)
-    del node, count
-    trie = Trie([one, two, three])
-    del one, two, three
-    found = trie.find(1, np.repeat(trie.find(0, None, root), fan), third)
-    out.append(trie.code(1, found))
-    ends.append(np.cumsum([len(r[8]) for r in requests])[:-1])
-    out.append(trie.code(2, trie.find(2, np.repeat(found, fan4), fourth)))
-    ends.append(np.cumsum([len(r[11]) for r in requests])[:-1])
-    return list(zip(*(np.split(x, e) for x, e in zip(out, ends)))), int(total.sum()), int((total > 0).sum())
+def answered(requests: list[list[np.ndarray]], bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """Answers to all requests of a shard: codes of n-grams and exact counts of single words; and training tokens and distinct words."""
+    low, top, fan, word, count, single, own = (np.concatenate(x) for x in zip(*requests))
+    contexts, of = numbered(top.astype(np.int64) << 32 | low)
+    total = np.bincount(of, summed(count, fan), len(contexts))
+    grams, inverse = numbered(np.repeat(of, fan) << bits | word)
+    counts = np.bincount(inverse, count, len(grams))
+    del low, top, word, count
+    parent, last = grams >> bits, (grams & ((1 << bits) - 1)).astype(U64)
+    contexts, trained, seen = contexts.view(U64), total > 0, counts > 0
+    node = np.cumsum(trained) - 1
+    trie = Trie([(None, contexts[trained], total[trained]), (node[parent[seen]], last[seen], counts[seen])], bits)
+    # what many chunks ask is looked up once, and in the trie's order, so that its file is read from front to back
+    codes = trie.code(1, trie.find(1, trie.find(0, None, contexts)[parent], last))[inverse]
+    u, at = np.unique(single, return_inverse=True)
+    known = np.bincount(at, own, len(u)).astype(np.int64)
+    parts = lambda x, k: np.split(x, np.cumsum([len(r[k]) for r in requests])[:-1])
+    return list(zip(parts(codes, 3), parts(known[at], 5))), int(known.sum()), int((known > 0).sum())
 
 
 def probabilities(g: Grams, counts: list[np.ndarray], tokens: int, distinct: int) -> np.ndarray:
@@ -202,7 +183,7 @@ def probabilities(g: Grams, counts: list[np.ndarray], tokens: int, distinct: int
     own = [np.where(o >= 0, c[np.maximum(o, 0)] if len(c) else 0, 0).astype(np.float64) for o, c in zip(g.of, counts)]
     starts = float(counts[0][np.searchsorted(g.words, END)])  # as many as ends
     p = (own[0] + 1.0) / (tokens + distinct + 1.0)
-    for order, prior in zip((2, 3, 4), PRIOR):
+    for order, prior in enumerate(PRIOR, 2):
         context = np.r_[0.0, own[order - 2][:-1]]
         if order == 2:
             context = np.where(g.place > 0, context, starts)
@@ -210,54 +191,101 @@ def probabilities(g: Grams, counts: list[np.ndarray], tokens: int, distinct: int
     return p
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(partitions(spark), math.ceil(size / PER_SHARD))
+def arrow_chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows (text, doc_id) in order, in tables of about `most` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(batch.num_rows, int(np.searchsorted(ends, before + most - size, "left")) + 1)
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - before
+            start = stop
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text (its words and an end), the words by number, and the numbers' hashes. The words are those of `words`."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    every = lists.flatten()
+    real = pc.greater(pc.binary_length(every), 0)  # white space at an end gives an empty word
+    counts = np.diff(np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
+    found = every.filter(real).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found.dictionary.cast(pa.binary()).to_pylist()), U64, len(found.dictionary))
+    return counts + 1, found.indices.to_numpy(), hashes
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts: ids, whether they are null, tokens of each text, words by number, and the numbers' hashes."""
+    task = TaskContext.get().partitionId() << 32
+    for k, rows in enumerate(arrow_chunks(batches, CHUNK)):
+        ids = rows.column("doc_id").combine_chunks()
+        blob = pack(pc.fill_null(ids, 0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), *coded(rows.column("text").combine_chunks()))
+        yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+    trim()
+
+
+def answers(chunks: DataFrame, order: int, n: int) -> DataFrame:
+    """chunk, order, shard, blob with the answers of an order, and sums of tokens and distinct words with order two."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        task = TaskContext.get().partitionId() << 32
-        for k, (texts, ids) in enumerate(text_chunks(batches, ["text", "doc_id"], CHUNK)):
-            out = list(asked(Grams(texts, hashes), np.array([not held_out(i) for i in ids]), n))
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            null = np.array([i is None for i in ids])
-            own = pack(np.array([0 if i is None else i for i in ids], np.int64), null, np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
-            out.append((-1 - (task + k) % n, own))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([task + k] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "chunk", "blob"])
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, null, *tokens = unpack(blob.as_py())
+                train = np.array([not held_out(None if x else i) for i, x in zip(ids.tolist(), null.tolist())])
+                out = list(asked(Grams(*tokens, order), train, order, n))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "chunk", "blob"])
+        trim()
 
     def answer(t: pa.Table) -> pa.Table:
-        shard, chunks, blobs = t.column("shard")[0].as_py(), t.column("chunk").to_pylist(), t.column("blob").to_pylist()
-        tokens = distinct = 0
-        if shard >= 0:  # below are the chunks' own texts, which go on as they are
-            found, tokens, distinct = answered([unpack(x) for x in blobs])
-            blobs = [pack(*x) for x in found]
-            trim()
-        first = [i == 0 for i in range(len(blobs))]
+        found, tokens, distinct = answered([unpack(x) for x in t.column("blob").to_pylist()], WORD_BITS[order])
+        n = len(found)
+        first = np.arange(n) == 0
+        trim()
         return pa.table(
-            {"chunk": pa.array(chunks, pa.int64()), "shard": pa.array([shard] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary()), "tokens": [tokens * f for f in first], "distinct": [distinct * f for f in first]}
-        )
+            {
+                "chunk": t.column("chunk"), "order": pa.array(np.full(n, order), pa.int32()), "shard": t.column("shard"),
+                "blob": pa.array([pack(*x) for x in found], pa.binary()), "tokens": tokens * first, "distinct": distinct * first,
+            }
+        )
+
+    asks = chunks.mapInArrow(ask, "shard int, chunk long, blob binary")
+    return keep(asks.groupBy("shard").applyInArrow(answer, "chunk long, order int, shard int, blob binary, tokens long, distinct long"), "answers")
+
 
-    packed = docs.mapInArrow(ask, "shard int, chunk long, blob binary")
-    answers = keep(packed.groupBy("shard").applyInArrow(answer, "chunk long, shard int, blob binary, tokens long, distinct long"), "answers")
-    del packed
-    release(spark)
-    tokens, distinct = answers.agg(F.sum("tokens"), F.sum("distinct")).first()
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions(spark), math.ceil(size / PER_SHARD))
+    chunks = keep(docs.select("text", "doc_id").mapInArrow(cut, "chunk long, blob binary"), "chunks")
+    found = []
+    for order in range(2, ORDERS + 1):
+        found.append(answers(chunks, order, n))
+        release(spark)
+    tokens, distinct = found[0].agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = tokens or 0, distinct or 0
 
     def finish(t: pa.Table) -> pa.Table:
-        got = dict(zip(t.column("shard").to_pylist(), t.column("blob").to_pylist()))
-        ids, null, lengths, raw = unpack(got.pop(min(got)))
-        ends = np.cumsum(lengths)
-        raw = raw.tobytes()
-        g = Grams([raw[e - k : e].decode("utf-8", "surrogatepass") for k, e in zip(lengths.tolist(), ends.tolist())], Hashes())
-        _, shards = g.dealt(n)
+        rows = list(zip(t.column("order").to_pylist(), t.column("shard").to_pylist(), t.column("blob").to_pylist()))
+        ids, null, *own = unpack(next(blob for order, _, blob in rows if order == 0))
+        g = Grams(*own)
+        shards = {order: g.dealt(order, n)[2] for order in range(2, ORDERS + 1)}
+        alone = dict(by_shard(g.words % U64(n), n))
         counts = [np.zeros(len(g.words), np.int64), *(np.zeros(len(w), np.uint16) for _, w in g.grams)]
-        for s, blob in got.items():
-            for to, of, x in zip(counts, shards, unpack(blob)):
-                if s in of:
-                    to[of[s]] = x
+        for order, s, blob in rows:
+            if order:
+                codes, single = unpack(blob)
+                if s in shards[order]:
+                    counts[order - 1][shards[order][s]] = codes
+                if len(single):
+                    counts[0][alone[s]] = single
         counts[1:] = [dequantise(c) for c in counts[1:]]
         p = probabilities(g, counts, tokens, distinct)
         count = counts[0][g.of[0]]
@@ -272,7 +300,10 @@ def score(docs: DataFrame) -> DataFrame:
             }
         )
 
-    whole = answers.select("chunk", "shard", "blob").groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base double, score double")
+    rows = chunks.select("chunk", F.lit(0).alias("order"), F.lit(0).alias("shard"), "blob")
+    for f in found:
+        rows = rows.union(f.select("chunk", "order", "shard", "blob"))
+    whole = rows.groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base double, score double")
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return whole.select(
         "doc_id",

@@ -1,16 +1,16 @@
 """An n-gram trie of Elias-Fano levels in a memory-mapped file.
 
 A level holds the words that follow the nodes of the level above. Its sequence
-is monotone: a node's words are sorted, and each is raised by the last value of
-the node before (words are relative to their context). Pointers, a monotone
-sequence too, tell where each node's words begin. A word is found by successor
-search within its context's range.
+is monotone: a node's words are sorted, and each is raised by its node's number
+times the range of words (words are relative to their context). Pointers, a
+monotone sequence too, tell where each node's words begin. A word is found by
+successor search within its context's range.
 
 A sequence in Elias-Fano form is its numbers' low bits, packed, and their high
 bits in unary. Both are read in place: one number is a select on the unary part
-(a rank directory with a count for each 64 bits, then a table of bytes) and a
-few bytes of the packed part, and a successor search narrows to the numbers of
-equal high bits first.
+(a rank directory with a count for each 64 bits, then the place in a machine
+word) and a few bytes of the packed part. A successor search over a wide range
+begins at the first number of equal high bits.
 
 Each node has the log10 of its n-gram's add-one smoothed probability, up to the
 corpus's common factor, quantised to steps of 1/STEP.
@@ -26,10 +26,20 @@ from .common import U64
 
 STEP = 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-#: Ones of a byte, and the place of its j-th one.
-ONES = _BITS.sum(1).astype(np.uint8)
-PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
-BLOCK = 1 << 18
+#: Place of the j-th one of a byte, at 8 * byte + j.
+PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8).reshape(-1)
+ALL, TOPS, LOWS = U64(2**64 - 1), U64(0x8080808080808080), U64(0x0101010101010101)
+BLOCK, NARROW = 1 << 18, 16
+
+
+def select64(x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Place of the j-th one in each 64-bit number: counts of bytes summed within the number, then a table."""
+    s = x - ((x >> U64(1)) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+    s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * LOWS  # byte k: ones of bytes 0 to k
+    byte = np.bitwise_count(((j * LOWS | TOPS) - s) & TOPS).astype(U64) << U64(3)
+    rest = j - (((s << U64(8)) >> byte) & U64(255))
+    return byte + PLACE[((x >> byte) & U64(255)) << U64(3) | rest]
 
 
 def quantise(count: np.ndarray) -> np.ndarray:
@@ -59,117 +69,119 @@ class Sequence:
         file.write(upper.tobytes())
         file.write((np.cumsum(ones) - ones).astype(np.uint32).tobytes())
         file.write((np.cumsum(64 - ones) - (64 - ones)).astype(np.uint32).tobytes())
-        for i in range(0, n if low else 0, 40_000):  # blocks of whole bytes, so that the bit matrix stays small
-            part = values[i : i + 40_000, None] >> np.arange(low, dtype=U64)[None, :]
-            file.write(np.packbits((part & U64(1)).astype(np.uint8), bitorder="little").tobytes())
-        file.write(bytes(16 - file.tell() % 8))
+        if low and n:
+            # each word takes the numbers that begin in it, and the rest of one that began before
+            part, at_bit = values & U64((1 << low) - 1), np.arange(n, dtype=np.int64) * low
+            word, shift = at_bit >> 6, (at_bit & 63).view(U64)
+            lows = np.zeros(n * low // 64 + 1, U64)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            lows[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero(shift.view(np.int64) + low > 64)
+            lows[word[over] + 1] |= part[over] >> (U64(64) - shift[over])
+            file.write(lows.tobytes())
+        file.write(bytes(24 - file.tell() % 8))
         return at, n, low, len(upper), file.tell()
 
     def __init__(self, raw: np.ndarray, at: int, n: int, low: int, upper: int, end: int):
         self.n, self.low = n, low
         ranks = at + upper
-        self.upper = raw[at:ranks].reshape(-1, 8)
+        self.upper = raw[at:ranks].view(U64)
         self.ones = raw[ranks : ranks + upper // 2].view(np.uint32)
         self.zeros = raw[ranks + upper // 2 : ranks + upper].view(np.uint32)
-        self.lows = raw[ranks + upper : end]
+        packed = raw[ranks + upper : end]
+        # a machine word from any byte on; write leaves room for the last
+        self.lows = np.lib.stride_tricks.as_strided(packed[: len(packed) // 8 * 8].view(U64), (max(0, len(packed) - 8),), (1,))
 
-    def _select(self, i: np.ndarray, ranks: np.ndarray, flip: int) -> np.ndarray:
-        """Place in the unary part of each i-th one (flip 0) or zero (flip 255)."""
+    def _select(self, i: np.ndarray, ranks: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Place in the unary part of each i-th one (flip 0) or zero (flip ALL)."""
         block = np.searchsorted(ranks, i.astype(np.uint32), "right") - 1
-        inside = (i - ranks[block]).astype(np.uint8)
-        eight = self.upper[block] ^ np.uint8(flip)
-        total = np.cumsum(ONES[eight], axis=1, dtype=np.uint8)
-        byte = np.minimum((total <= inside[:, None]).sum(1), 7)
-        row = np.arange(len(i))
-        value = eight[row, byte]
-        return block * 64 + byte * 8 + PLACE[value, np.minimum(inside - (total[row, byte] - ONES[value]), 7)]
+        return (block << 6) + select64(self.upper[block] ^ flip, (i - ranks[block]).view(U64)).view(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        i = i.astype(np.int64)
-        out = (self._select(i, self.ones, 0) - i).astype(U64) << U64(self.low)
+        out = (self._select(i, self.ones, U64(0)) - i).view(U64) << U64(self.low)
         if self.low:
             bit = i * self.low
-            byte, word = bit >> 3, np.zeros(len(bit), U64)
-            for b in range((self.low + 14) // 8):
-                word |= self.lows[byte + b].astype(U64) << U64(8 * b)
-            out |= (word >> (bit & 7).astype(U64)) & U64((1 << self.low) - 1)
+            out |= (self.lows[bit >> 3] >> (bit & 7).view(U64)) & U64((1 << self.low) - 1)
         return out
 
-    def _bucket(self, high: np.ndarray) -> np.ndarray:
+    def _first(self, high: np.ndarray) -> np.ndarray:
         """The number of values with less than these high bits."""
         out = np.full(len(high), self.n, np.int64)
-        most = self.upper.size * 8 - self.n  # zeros of the unary part
+        most = len(self.upper) * 64 - self.n  # zeros of the unary part
         out[high <= 0] = 0
         on = np.flatnonzero((high > 0) & (high <= most))
-        out[on] = np.minimum(self._select(high[on] - 1, self.zeros, 255) - (high[on] - 1), self.n)
+        out[on] = np.minimum(self._select(high[on] - 1, self.zeros, ALL) - (high[on] - 1), self.n)
         return out
 
-    def successor(self, values: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
-        """For each value the first position in [lo, hi) that holds no less, or hi."""
+    def successor(self, values: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each value the first position in [lo, hi) that holds no less, or hi; and whether it holds that value."""
         lo = np.broadcast_to(np.asarray(lo, np.int64), len(values)).copy()
         hi = np.broadcast_to(np.asarray(self.n if hi is None else hi, np.int64), len(values)).copy()
-        high = np.minimum(values >> U64(self.low), U64(2**62)).astype(np.int64)
-        lo = np.minimum(np.maximum(lo, self._bucket(high)), hi)
-        hi = np.maximum(np.minimum(hi, self._bucket(high + 1)), lo)
-        on = np.flatnonzero(lo < hi)
-        while len(on):
-            mid = (lo[on] + hi[on]) >> 1
-            less = self[mid] < values[on]
-            lo[on[less]] = mid[less] + 1
-            hi[on[~less]] = mid[~less]
-            on = on[lo[on] < hi[on]]
-        return lo
+        if not self.n:
+            return lo, np.zeros(len(values), bool)
+        high = lambda on: np.minimum(values[on] >> U64(self.low), U64(2**62)).view(np.int64)
+        wide = np.flatnonzero(hi - lo > NARROW)
+        if len(wide):
+            lo[wide] = np.minimum(np.maximum(lo[wide], self._first(high(wide))), hi[wide])
+        # most are found where their range, or their high bits, begin
+        got, inside = self[np.minimum(lo, self.n - 1)], lo < hi
+        equal = inside & (got == values)
+        on = np.flatnonzero(inside & (got < values))
+        lo[on] += 1
+        near = 2  # few numbers share their high bits, so the next ones are tried before the range is halved
+        while len(on := on[lo[on] < hi[on]]):
+            if near == 0:
+                hi[on] = np.maximum(np.minimum(hi[on], self._first(high(on) + 1)), lo[on])
+                on = on[lo[on] < hi[on]]
+            at = lo[on] if near > 0 else lo[on] + hi[on] >> 1
+            got, want = self[at], values[on]
+            less = got < want
+            lo[on[less]] = at[less] + 1
+            hi[on[~less]] = at[~less]
+            equal[on[~less]] = got[~less] == want[~less]
+            near -= 1
+        return lo, equal
 
 
 class Trie:
-    """Levels of (parent, word, count), sorted and distinct: parent is a node of the level above (None for the first)."""
+    """Levels of (parent, word, count), sorted and distinct: parent is a node of the level above (None for the first).
 
-    def __init__(self, levels: list[tuple[np.ndarray | None, np.ndarray, np.ndarray]]):
+    Words after a node are below 2**bits.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray | None, np.ndarray, np.ndarray]], bits: int = 32):
+        self.bits = U64(bits)
         self.file = tempfile.TemporaryFile()  # noqa: SIM115 - has no name, so nothing is left behind
         plan, above = [], 0
         for parent, word, count in levels:
             pointers = None
             if parent is not None:
-                bounds = np.searchsorted(parent, np.arange(above + 1))
-                last = np.zeros(above, U64)
-                some = np.flatnonzero(np.diff(bounds))
-                last[some] = word[bounds[some + 1] - 1]
-                word = (np.cumsum(last, dtype=U64) - last)[parent] + word
-                pointers = Sequence.write(bounds.astype(U64), self.file)
+                pointers = Sequence.write(np.searchsorted(parent, np.arange(above + 1)).astype(U64), self.file)
+                word = parent.astype(U64) << self.bits | word
             words = Sequence.write(word, self.file)
             codes = self.file.tell()
             self.file.write(quantise(count).tobytes() + bytes(-2 * len(count) % 8))
             plan.append((pointers, words, codes))
             above = len(word)
         self.file.flush()
-        raw = np.memmap(self.file, np.uint8, "r")
+        raw = np.asarray(np.memmap(self.file, np.uint8, "r"))
         self.pointers = [Sequence(raw, *p) if p else None for p, _, _ in plan]
         self.words = [Sequence(raw, *w) for _, w, _ in plan]
         self.codes = [raw[c : c + 2 * w[1]].view(np.uint16) for _, w, c in plan]
 
-    def _find(self, level: int, node: np.ndarray | None, word: np.ndarray) -> np.ndarray:
-        words, pointers = self.words[level], self.pointers[level]
-        if pointers is None:
-            lo, hi, want = 0, words.n, word
-        else:
-            lo, hi = pointers[node].astype(np.int64), pointers[node + 1].astype(np.int64)
-            want = word.copy()
-            on = np.flatnonzero(lo)
-            want[on] += words[lo[on] - 1]
-        i = words.successor(want, lo, hi)
-        got = np.flatnonzero(i < hi)
-        out = np.full(len(word), -1, np.int64)
-        got = got[words[i[got]] == want[got]]
-        out[got] = i[got]
-        return out
-
     def find(self, level: int, node: np.ndarray | None, word: np.ndarray) -> np.ndarray:
         """The node of each word after a node of the level above, or -1; after -1 there is none."""
         out = np.full(len(word), -1, np.int64)
-        asked = np.arange(len(word)) if node is None else np.flatnonzero(node >= 0)
+        words, pointers = self.words[level], self.pointers[level]
+        asked = np.arange(len(word)) if pointers is None else np.flatnonzero(node >= 0)
         for i in range(0, len(asked), BLOCK):
             on = asked[i : i + BLOCK]
-            out[on] = self._find(level, None if node is None else node[on], word[on])
+            if pointers is None:
+                at, there = words.successor(word[on])
+            else:
+                lo, hi = pointers[node[on]].view(np.int64), pointers[node[on] + 1].view(np.int64)
+                at, there = words.successor(node[on].view(U64) << self.bits | word[on], lo, hi)
+            out[on[there]] = at[there]
         return out
 
     def code(self, level: int, node: np.ndarray) -> np.ndarray:

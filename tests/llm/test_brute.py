@@ -118,15 +118,19 @@ def distance(a, b):
 
 def test_sequences(tmp_path):
     rng = np.random.default_rng(0)
-    for n, top in ((0, 1), (1, 5), (1000, 50), (3000, 2**50), (60_000, 2**40)):
+    for n, top in ((0, 1), (1, 5), (1000, 50), (3000, 2**50), (60_000, 2**40), (50_000, 900), (5000, 2**62)):
         values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
         with (tmp_path / "s").open("w+b") as f:
             place = Sequence.write(values, f)
             f.flush()
             s = Sequence(np.memmap(f, np.uint8, "r"), *place)
             assert (s[np.arange(n)] == values).all()
-            asked = rng.integers(0, top + 2, 500).astype(np.uint64)
-            assert (s.successor(asked) == np.searchsorted(values, asked)).all()
+            asked = np.r_[rng.integers(0, top + 2, 500).astype(np.uint64), values[:200]]
+            at, equal = s.successor(asked)
+            assert (at == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
+            lo = rng.integers(0, n + 1, len(asked))
+            hi = np.minimum(lo + rng.integers(0, 40, len(asked)), n)
+            assert (s.successor(asked, lo, hi)[0] == np.clip(np.searchsorted(values, asked), lo, hi)).all()
 
 
 def test_trie():
@@ -140,7 +144,7 @@ def test_trie():
         parent = np.array([nodes[-1][x[:-1]] for x in own]) if k > 1 else None
         levels.append((parent, np.array([x[-1] for x in own], np.uint64), np.array([sum(count[y] for y in paths if y[:k] == x) for x in own])))
         nodes.append({x: i for i, x in enumerate(own)})
-    trie = Trie(levels)
+    trie = Trie(levels, 40)
     asked = paths + [(a, b, c + 1) for a, b, c in paths] + [(a + 1, b, c) for a, b, c in paths] + [(50, 1, 1)]
     node = None
     for k in range(3):
@@ -231,6 +235,20 @@ def test_packing(docs, texts):
     assert sum(2048 - sum(n for _, n in p) for p in by_sequence.values()) < 0.03 * sum(r["length"] for r in rows)
 
 
+def test_encoders_agree():
+    """The fast encoder gives the ids of the tokenizers file, for any text."""
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(packing.vocabulary()), packing.encoder(packing.vocabulary())
+    rng = random.Random(12)
+    ranges = [(32, 127), (9, 14), (0xA0, 0x250), (0x300, 0x370), (0x400, 0x500), (0x4E00, 0x4F00), (0x1F600, 0x1F650), (0x2000, 0x2070), (0xE000, 0xE010), (0, 32)]
+    texts = ["", " ", "  \n\n a", "don't I'LL we've", "a<|endoftext|>b", "<|endoftext", "12345 1,000.00"]
+    for _ in range(4000):
+        texts.append("".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(1, 25))))
+    for t in texts:
+        assert list(fast(t)) == slow.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_cutting_stock():
     rng = np.random.default_rng(5)
     sizes = np.arange(1, 33)

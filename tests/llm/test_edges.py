@@ -181,3 +181,21 @@ def test_short_items_and_blocks(spark, monkeypatch):
     found = decontaminate.leaks(docs, benchmark)
     assert found.count() == docs.count()
     assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == want
+
+
+def test_long_texts(spark, labels, benchmark):
+    """A hundred thousand varied words, and one word of a million letters, go through every operator whole."""
+    import random
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    varied = " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".\n"]) for _ in range(100_000))
+    rows = [(1, varied), (2, "x" * 1_000_000), (3, "password = " + "q" * 100_000), (5, "short"), (7, varied[: len(varied) // 2] + "quick brown fox jumps over the lazy dog and runs away")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for found in (quality.scores(docs, labels), toxicity.scores(docs, labels), lm.score(docs), minhash.near_duplicates(docs), fingerprint.edited_against_next(docs), secrets.digest(secrets.secrets(docs))):
+        assert ids(found) == [1, 2, 3, 5, 7]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(7, 1)}
+    n = {r["doc_id"]: (r["n"], r["all"]) for r in packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()}
+    assert set(n) == {1, 2, 3, 5, 7} and all(a == b for a, b in n.values())
+    left = {r["doc_id"]: r["text"] for r in lines.dedupe_lines(docs).collect()}
+    assert left[2] == rows[1][1] and left[1].split("\n")[0] == varied.split("\n")[0] and len(left[7]) < len(rows[4][1])

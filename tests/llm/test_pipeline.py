@@ -1,12 +1,13 @@
 """The pipeline's stages one after another, each against what it promises of its own input."""
 
 import itertools
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import decontaminate, packing
-from marginalia.llm.common import keep, table, words
+from marginalia.llm.common import keep, shared_dir, table, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,25 @@ def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0 and out.agg(F.max("length")).first()[0] <= packing.LENGTH
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = two.replace("b7 ", "other ")
+    rows = [(i, one) for i in (None, None, 1, 1, 2)] + [(None, two), (None, two), (None, near)] + [(9, None), (9, None), (None, ""), (5, "alone in all of this")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    left = sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, SF).collect()), key=str)
+    pair = [x for x in left if x in ((None, two), (None, near))]
+    assert len(pair) == 1 and left == sorted([(1, one), *pair, (9, None), (9, None), (None, ""), (5, "alone in all of this")], key=str)
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs.where("false"), SF)
+        assert out.count() == 0, name
+
+
+def test_tables_of_stages_go(spark):
+    before = {p.name for p in Path(shared_dir(spark)).glob("*")}
+    corpus_pipeline.run(spark, SF).count()
+    left = [p.name for p in Path(shared_dir(spark)).glob("*") if p.name not in before and p.name.rsplit("-", 1)[0] in ("quality", "line_dedup", "near_dedup")]
+    assert not left
