@@ -60,9 +60,9 @@ PRIOR = (1000.0, 100.0, 3.0)
 ORDERS = 1 + len(PRIOR)
 END, START = U64(xxhash.xxh64_intdigest(b" end")), U64(xxhash.xxh64_intdigest(b" start"))  # no word holds a blank
 WORD_BITS, CONTEXT_BITS = {2: 32, 3: 32, 4: 24}, 40
-PER_SHARD = 10_000_000  # bytes of text
+PER_SHARD = 7_000_000  # bytes of text
 SHARE = 16
-CHUNK = 3_000_000
+CHUNK = 2_500_000
 
 
 def held_out(doc_id: int | None) -> bool:
