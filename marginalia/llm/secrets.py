@@ -14,7 +14,7 @@ Segments start and end anywhere. Only repeats and walks of over LONG characters
 are tried at their full length alone, which keeps the work of a value in
 proportion to its length. Words and their ranks are a short list that guessers
 try first, then the words of the corpus, most common first: they are counted
-over all documents, and the first WORDS of them go to every task.
+over all documents, and WORDS of them at most go to every task.
 
 Nulls and empty texts have no spans. Repeated rows each get their own result.
 Only the columns named are read, so others may have any name.
@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, keep
+
 # Kinds in their order, patterns, and least lengths.
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -187,10 +189,22 @@ def scan(text: str | None, ranks: dict[str, float] = RANK) -> list[tuple[str, in
 
 
 def known_words(docs: DataFrame, text: str = "text", most: int = WORDS) -> dict[str, float]:
-    """log10 of the rank of words that guessers try: the fixed list, then the corpus's most common words, `most` at most."""
+    """log10 of the rank of words that guessers try: the fixed list, then the corpus's most common words, `most` at most.
+
+    Words are taken by whole classes of commonness (eighths of a power of two), so
+    the driver gets the sizes of some hundred classes and the words taken, no more.
+    """
     every = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w).between(3, LONGEST_WORD))
-    counted = docs.select(F.explode(every).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    words = dict.fromkeys([*COMMON, *(r["w"] for r in counted.collect())])
+    counted = keep(docs.select(F.explode(every).alias("w")).groupBy("w").count(), "words")
+    level = F.floor(F.log2("count") * 8)
+    taken, least = 0, None
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if taken + r["count"] > most:
+            break
+        taken, least = taken + r["count"], r["level"]
+    rows = counted.where(level >= least).collect() if taken else []
+    discard(counted)
+    words = dict.fromkeys([*COMMON, *(r["w"] for r in sorted(rows, key=lambda r: (-r["count"], r["w"])))])
     return {w: math.log10(i + 2) for i, w in enumerate(words)}
 
 
