@@ -114,7 +114,8 @@ def placed(docs: DataFrame, place: str, tie: str) -> DataFrame:
 def emit(docs: DataFrame, least: int) -> DataFrame:
     """Keys of all lines of rows (doc, tie, text), packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), math.ceil(size / PER_SHARD))
+    # copies of a line share all its gaps, which lie in as many shards as the line has words at most: a pair is found that often
+    n = max(2 * partitions(docs.sparkSession), math.ceil(size / PER_SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, ids, ties in text_chunks(batches, ["text", "doc", "tie"], CHUNK):
