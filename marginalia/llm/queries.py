@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, lines, lm, minhash, packing, quality, secrets, toxicity, urls
+from . import decontaminate, fingerprint, language, lines, lm, middle, minhash, negatives, packing, quality, secrets, toxicity, urls
 from .common import table
 
 
@@ -53,6 +54,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judged(language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.quantised(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
@@ -64,7 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_fingerprint": op9_fingerprint,
     "op10_line_dedup": op10_line_dedup,
+    "op11_language": op11_language,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op8_url_filters": urls.oracle(),
+    "op12_fill_in_middle": middle.oracle(),
+    "op13_hard_negatives": negatives.oracle(),
 }
