@@ -9,8 +9,10 @@ that share a key are within one word edit of one another:
 * gap at i = gap at i: one word replaced;
 * whole = gap: one word inserted or deleted.
 
-So the earliest line of a key is a partner of all others, and a minimum for
-each key finds every line's earliest partner without pairing lines. Found
+Equal lines are brought together first, one copy a chunk of text, and compared
+by their words; only the earliest of them emits further keys, so a line that a third of the
+corpus repeats counts once. The earliest line of a key is a partner of all others, and a
+minimum for each key finds every line an earlier partner without pairing lines. Found
 partners are verified on their words before a line goes.
 
 Order is (doc_id, line number). A line goes when an earlier one lies within the
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,51 +114,117 @@ def placed(docs: DataFrame, place: str, tie: str) -> DataFrame:
     return keep(alone.union(ordered), "placed")
 
 
-def emit(docs: DataFrame, least: int) -> DataFrame:
-    """Keys of all lines of rows (doc, tie, text), packed by shard. Within a chunk only the earliest of equal lines emits more than itself."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    # copies of a line share all its gaps, which lie in as many shards as the line has words at most: a pair is found that often
-    n = max(2 * partitions(docs.sparkSession), math.ceil(size / PER_SHARD))
+def distinct_lines(docs: DataFrame, n: int) -> DataFrame:
+    """Lines of rows (doc, tie, text), packed by shards of their words' hash. Of equal lines a chunk sends only the earliest; the others go along as pairs with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, ids, ties in text_chunks(batches, ["text", "doc", "tie"], CHUNK):
             places, ties = np.array(ids, np.int64), np.array(ties, np.int64)
-            order = np.lexsort((ties, places))
-            h, n_words, text, no = hashed([texts[r] for r in order.tolist()])
-            if not len(h):
+            first: dict[bytes, int] = {}
+            doc, tie, no, copies, of = [], [], [], [], []
+            for r in np.lexsort((ties, places)).tolist():
+                for k, line in enumerate((texts[r] or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+                    key = b" ".join(line.split())
+                    if not key:
+                        continue
+                    at = first.setdefault(key, len(doc))
+                    if at == len(doc):
+                        doc.append(places[r])
+                        tie.append(ties[r])
+                        no.append(k)
+                    else:
+                        copies.append((places[r], ties[r], k))
+                        of.append(at)
+            if not doc:
                 continue
-            doc, tie, no = places[order][text], ties[order][text], no.astype(np.int32)
-
-            def wanted(own: np.ndarray, n_words: np.ndarray = n_words) -> np.ndarray:
-                first = np.zeros(len(own), bool)
-                first[np.unique(own, return_index=True)[1]] = True
-                return first & (n_words >= least)
-
-            own, line, gaps, place = gaps_of(h, n_words, wanted)
+            keys = list(first)
+            doc, tie, no = np.array(doc, np.int64), np.array(tie, np.int64), np.array(no, np.int32)
+            own = np.fromiter(map(xxhash.xxh64_intdigest, keys), U64, len(keys))
             blobs: dict[int, list[np.ndarray]] = {}
             for s, i in by_shard(own % U64(n), n):
-                blobs[s] = [np.diff(doc[i], prepend=0), tie[i], no[i], own[i]]
-            for s, i in by_shard(gaps % U64(n), n):
-                new = np.r_[True, line[i][1:] != line[i][:-1]]
-                src = line[i][new]
-                blobs.setdefault(s, [doc[:0], tie[:0], no[:0], own[:0]])
-                blobs[s] += [np.diff(doc[src], prepend=0), tie[src], no[src], new.astype(np.uint8), place[i], gaps[i]]
+                mine = [keys[k] for k in i.tolist()]
+                blobs[s] = [own[i], np.diff(doc[i], prepend=0), tie[i], no[i], np.array(list(map(len, mine)), np.uint32), np.frombuffer(b"".join(mine), np.uint8)]
+            if copies:
+                a, b, c = (np.array(x, np.int64) for x in zip(*copies))
+                # where they go doesn't matter, so a chunk's pairs are in one of its blobs
+                blobs[int(own[0] % U64(n))] += [a, b, c.astype(np.int32), doc[of], tie[of], no[of]]
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([pack(*x) for x in blobs.values()], pa.binary())], ["shard", "blob"])
 
     return docs.select("doc", "tie", "text").mapInArrow(run, PACKED)
 
 
-PARTNER = "doc long, tie long, no int, with_doc long, with_tie long, with_no int"
+def emit(packed: DataFrame, least: int, n: int) -> DataFrame:
+    """Keys of distinct lines, packed by shard; with them the pairs of lines that are equal.
+
+    All copies of a line are in one shard, one a chunk at most, and meet here: the
+    earliest stands for them all from here on, and the others are pairs with it.
+    Lines are equal when their words are, not when their hashes are.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        parts, pairs = [], []
+        for blob in t.column("blob").to_pylist():
+            arrays = unpack(blob)
+            ends = np.cumsum(arrays[4], dtype=np.int64)
+            raw = arrays[5].tobytes()
+            text = [raw[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+            parts.append((arrays[0], np.cumsum(arrays[1]), arrays[2], arrays[3], text))
+            pairs += [arrays[6:]] if len(arrays) > 6 else []
+        own, doc, tie, no = (np.concatenate(x) for x in list(zip(*parts))[:4])
+        text = [x for p in parts for x in p[4]]
+        order = np.lexsort((no, tie, doc, own))
+        own, doc, tie, no = own[order], doc[order], tie[order], no[order]
+        new = np.r_[True, own[1:] != own[:-1]]
+        of = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        alone = [i for i in np.flatnonzero(~new).tolist() if text[order[i]] != text[order[of[i]]]]
+        new[alone] = True  # another line of the same hash
+        copy = np.flatnonzero(~new)
+        pairs.append([x for k in (copy, of[copy]) for x in (doc[k], tie[k], no[k])])
+        kept = np.flatnonzero(new)
+        kept = kept[np.lexsort((no[kept], tie[kept], doc[kept]))]
+        doc, tie, no = doc[kept], tie[kept], no[kept]
+        h, n_words, line, _ = hashed([text[k].decode("utf-8", "surrogatepass") for k in order[kept].tolist()])
+        doc, tie, no = doc[line], tie[line], no[line]
+        # hashes of the shortest lines meet no other line
+        own, line, gaps, place = gaps_of(h, n_words, lambda own: n_words >= least)
+        long = np.flatnonzero(n_words >= least - 1)
+        blobs: dict[int, list[np.ndarray]] = {}
+        for s, i in by_shard(own[long] % U64(n), n):
+            i = long[i]
+            blobs[s] = [np.diff(doc[i], prepend=0), tie[i], no[i], own[i] // U64(n) & KEY]
+        for s, i in by_shard(gaps % U64(n), n):
+            new = np.r_[True, line[i][1:] != line[i][:-1]]
+            src = line[i][new]
+            blobs.setdefault(s, [doc[:0], tie[:0], no[:0], own[:0]])
+            blobs[s] += [np.diff(doc[src], prepend=0), tie[src], no[src], new.astype(np.uint8), place[i], gaps[i] // U64(n) & KEY]
+        out = {s: pack(*x) for s, x in blobs.items()}
+        shards, made = list(out), list(out.values())
+        equal = [np.concatenate(x) for x in zip(*pairs)]
+        if len(equal[0]):
+            shards.append(int(t.column("shard")[0].as_py()))
+            made.append(pack(*equal))
+        return pa.table({"shard": pa.array(shards, pa.int32()), "blob": pa.array(made, pa.binary())})
+
+    return packed.groupBy("shard").applyInArrow(run, PACKED)
+
+
+#: Bits of a key that a shard compares; what meets by chance is told apart by its words.
+KEY = U64((1 << 48) - 1)
+PARTNER = "doc long, tie long, no int, with_doc long, with_tie long, with_no int, equal boolean"
+NAMES = [c.split(" ")[0] for c in PARTNER.split(", ")]
 ROW, WITH = ["doc", "tie", "no"], ["with_doc", "with_tie", "with_no"]
 
 
 def partners(packed: DataFrame) -> DataFrame:
-    """For each line, a shard's earliest line that shares a key with it and comes before it."""
+    """For each distinct line, a shard's earliest line that shares a key with it and comes before it; and the pairs of equal lines that came along."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, tie, no, parts = [], [], [], []
+        doc, tie, no, parts, equal = [], [], [], [], []
         for blob in t.column("blob").to_pylist():
             arrays = unpack(blob)
+            if len(arrays) == 6:
+                equal.append(arrays)
+                continue
             parts.append((arrays[3], None, None))
             doc.append(np.cumsum(arrays[0]))
             tie.append(arrays[1])
@@ -166,6 +235,9 @@ def partners(packed: DataFrame) -> DataFrame:
                 doc.append(np.cumsum(arrays[0]))
                 tie.append(arrays[1])
                 no.append(arrays[2])
+        equal = [np.concatenate(x) for x in zip(*equal)] or [np.zeros(0, t) for t in (np.int64, np.int64, np.int32) * 2]
+        if not parts:
+            return pa.table([*map(pa.array, equal), pa.array(np.ones(len(equal[0]), bool))], NAMES)
         low = np.concatenate([x[0] for x in parts])
         order = np.argsort(low)
         same = low[order][1:] == low[order][:-1]
@@ -212,7 +284,8 @@ def partners(packed: DataFrame) -> DataFrame:
             gapped = np.repeat(np.minimum.reduceat(np.where(gap > 0, row, len(doc) * 2), starts), sizes)
             meet(row[gap == 0], gapped[gap == 0])  # a word more
         src, dst = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(1, len(doc)))
-        return pa.table({"doc": doc[src], "tie": tie[src], "no": no[src], "with_doc": doc[dst], "with_tie": tie[dst], "with_no": no[dst]})
+        near = (doc[src], tie[src], no[src], doc[dst], tie[dst], no[dst])
+        return pa.table([*(pa.array(np.r_[x, y]) for x, y in zip(near, equal)), pa.array(np.arange(len(src) + len(equal[0])) >= len(src))], NAMES)
 
     return packed.groupBy("shard").applyInArrow(run, PARTNER)
 
@@ -228,23 +301,27 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Of rows (doc, tie, text) that (doc, tie) tells apart: every line that goes, by row and number, and the earlier line's."""
-    found = keep(partners(emit(docs, least)).distinct(), "partners")
+    """Of rows (doc, tie, text) that (doc, tie) tells apart: every line that goes, by row and number, and an earlier line that it repeats."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(2 * partitions(docs.sparkSession), math.ceil(size / PER_SHARD))
+    found = keep(partners(emit(distinct_lines(docs, n), least, n)), "partners")
     release(docs.sparkSession)
-    wanted = found.select(ROW).union(found.select(WITH)).distinct()
+    near = found.where(~F.col("equal")).drop("equal").distinct()
+    wanted = near.select(ROW).union(near.select(WITH)).distinct()
     places = wanted.groupBy("doc", "tie").agg(F.collect_set("no").alias("numbers"))
     text = F.split("text", "\n")
 
     own = docs.select("doc", "tie", "text").join(places, ["doc", "tie"])
     lines = keep(own.withColumn("lines", text).select("doc", "tie", F.explode(F.transform("numbers", lambda k: F.struct(k.alias("no"), F.get("lines", k).alias("line")))).alias("x")).select("doc", "tie", "x.no", "x.line"), "lines")
-    pairs = found.join(lines, ROW).join(lines.toDF(*WITH, "with_line"), WITH)
+    pairs = near.join(lines, ROW).join(lines.toDF(*WITH, "with_line"), WITH)
 
     @F.pandas_udf("boolean")
     def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([(x := words(p)) == (y := words(q)) or (max(len(x), len(y)) >= least and within_one(x, y)) for p, q in zip(a, b)], dtype=bool)
 
-    gone = keep(pairs.where(verified("line", "with_line")).groupBy(ROW).agg(F.min(F.struct(WITH)).alias("w")).select(*ROW, "w.*"), "gone")
+    links = pairs.where(verified("line", "with_line")).select(*ROW, *WITH).union(found.where("equal").select(*ROW, *WITH))
+    gone = keep(links.groupBy(ROW).agg(F.min(F.struct(WITH)).alias("w")).select(*ROW, "w.*"), "gone")
     discard(found, lines)
     return gone
 

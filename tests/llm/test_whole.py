@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, lines
-from marginalia.llm.common import table
+from marginalia.llm.common import table, unpack
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,29 @@ def test_rows_that_share_an_id(spark, i):
     assert len(ends) == 2 and sum("of one" in t for _, t in ends) == 1
     want = [(1, same), (i, ""), (i, other), (i, "twice here"), (i, ""), (i, ""), (i, None), (i, " \n"), (None, "no number"), *ends]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def shard_lines(packed):
+    """Records of lines in each shard's blobs."""
+    out = {}
+    for r in packed.collect():
+        out[r["shard"]] = out.get(r["shard"], 0) + len(unpack(r["blob"])[0])
+    return sorted(out.values())
+
+
+def test_a_hot_line_is_split(spark):
+    """A line that all documents share goes once a chunk to its shard."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc"), F.lit(0).cast("long").alias("tie"), F.concat(F.lit("the same line in every document that there is\nown line "), F.xxhash64("id")).alias("text"))
+    counts = shard_lines(lines.distinct_lines(docs, 16).where("shard >= 0"))
+    assert sum(counts) <= 60_000 + 100 and counts[-1] <= 3 * counts[8]
+    gone = lines.duplicates(docs)
+    assert gone.where("no = 0").count() == 59_999
+    assert gone.where("no = 0 and (with_doc >= doc or with_no <> 0)").isEmpty()
+
+
+def test_pairs_found_are_distinct(spark):
+    """Copies of lines in many chunks don't meet again in the shard of each of their gaps."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("tie"), "text").repartition(12)
+    found = lines.partners(lines.emit(lines.distinct_lines(docs, 8), lines.LEAST_WORDS, 8)).cache()
+    assert 0 < found.count() <= 1.1 * found.distinct().count()
+    found.unpersist()
