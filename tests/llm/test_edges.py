@@ -183,6 +183,23 @@ def test_short_items_and_blocks(spark, monkeypatch):
     assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == want
 
 
+def test_repeated_items_and_bytes_of_a_block(spark, monkeypatch):
+    """Rows of the benchmark that are alike are one item; blocks have no more items, and no more bytes, than they may."""
+    alike = spark.range(70_000).select(F.lit(7).cast("long").alias("item_id"), F.lit("quick brown fox jumps over the lazy dog").alias("text"))
+    docs = spark.createDataFrame([(1, "a quick brown fox jumps over the lazy dog again"), (2, "none of it")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, alike).collect()] == [(1, 7)]
+    monkeypatch.setattr(decontaminate, "BLOCK", 10)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    many = spark.range(300).select((F.col("id") % 50).alias("item_id"), F.expr("repeat('word ', int(id % 60))").alias("text")).repartition(5)
+    rows = decontaminate.in_blocks(many.union(spark.createDataFrame([(None, "x" * 5000), (1, None)], many.schema))).collect()
+    assert len(rows) == 301
+    sizes = {}
+    for r in rows:
+        n, size = sizes.get(r["block"], (0, 0))
+        sizes[r["block"]] = n + 1, size + len(r["text"])
+    assert all(n <= 10 and (size <= 1300 or n == 1) for n, size in sizes.values())
+
+
 def test_long_texts(spark, labels, benchmark):
     """A hundred thousand varied words, and one word of a million letters, go through every operator whole."""
     import random
