@@ -311,9 +311,10 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     places = wanted.groupBy("doc", "tie").agg(F.collect_set("no").alias("numbers"))
     text = F.split("text", "\n")
 
-    own = docs.select("doc", "tie", "text").join(places, ["doc", "tie"])
+    # sorted and merged at every size: both sides grow with the corpus
+    own = docs.select("doc", "tie", "text").join(places.hint("merge"), ["doc", "tie"])
     lines = keep(own.withColumn("lines", text).select("doc", "tie", F.explode(F.transform("numbers", lambda k: F.struct(k.alias("no"), F.get("lines", k).alias("line")))).alias("x")).select("doc", "tie", "x.no", "x.line"), "lines")
-    pairs = near.join(lines, ROW).join(lines.toDF(*WITH, "with_line"), WITH)
+    pairs = near.join(lines.hint("merge"), ROW).join(lines.toDF(*WITH, "with_line").hint("merge"), WITH)
 
     @F.pandas_udf("boolean")
     def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -333,7 +334,7 @@ def dedupe_lines(docs: DataFrame, least: int = LEAST_WORDS, out: str = "lines_re
     found = duplicates(docs.select(F.col(place).alias("doc"), F.col(tie).alias("tie"), "text"), least)
     release(docs.sparkSession)
     numbers = found.groupBy(F.col("doc").alias(place), F.col("tie").alias(tie)).agg(F.collect_set("no").alias(gone))
-    rows = docs.join(numbers, [place, tie], "left")
+    rows = docs.join(numbers.hint("merge"), [place, tie], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).withColumn(out, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
     return rows.drop(gone, place, tie)
