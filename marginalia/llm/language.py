@@ -23,11 +23,13 @@ as often as they occur. Columns besides doc_id, text and lang are carried along.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,15 +205,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def predicted(docs: DataFrame, filters: Filters, out: str = "language") -> DataFrame:
     """All columns of docs and a struct (lang, score)."""
-    model = docs.sparkSession.sparkContext.broadcast(filters)
+    # by value, since workers need not have this package
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(filters))
 
     @F.pandas_udf("lang string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        is_letter = letters()
+        is_letter, own = letters(), pickle.loads(sent.value)
         for s in batches:
             langs, scores = [], [np.zeros(0)]
             for (texts,) in text_chunks(iter([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]), ["text"], 1_000_000):
-                lang, score = model.value.decide(texts, is_letter)
+                lang, score = own.decide(texts, is_letter)
                 langs += lang
                 scores.append(score)
             yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": np.concatenate(scores)})

@@ -27,4 +27,4 @@ def test_operators_run_where_workers_lack_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-3000:]
-    assert out.stdout.count("done op") == 10
+    assert out.stdout.count("done op") == 13
