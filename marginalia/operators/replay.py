@@ -222,7 +222,8 @@ class History:
 
 def fold(rows: DataFrame, doc: str, order: list[str], step: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Each document's rows in order through `step`, which takes them one by one and gives rows; a task holds no more than a batch besides."""
-    dealt = rows.repartition(doc).sortWithinPartitions(doc, *order)
+    # dealt by a hash of its own, so that no earlier dealing by document, which may differ between the parts of a union, is taken for this one
+    dealt = rows.repartition(F.xxhash64(doc)).sortWithinPartitions(doc, *order)
     # types are parsed here: workers have no session
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 

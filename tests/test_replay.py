@@ -150,3 +150,13 @@ def test_empty_tables_and_unknown_documents(made):
     assert replay.commit(documents.where("false"), commands).count() == 0
     twice = documents.withColumn("blocks", F.concat("blocks", "blocks"))
     assert {r["code"] for r in replay.commit(twice, commands).collect()} == {"duplicate_node"}
+
+
+def test_documents_and_commands_that_were_dealt_before(spark):
+    """Both sides grouped by document already, in different numbers of partitions: commands still meet their document."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a").alias("node"), F.lit("paragraph").alias("kind"), F.lit("").alias("text"))
+    documents = docs.groupBy("doc_id").agg(F.collect_list(F.struct("node", "kind", "text")).alias("blocks"))
+    asked = spark.range(40_000).groupBy((F.col("id") % 400).alias("doc_id"), F.floor(F.col("id") / 400).alias("request")).agg(F.count("*").alias("n"))
+    commands = asked.select("doc_id", "request", F.lit(0).alias("seq"), F.lit("text").alias("type"), F.lit(0).alias("place"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("to"), F.lit("").alias("kind"), F.lit("x").alias("text"), F.lit("").alias("node"))
+    done = replay.commit(documents.repartition(3, "doc_id"), commands.repartition(7, "doc_id"))
+    assert done.where("code is null").groupBy("doc_id").agg(F.max("revision").alias("r")).where("r = 100").count() == 400
