@@ -15,7 +15,9 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,34 +94,43 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id and text dealt into ranges of doc_id, sorted; own is false for a row that only follows a range's last.
+    """doc_id and text dealt into ranges of (doc_id, hash of text), sorted; own is false for a row that only follows a range's last.
 
-    Each range ends with a copy of the next one's first row (the last with the
-    very first), so a task sees every row's successor. The driver gets one
-    number a range: its bound, then its first doc_id.
+    Bounds are quantiles of doc_id. An id that fills several of them, and the rows
+    without id, are cut further, by the hash. Each range ends with a copy of the next
+    one's first row (the last with the very first), so a task sees every row's
+    successor. The driver gets one row a range: its first doc_id and hash.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    n = min(MOST_PARTS, max(1, math.ceil(total / PART_CHARS)))
-    bounds = sorted(set(rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    bounds = bounds or [0.0]
-    splits = [-math.inf, *bounds, math.inf]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    chars = F.length("text").cast("long")
+    total, bare = rows.agg(F.sum(chars), F.sum(F.when(F.col("doc_id").isNull(), chars))).first()
+    n = min(MOST_PARTS, max(1, math.ceil((total or 0) / PART_CHARS)))
+    found = rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    often = {b: c + 1 for b, c in Counter(found).items() if c > 1}
+    splits = [-math.inf, *(sorted({*found, *often, *(b + 1 for b in often)}) or [0.0]), math.inf]
+    # ranges of each bucket of ids; the last bucket is that of rows without id
+    cuts = [*(often.get(b, 1) for b in splits[:-1]), max(1, math.ceil((bare or 0) / PART_CHARS))]
+    first = [0, *itertools.accumulate(cuts)]
+    ranges = F.broadcast(spark.createDataFrame(list(zip(range(len(cuts)), cuts, first)), "bucket int, cuts int, from int"))
 
     def dealt(df: DataFrame) -> DataFrame:
         d = df.withColumn("at", F.col("doc_id").cast("double"))
         d = Bucketizer(splits=splits, inputCol="at", outputCol="p", handleInvalid="keep").transform(d)
-        return d.withColumn("part", F.when(F.col("doc_id").isNull(), len(splits)).otherwise(F.col("p").cast("int"))).drop("at", "p")
-
-    firsts = sorted((r["part"], r["first"]) for r in dealt(rows.select("doc_id")).groupBy("part").agg(F.min("doc_id").alias("first")).collect())
-    before = [(firsts[i - 1][0], part, first) for i, (part, first) in enumerate(firsts)]
-    ends = spark.createDataFrame(before, "into int, part int, first long")
+        bucket = F.when(F.col("doc_id").isNull(), len(cuts) - 1).otherwise(F.col("p").cast("int"))
+        # the hash's place in its range of 2^64, in as many steps as the bucket has ranges
+        within = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("cuts")), F.col("cuts") - 1)
+        return d.withColumn("bucket", bucket).join(ranges, "bucket").withColumn("part", (F.col("from") + within).cast("int")).drop("at", "p", *ranges.columns)
+
+    firsts = sorted((r["part"], r["first"]) for r in dealt(rows).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")).collect())
+    before = [(firsts[i - 1][0], part, x["doc_id"], x["tie"]) for i, (part, x) in enumerate(firsts)]
+    ends = spark.createDataFrame(before, "into int, part int, first long, first_tie long")
     own = dealt(rows).withColumn("own", F.lit(True))
-    # only the first rows come back here: one doc_id a range, so the join's small side is the number of ranges
-    extra = dealt(rows).join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    extra = extra.select("doc_id", "text", F.col("into").alias("part"), F.lit(False).alias("own"))
-    both = own.unionByName(extra).withColumn("tie", F.xxhash64("text"))
-    return both.repartition(max(n, 1), "part").sortWithinPartitions("part", F.desc("own"), F.asc_nulls_last("doc_id"), "tie")
+    # only the first rows come back here, one of those alike a range, so the join's small side is the number of ranges
+    extra = dealt(rows).join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("first_tie")))
+    extra = extra.dropDuplicates(["part"]).select("doc_id", "text", "tie", F.col("into").alias("part"), F.lit(False).alias("own"))
+    # the number of a range is its partition: a hash of it would put several in one
+    return own.unionByName(extra).repartitionById(first[-1], F.col("part")).sortWithinPartitions("part", F.desc("own"), F.asc_nulls_last("doc_id"), "tie")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, kept_share double"

@@ -183,7 +183,8 @@ def slots(patterns: list[tuple[np.ndarray, int]]) -> dict[int, np.ndarray]:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
     """Pieces of all documents with sequence_id and offset."""
-    cut = keep(pieces(docs, tokenizer or vocabulary(), length), "pieces")
+    # each piece gets a number of its own as it is written, so that pieces alike are dealt apart
+    cut = keep(pieces(docs, tokenizer or vocabulary(), length).withColumn("row", F.monotonically_increasing_id()), "pieces")
     size = F.ceil(F.col("length") / grain).cast("int")
     rests = cut.where(F.col("length") < length).withColumn("size", size)
     found = sorted((r["size"], r["count"]) for r in rests.groupBy("size").count().collect())
@@ -193,11 +194,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     sequences = sum(times for _, times in patterns)
 
     # a rank within a class: a running count of its buckets, then the place in the bucket; no class meets in one task
-    mark = F.xxhash64("doc_id", "start", "ids_crc32")
-    rests = rests.withColumn("mark", mark).withColumn("bucket", F.pmod("mark", F.lit(4 * partitions(docs.sparkSession))))
+    rests = rests.withColumn("mark", F.xxhash64("row")).withColumn("bucket", F.pmod("mark", F.lit(4 * partitions(docs.sparkSession))))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rests.groupBy("size", "bucket").count().select("size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("mark", "doc_id", "start")) - 1
+    place = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("mark", "row")) - 1
     ranked = rests.withColumn("place", place).join(counts, ["size", "bucket"]).withColumn("rank", F.col("before") + F.col("place"))
     names = [c.split(" ")[0] for c in PIECE.split(", ")]
 
@@ -216,5 +216,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     placed = ranked.select(*names, "size", "rank").mapInArrow(assign, f"{PIECE}, sequence_id long, slot long")
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("slot")
-    whole = cut.where(F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id() + sequences).withColumn("offset", F.lit(0).cast("long"))
+    whole = cut.where(F.col("length") == length).drop("row").withColumn("sequence_id", F.monotonically_increasing_id() + sequences).withColumn("offset", F.lit(0).cast("long"))
     return placed.unionByName(whole)

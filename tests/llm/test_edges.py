@@ -216,3 +216,27 @@ def test_long_texts(spark, labels, benchmark):
     assert set(n) == {1, 2, 3, 5, 7} and all(a == b for a, b in n.values())
     left = {r["doc_id"]: r["text"] for r in lines.dedupe_lines(docs).collect()}
     assert left[2] == rows[1][1] and left[1].split("\n")[0] == varied.split("\n")[0] and len(left[7]) < len(rows[4][1])
+
+
+def test_many_alike_are_dealt_apart(spark, monkeypatch):
+    """Rows without id, and pieces alike, are no single task's; results are those of rows in order."""
+    monkeypatch.setattr(fingerprint, "PART_CHARS", 400)
+    rows = [(None, f"w{i} x y z") for i in range(60)] + [(5, f"v{i} x y z") for i in range(60)] + [(i, f"u{i} a b c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprint.in_order(docs).where("own").groupBy("part").count()
+    assert dealt.agg(F.max("count")).first()[0] < 100 and fingerprint.in_order(docs).where("own").count() == 160
+    assert fingerprint.in_order(docs).where("own").groupBy(F.spark_partition_id()).agg(F.countDistinct("part").alias("n")).agg(F.max("n")).first()[0] == 1
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    want = sorted((r["doc_id"] or -1, r["text"][: len(r["text"]) - len(r["text"]) // 4] + s["text"][: len(r["text"]) // 4]) for r, s in zip(order, [*order[1:], order[0]]))
+    import hashlib
+
+    got = sorted((r["doc_id"] or -1, r["edited_sha256"]) for r in fingerprint.edited_against_next(docs).collect())
+    assert got == sorted((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in want)
+
+
+def test_empty_rows_alike_are_packed_apart(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    out = packing.pack_documents(docs, length=64, grain=4)
+    assert out.count() == 3000
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k"), F.count("*").alias("c")).where("n > 64 or k <> c").count() == 0
