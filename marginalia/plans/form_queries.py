@@ -120,11 +120,70 @@ def ambiguous_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.ambiguous_columns(parts_of(spark, sf_dir))
 
 
-@query()
+TAKE = """CASE WHEN least(n - pos, 40 - used) = n - pos THEN n - pos
+WHEN used = 0 AND (CASE WHEN n - pos - 40 < 2 THEN greatest(0, n - pos - 2) ELSE 40 END) < least(2, n - pos) THEN least(n - pos, 40)
+WHEN (CASE WHEN n - pos - greatest(0, 40 - used) < 2 THEN greatest(0, n - pos - 2) ELSE greatest(0, 40 - used) END) < least(2, n - pos) THEN 0
+WHEN n - pos - greatest(0, 40 - used) < 2 THEN greatest(0, n - pos - 2) ELSE greatest(0, 40 - used) END"""
+
+
+def lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks_of(spark, sf_dir).withColumn("lines", F.greatest(F.lit(1), F.ceil(F.length("text") / 80)).cast("long"))
+
+
+@query(
+    BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""",
+l AS (SELECT doc_id, ordinal, kind, greatest(1, (length(text) + 79) // 80)::BIGINT AS n FROM blocks),
+b AS (SELECT *, CASE WHEN kind = 'heading' THEN least(lead(n, 1, 0::BIGINT) OVER (PARTITION BY doc_id ORDER BY ordinal), 2) ELSE 0 END AS follows FROM l),
+f AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS pos, 1::BIGINT AS page, 0::BIGINT AS used, NULL::BIGINT AS f_page, NULL::BIGINT AS f_first, NULL::BIGINT AS f_last, NULL::BIGINT AS ordinal FROM (SELECT DISTINCT doc_id FROM b)
+UNION ALL SELECT doc_id, CASE WHEN NOT brk AND pos + take = n THEN i + 1 ELSE i END, CASE WHEN brk OR pos + take = n THEN 0 ELSE pos + take END,
+CASE WHEN brk OR pos + take < n THEN page + 1 ELSE page END, CASE WHEN brk OR pos + take < n THEN 0 ELSE used + take END,
+CASE WHEN NOT brk AND take > 0 THEN page END, pos, pos + take, i
+FROM (SELECT f.doc_id, f.i, f.pos, f.page, f.used, b.n, b.kind = 'heading' AND pos = 0 AND used > 0 AND used + n + follows > 40 AS brk, {TAKE} AS take FROM f JOIN b ON b.doc_id = f.doc_id AND b.ordinal = f.i))
+SELECT doc_id, ordinal, f_page AS page, f_first AS first_line, f_last AS last_line FROM f WHERE f_page IS NOT NULL"""
+)
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of forty lines; a fold that SQL doesn't have, held against its rules in the tests."""
-    rows = blocks_of(spark, sf_dir).withColumn("lines", F.greatest(F.lit(1), F.ceil(F.length("text") / 80)).cast("long"))
-    return layout.paginate(rows, 40)
+    """Pages of forty lines."""
+    return layout.paginate(lined(spark, sf_dir), 40)
+
+
+ROWS = "ordinal % 10 >= 5"
+
+
+@query(
+    BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""",
+k AS (SELECT doc_id, ordinal, CASE WHEN {ROWS} THEN 'row' WHEN ordinal % 10 < 2 THEN 'heading' ELSE 'paragraph' END AS kind, greatest(1, (length(text) + 79) // 80)::BIGINT AS n, CASE WHEN {ROWS} THEN ordinal // 10 END AS tab FROM blocks),
+b AS (SELECT *, coalesce(CASE WHEN kind = 'heading' THEN CASE lead(kind) OVER w WHEN 'heading' THEN lead(n) OVER w + least(lead(n, 2, 0::BIGINT) OVER w, 2) ELSE least(lead(n, 1, 0::BIGINT) OVER w, 2) END END, 0) AS follows,
+tab IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, tab ORDER BY ordinal) > 1 AS later, first_value(n) OVER (PARTITION BY doc_id, tab ORDER BY ordinal) AS head FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
+f AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS pos, 1::BIGINT AS page, 0::BIGINT AS used, NULL::BIGINT AS f_page, NULL::BIGINT AS f_first, NULL::BIGINT AS f_last, NULL::BIGINT AS ordinal, false AS rep, NULL::BIGINT AS tall FROM (SELECT DISTINCT doc_id FROM b)
+UNION ALL SELECT doc_id, CASE WHEN NOT brk AND pos + take = n THEN i + 1 ELSE i END, CASE WHEN brk OR pos + take = n THEN 0 ELSE pos + take END,
+CASE WHEN brk OR (pos + take = n) IS FALSE THEN page + 1 ELSE page END + CASE WHEN over THEN 1 ELSE 0 END, CASE WHEN brk OR pos + take < n THEN 0 WHEN over THEN n + CASE WHEN later THEN head ELSE 0 END ELSE used + take END,
+CASE WHEN NOT brk AND take > 0 THEN page + CASE WHEN over THEN 1 ELSE 0 END END, pos, pos + take, i, over AND later, CASE WHEN over AND later THEN head END
+FROM (SELECT f.doc_id, f.i, f.pos, f.page, f.used, b.n, later, head, kind = 'row' AND used > 0 AND used + n > 40 AS over, b.kind = 'heading' AND pos = 0 AND used > 0 AND used + n + follows > 40 AS brk, CASE WHEN kind = 'row' THEN n ELSE {TAKE} END AS take FROM f JOIN b ON b.doc_id = f.doc_id AND b.ordinal = f.i)),
+p AS (SELECT f.doc_id, f.ordinal, f.f_page, f.f_first, f.f_last, f.rep, f.tall, b.kind, b.tab FROM f JOIN b ON b.doc_id = f.doc_id AND b.ordinal = f.ordinal WHERE f_page IS NOT NULL)
+SELECT doc_id, ordinal, f_page AS page, f_first AS first_line, f_last AS last_line, false AS derived, CASE WHEN kind = 'row' AND f_last > 40 THEN 'overflow' END AS code FROM p
+UNION ALL SELECT doc_id, tab * 10 + 5, f_page, 0, tall, true, CASE WHEN tall > 40 THEN 'overflow' END FROM p WHERE rep"""
+)
+def table_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of forty lines, with tables (each tenth to a half of a document's lines) whose header rows are repeated, and chains of two headings."""
+    k = F.col("ordinal") % 10
+    rows = lined(spark, sf_dir).withColumn("kind", F.when(k >= 5, "row").when(k < 2, "heading").otherwise("paragraph"))
+    return layout.paginate_tables(rows.withColumn("table", F.when(k >= 5, F.floor(F.col("ordinal") / 10))).withColumn("header", k == 5), 40)
+
+
+@query(BLOCKS + ", c AS (SELECT doc_id, max(ordinal) AS last FROM blocks GROUP BY 1), e AS (SELECT b.doc_id, b.ordinal FROM blocks b WHERE contains(lower(text), 'secret')), x AS (SELECT doc_id, min(ordinal) AS cut FROM e GROUP BY 1) SELECT doc_id, last + 1 AS blocks, CASE WHEN cut IS NULL THEN 'kept' WHEN cut < 2 THEN 'whole' ELSE 'suffix' END AS state FROM c LEFT JOIN x USING (doc_id)")
+def layout_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name a secret grow by fifty lines of text: which documents keep their pages, lose all, or are folded from a page on.
+
+    The new pages are those of full pagination (tested); rows here are of documents whose folded blocks agree with the state.
+    """
+    before = lined(spark, sf_dir)
+    after = before.withColumn("lines", F.col("lines") + F.when(F.lower("text").contains("secret"), 50).otherwise(0))
+    _, used = layout.repaginate(before, layout.paginate(before, 40), after, 40)
+    cut = after.where(F.lower("text").contains("secret")).groupBy("doc_id").agg(F.min("ordinal").alias("cut"))
+    state = F.when(F.col("folded") == 0, "kept").when(F.col("cut") < 2, "whole").when((F.col("folded") >= F.col("blocks") - F.col("cut")) & (F.col("folded") <= F.col("blocks")), "suffix")
+    return used.join(cut, "doc_id", "left").select("doc_id", "blocks", state.alias("state"))
 
 
 @query(BLOCKS + ", h AS (SELECT doc_id, max(ordinal) // 10 + 1 AS pages FROM blocks GROUP BY 1), s AS (SELECT doc_id, lang || ' ' || source AS header FROM documents) SELECT doc_id, unnest(range(1, pages + 1))::BIGINT AS page, header FROM h JOIN s USING (doc_id)")
