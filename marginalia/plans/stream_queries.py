@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, read
-from ..streaming import state
+from ..streaming import commits, sessions, state
 
 
 def folder(spark: SparkSession) -> str:
@@ -46,3 +48,33 @@ def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type").isin("signup", "view"), "issue").otherwise("redeem")
     rows = events_of(spark, sf_dir).select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), action.alias("action"), F.col("event_id").alias("id"))
     return state.drained(state.redeem_receipts(rows), folder(spark))
+
+
+@query(
+    """
+WITH e AS (SELECT user_id AS document, event_id AS id, row_number() OVER w AS n, min(CASE WHEN event_id % 13 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS bad FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT document, count(*) AS offered, count(*) FILTER (bad IS NULL OR id < bad) AS written, max(CASE WHEN bad IS NULL OR id < bad THEN n END)::BIGINT AS revision, sha256(document || ':' || max(CASE WHEN bad IS NULL OR id < bad THEN n END)) AS after FROM e GROUP BY document"""
+)
+def stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as commits, each extending the last one's; one that extends something else ends its document's chain. Heads and what was written, as the store has them after the stream came twice."""
+    where = f"{folder(spark)}/commits-{uuid.uuid4().hex}"
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    h = lambda n: F.sha2(F.concat_ws(":", "user_id", n), 256)
+    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), n.alias("n"))
+    before = F.when(F.col("id") % 13 == 0, F.lit("another")).when(F.col("n") > 1, h(F.col("n") - 1))
+    rows.select(F.col("user_id").alias("document"), "id", F.when(F.col("n") > 1, F.col("n") - 1).alias("base"), before.alias("before"), F.col("n").alias("revision"), h(F.col("n")).alias("after")).write.parquet(f"{where}/in")
+    for again in ("once", "twice"):
+        stream = spark.readStream.schema(commits.COMMIT).parquet(f"{where}/in")
+        commits.commit_stream(stream, f"{where}/store", f"{where}/{again}", "events").awaitTermination()
+    written = commits.records(spark, f"{where}/store").groupBy("document").agg(F.count("*").alias("offered"), F.count_if(F.col("code") == "ok").alias("written"))
+    return written.join(commits.heads(spark, f"{where}/store"), "document", "left")
+
+
+@query("SELECT user_id AS key, count(*) AS generation FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events)")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose session ended an hour after their last event, with the number of events in it."""
+    rocks = spark.newSession()  # the store's provider is a session's setting, and the caller's is left alone
+    rocks.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKS)
+    rows = events_of(rocks, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.lit(None).cast("long").alias("base"), F.col("event_id").alias("value"))
+    found = state.drained(sessions.sessions(rows, ttl=3600), folder(spark))
+    return found.where("code = 'expired'").select("key", "generation")
