@@ -16,7 +16,7 @@ def paths(nodes: DataFrame, doc: str, node: str, parent: str, ordinal: str, deep
     Level by level from the roots; each level is one join by (document, parent)
     with the level before, which is persisted, and the loop ends with the first
     empty level. Nodes of a cycle, and below one, aren't reached from any root and
-    don't appear. Nodes below `deepest` levels are an error.
+    don't appear (`graph.audit_tree` names them). Nodes below `deepest` levels are an error.
     """
     base = nodes.select(doc, node, parent, ordinal)
     level = base.where(F.col(parent).isNull()).select(doc, node, F.lit(0).alias("depth"), F.array(ordinal).alias("path"), F.col(node).alias("root"))
