@@ -46,7 +46,7 @@ SELECT key, id, CASE WHEN issue THEN 'issued' WHEN n = 0 THEN 'unknown' WHEN use
 )
 def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type").isin("signup", "view"), "issue").otherwise("redeem")
-    rows = events_of(spark, sf_dir).select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), action.alias("action"), F.col("event_id").alias("id"))
+    rows = events_of(spark, sf_dir).select(F.col("user_id").alias("key"), F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"), action.alias("action"), F.col("event_id").alias("id"))
     return state.drained(state.redeem_receipts(rows), folder(spark))
 
 
