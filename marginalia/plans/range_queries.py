@@ -151,6 +151,6 @@ def widget_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + coalesce(lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey), 0) AS room FROM lineitem WHERE l_returnflag = 'R'")
 def keep_with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A heading's own height and that of what follows."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    """A heading's own height and that of what follows; the SQL leaves open which of two alike in line and part comes first: here the lower one."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     return read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") + F.coalesce(F.lead("l_quantity").over(w), F.lit(0))).alias("room"))
