@@ -41,6 +41,29 @@ def test_references_too_deep_and_none(spark):
     assert graph.audit_tree(nodes.limit(0).withColumn("parent", F.col("node")), "doc", "node", "parent").count() == 0
 
 
+def test_references_by_document_and_by_joins_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(d, rng.randrange(12), rng.randrange(14)) for d in range(40) for _ in range(rng.choice((0, 3, 9, 20)))]
+    edges += [(50, i, i + 1) for i in range(60)] + [(None, 1, 2), (1, None, 2), (1, 2, None)]
+    nodes = [(d, n) for d in range(40) for n in range(12)] + [(50, i) for i in range(61)] + [(None, 1), (1, None), (1, 3), (1, 3)]
+    nodes, edges = spark.createDataFrame(nodes, "doc long, node long"), spark.createDataFrame(edges, "doc long, a long, b long")
+    found = []
+    for most, rows in ((0, 10), (40, 50), (100_000, 10), (100_000, 100_000)):
+        monkeypatch.setattr(graph, "DOCUMENT", most)
+        monkeypatch.setattr(graph, "ROWS", rows)
+        found.append(sorted(map(tuple, graph.audit_references(nodes, edges, "doc", "node", "a", "b", 8).collect()), key=str))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert {r[2] for r in found[0]} == {None, "cycle", "dangling", "too_deep"}
+
+
+def test_references_of_small_documents_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "peel", None)
+    nodes = spark.range(5).select(F.lit(1).alias("doc"), F.col("id").cast("string").alias("node"))
+    edges = spark.createDataFrame([(1, "0", "1"), (1, "1", "0"), (1, "2", "9")], "doc int, a string, b string")
+    got = graph.audit_references(nodes, edges, "doc", "node", "a", "b").collect()
+    assert sorted(map(tuple, got)) == [(1, "0", "cycle"), (1, "1", "cycle"), (1, "2", "dangling"), (1, "3", None), (1, "4", None)]
+
+
 def test_frames_of_a_folder(spark, tmp_path):
     import hashlib
 
