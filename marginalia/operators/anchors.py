@@ -11,7 +11,9 @@ from any revision to any later one by as many maps as the distance has binary
 digits, twice at most, without replaying what lies between.
 
 A level pairs neighbours by (document, place) and is written to the shared folder: a
-group has two maps, and a map's size is that of the edits in its span.
+group has two maps, and a map's size is that of the edits in its span. Documents of at most DOCUMENT
+edits and anchors need no tables of levels: `chained` deals each once, and a task makes the same
+maps and takes the same steps.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..sources.shared import keep
+from .replay import fold
 
 PIECE = "struct<node:string,lo:long,hi:long,to:string,shift:long>"
 LAST = 2**62
+#: Edits and anchors of a document that one task holds, at most.
+DOCUMENT = 50_000
 
 
 def position(offset: Column, affinity: Column) -> Column:
@@ -212,3 +217,73 @@ def resolve(anchors: DataFrame, spanned: DataFrame, doc: str, most: int) -> Data
         )
     there = F.col("to_node").isNotNull()
     return rows.select(*kept, "to_node", F.when(there, F.floor(F.col("_p") / 2).cast("long")).alias("to_offset"), F.when(there, F.when(F.col("_p") % 2 == 1, "forward").otherwise("backward")).alias("to_affinity"), F.when(~there, F.least("deleted_in", "upto")).alias("deleted_in"))
+
+
+def stacked(maps: dict[int, Map], levels: int) -> list[dict[int, Map]]:
+    """`spans` for one document's maps by place: those of each level."""
+    out = [maps]
+    for _ in range(levels):
+        below = out[-1]
+        out.append({place: compose(below.get(2 * place, {}), below.get(2 * place + 1, {})) for place in {p // 2 for p in below}})
+    return out
+
+
+def walked(spanned: list[dict[int, Map]], node: str | None, p: int | None, at: int | None, upto: int | None) -> tuple[str | None, int | None, int | None]:
+    """`resolve` for one anchor: node, position, and the last revision of the span that deleted it."""
+    if at is None or upto is None:
+        return node, p, None
+    top = len(spanned) - 1
+    for k, up in [*((k, True) for k in range(top)), *((k, False) for k in range(top, -1, -1))]:
+        size = 1 << k
+        if at + size > upto or at % size or (up and not at >> k & 1):
+            continue
+        parts = spanned[k].get(at >> k, {}).get(node) if p is not None else None
+        at += size
+        if parts:
+            i = bisect.bisect_right(parts, p, key=lambda x: x[0]) - 1
+            if i >= 0 and p <= parts[i][1]:
+                node, p = parts[i][2], p + parts[i][3]
+                if node is None:
+                    return None, p, at
+    return node, p, None
+
+
+def chained(anchors: DataFrame, edits: DataFrame, doc: str, revision: str, seq: str, pieces: str, most: int) -> DataFrame:
+    """What `resolve` gives for anchors over the `spans` of the `revisions` of edits; `most` is the last revision of any document."""
+    levels = max(1, (most - 1).bit_length())
+    kept = anchors.columns
+    empty = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
+    first = edits.select(doc, F.lit(0).alias("_phase"), F.col(revision).cast("long").alias("_r"), F.col(seq).cast("long").alias("_seq"), F.col(pieces).alias("_map"))
+    then = anchors.select(doc, F.lit(1).alias("_phase"), F.lit(None).cast("long").alias("_r"), F.lit(None).cast("long").alias("_seq"), empty(edits, pieces).alias("_map"), F.struct(*kept).alias("_a"))
+    rows = first.unionByName(then, allowMissingColumns=True)
+    large = keep(rows.groupBy(doc).count().where(F.col("count") > DOCUMENT).select(doc), "large")
+    some = not large.isEmpty()
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        maps: dict[int, Map] = {}
+        spanned = None
+        for row in rows:
+            if row["_phase"] == 0:
+                if row["_r"] is not None:
+                    place, own = row["_r"] - 1, by_node(row["_map"] or [])
+                    maps[place] = compose(maps[place], own) if place in maps else joined_all(own)
+                continue
+            if spanned is None:
+                spanned = stacked(maps, levels)
+            a = row["_a"]
+            p = None if a["offset"] is None or a["affinity"] is None else a["offset"] * 2 + (a["affinity"] == "forward")
+            node, p, gone = walked(spanned, a["node"], p, a["at"], a["upto"])
+            there = node is not None
+            affinity = "forward" if p is not None and p % 2 else "backward"
+            yield a | {"to_node": node, "to_offset": p // 2 if there and p is not None else None, "to_affinity": affinity if there else None, "deleted_in": min(gone, a["upto"]) if gone is not None else a["upto"] if not there else None}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in anchors.schema) + ", to_node string, to_offset long, to_affinity string, deleted_in long"
+    found = fold(rows.join(large, doc, "left_anti") if some else rows, doc, ["_phase", "_r", "_seq"], step, schema)
+    if not some:
+        return found
+    maps = revisions(edits.join(large, doc, "left_semi"), doc, revision, seq, F.col(pieces))
+    return found.unionByName(resolve(anchors.join(large, doc, "left_semi").select(*kept), spans(maps, doc, revision, most), doc, most))
+
+
+def joined_all(m: Map) -> Map:
+    return {node: joined(parts) for node, parts in m.items()}

@@ -61,5 +61,4 @@ def anchor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = rows.join(heads, "user_id").select(
         "user_id", e.alias("anchor"), F.concat(F.lit("n"), (e % 9).cast("string")).alias("node"), (e % 60).alias("offset"), F.when(e % 2 == 1, "forward").otherwise("backward").alias("affinity"), F.col("revision").alias("at"), upto.alias("upto")
     )
-    spanned = anchors.spans(anchors.revisions(edits_of(spark, sf_dir), "user_id", "revision", "seq", F.col("map")), "user_id", "revision", most)
-    return anchors.resolve(places, spanned, "user_id", most).select("anchor", "to_node", "to_offset", "to_affinity")
+    return anchors.chained(places, edits_of(spark, sf_dir), "user_id", "revision", "seq", "map", most).select("anchor", "to_node", "to_offset", "to_affinity")

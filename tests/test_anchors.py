@@ -134,3 +134,19 @@ def test_any_anchor_at_any_revision(spark, edits):
             there = there and moved(e, there)
         assert (there or (None, None, None)) == (r["to_node"], r["to_offset"], r["to_affinity"])
         assert (there is None) == (r["deleted_in"] is not None)
+
+
+def test_documents_in_one_task_and_by_levels_agree(spark, edits, monkeypatch):
+    rng = random.Random(8)
+    log = [(doc, r, seq, anchors.rows_of(rng.choice(edits)[1])) for doc in range(5) for r in range(1, 3 + 5 * doc) for seq in range(rng.choice((0, 1, 1, 3)))]
+    places = [(doc, *rng.choice(PLACES), at, rng.randrange(at, 26)) for doc in range(6) for at in [rng.randrange(24) for _ in range(30)]]
+    places += [(1, "s1", None, "forward", 0, 4), (1, "s1", 2, "backward", None, 4), (1, None, 2, "backward", 0, 4)]
+    log = spark.createDataFrame(log, f"doc long, revision long, seq long, map array<{anchors.PIECE}>").repartition(3)
+    table = spark.createDataFrame(places, "doc long, node string, offset long, affinity string, at long, upto long")
+    want = anchors.resolve(table, anchors.spans(anchors.revisions(log, "doc", "revision", "seq", F.col("map")), "doc", "revision", 22), "doc", 22)
+    want = sorted(map(tuple, want.collect()), key=str)
+    for most in (0, 45, 50_000):
+        monkeypatch.setattr(anchors, "DOCUMENT", most)
+        got = anchors.chained(table, log, "doc", "revision", "seq", "map", 22)
+        assert got.columns == [*table.columns, "to_node", "to_offset", "to_affinity", "deleted_in"]
+        assert sorted(map(tuple, got.collect()), key=str) == want, most
