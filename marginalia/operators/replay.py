@@ -219,6 +219,16 @@ class History:
         entry = self.entries[self.cursor]
         return entry, entry["forward"]
 
+    def follow(self, t: dict) -> None:
+        """What a transaction of the log does to the history."""
+        if t["effect"] in ("undo", "redo"):
+            entry, ops = self.undo() if t["effect"] == "undo" else self.redo()
+            if entry["request"] != t["entry"] or ops != t["forward"]:
+                raise Refused("history_conflict")
+            self.cursor += 1 if t["effect"] == "redo" else -1
+        else:
+            self.commit({"request": t["entry"], "forward": t["forward"], "before_hash": t["before_hash"], "after_hash": t["after_hash"]})
+
 
 def fold(rows: DataFrame, doc: str, order: list[str], step: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Each document's rows in order through `step`, which takes them one by one and gives rows; a task holds no more than a batch besides."""
@@ -270,7 +280,7 @@ TRANSACTION = f"doc_id long, request long, code string, revision long, effect st
 COMMAND = ("type", "place", "start", "length", "to", "kind", "text", "node")
 
 
-def commit(documents: DataFrame, commands: DataFrame, every: int = 0) -> DataFrame:
+def commit(documents: DataFrame, commands: DataFrame, every: int = 0, histories: bool = True) -> DataFrame:
     """The transactions that commands make of documents.
 
     documents: doc_id, blocks (an array in order), at revision 0. commands: doc_id, request
@@ -278,7 +288,8 @@ def commit(documents: DataFrame, commands: DataFrame, every: int = 0) -> DataFra
     within it), type (undo, redo, or that of an operation), place, start, length, to, kind,
     text, node. Each request gives a row: code is null and revision the new one, or
     code says why nothing was done. Every so many revisions, and at 0, the row has a snapshot;
-    revision 0 has a row of its own. Commands of an unknown document give none.
+    revision 0 has a row of its own. Commands of an unknown document give none. Without `histories` a snapshot's
+    entries are null, as the log has them: with them, snapshots of a long log are together as large as its square.
     """
     first = documents.select("doc_id", F.lit(-1).cast("long").alias("request"), F.lit(0).cast("long").alias("seq"), "blocks", *[F.lit(None).cast("string" if c in ("type", "kind", "text", "node") else "long").alias(c) for c in COMMAND])
     then = commands.select("doc_id", F.col("request").cast("long"), F.col("seq").cast("long"), F.lit(None).cast(f"array<{BLOCK}>").alias("blocks"), *[F.col(c).cast("string" if c in ("type", "kind", "text", "node") else "long").alias(c) for c in COMMAND])
@@ -289,7 +300,7 @@ def commit(documents: DataFrame, commands: DataFrame, every: int = 0) -> DataFra
             return
         history, revision = History(), 0
         out = {"doc_id": start["doc_id"], "request": None, "code": None, "revision": 0, "effect": "create", "entry": None, "forward": [], "before_hash": None}
-        snap = lambda: {"blocks": document.blocks(), "entries": list(history.entries), "cursor": history.cursor}
+        snap = lambda: {"blocks": document.blocks(), "entries": list(history.entries) if histories else None, "cursor": history.cursor}
         try:
             document = Document(start["blocks"])
         except Refused as e:
@@ -352,7 +363,8 @@ def recover(snapshots: DataFrame, log: DataFrame) -> DataFrame:
 
     snapshots: doc_id, revision, hash, blocks, entries, cursor. log: doc_id, revision, effect, entry,
     forward, before_hash, after_hash. Only what comes after the snapshot is
-    replayed; a log that ends with a snapshot needs none. Rows of one revision that are alike count once. What is wrong stops a document with a
+    replayed; a log that ends with a snapshot needs none. Where a snapshot's entries are null, they are those
+    that the log up to it leaves, which must be there from revision 1. Rows of one revision that are alike count once. What is wrong stops a document with a
     code, and it has no blocks: no_snapshot, revision_gap, revision_conflict (two transactions of a
     revision), hash_conflict (it isn't the one before's successor), hash_mismatch
     (it doesn't lead to the hash it says), history_conflict (an undo or redo that isn't the history's
@@ -372,10 +384,20 @@ def recover(snapshots: DataFrame, log: DataFrame) -> DataFrame:
         out |= {"base": first["revision"], "code": None}
         revision, replayed, now, last = first["revision"], 0, first["after_hash"], None
         try:
-            document, history = Document(first["blocks"]), History(first["entries"], first["cursor"])
+            told = first["entries"] is None and first["cursor"] is not None
+            document, history = Document(first["blocks"]), History() if told else History(first["entries"], first["cursor"])
+            below = 0
             for t in rows:
                 if t["revision"] <= first["revision"]:
+                    if told and t["revision"] != below:
+                        if t["revision"] != below + 1:
+                            raise Refused("revision_gap")
+                        history.follow(t)
+                        below += 1
                     continue
+                if told and (below, history.cursor) != (first["revision"], first["cursor"]):
+                    raise Refused("revision_gap" if below < first["revision"] else "history_conflict")
+                told = False
                 if last is not None and t["revision"] == revision:
                     if t != last:
                         raise Refused("revision_conflict")
@@ -384,18 +406,14 @@ def recover(snapshots: DataFrame, log: DataFrame) -> DataFrame:
                     raise Refused("revision_gap")
                 if t["before_hash"] != now:
                     raise Refused("hash_conflict")
-                if t["effect"] in ("undo", "redo"):
-                    entry, ops = history.undo() if t["effect"] == "undo" else history.redo()
-                    if entry["request"] != t["entry"] or ops != t["forward"]:
-                        raise Refused("history_conflict")
-                    history.cursor += 1 if t["effect"] == "redo" else -1
-                else:
-                    history.commit({"request": t["entry"], "forward": t["forward"], "before_hash": t["before_hash"], "after_hash": t["after_hash"]})
+                history.follow(t)
                 document.apply_all(t["forward"])
                 now = document.hash()
                 if now != t["after_hash"]:
                     raise Refused("hash_mismatch")
                 revision, replayed, last = t["revision"], replayed + 1, t
+            if told and (below, history.cursor) != (first["revision"], first["cursor"]):
+                raise Refused("revision_gap" if below < first["revision"] else "history_conflict")
         except Refused as e:
             yield out | {"code": e.args[0], "revision": revision, "replayed": replayed}
             return

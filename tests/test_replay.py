@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from marginalia.operators import replay
 
 TYPES = ["text", "text", "insert", "remove", "move", "kind", "split", "merge"]
@@ -160,3 +161,20 @@ def test_documents_and_commands_that_were_dealt_before(spark):
     commands = asked.select("doc_id", "request", F.lit(0).alias("seq"), F.lit("text").alias("type"), F.lit(0).alias("place"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("to"), F.lit("").alias("kind"), F.lit("x").alias("text"), F.lit("").alias("node"))
     done = replay.commit(documents.repartition(3, "doc_id"), commands.repartition(7, "doc_id"))
     assert done.where("code is null").groupBy("doc_id").agg(F.max("revision").alias("r")).where("r = 100").count() == 400
+
+
+def test_histories_that_only_the_log_has(made):
+    documents, commands, ends = made
+    done = replay.commit(documents, commands, 5, histories=False).cache()
+    snapshots, log = replay.snapshots_of(done), replay.log_of(done)
+    assert snapshots.where("entries is not null").isEmpty()
+    assert heads(replay.recover(snapshots, log.union(log))) == ends
+    codes = lambda log: {r["code"] for r in replay.recover(snapshots.where("revision > 0"), log).where("code is not null").collect()} - {"no_snapshot"}
+    assert codes(log) == set() and codes(log.where("revision > 2")) == {"revision_gap"} and codes(log.where("revision > 5")) == {"revision_gap"}
+    done.unpersist()
+
+
+@pytest.mark.parametrize("name", ["recover_blocks"])
+def test_commands_are_carried_out_once(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
