@@ -40,6 +40,7 @@ BUCKETS = 1 << 16
 #: A stem is toxic when its rate in toxic documents is LEAST_TIMES that in others, and chance has it so once in e**SURPRISE.
 LEAST_TIMES, SURPRISE = 25, 9.0
 BEGINNINGS = (3, 4, 5, 6, 7)
+MARKS = tuple(map(str, BEGINNINGS))
 WINDOW, STEPS, SEED = 7, 150, 3
 NONE = -12.0  # log-odds where there is no word
 EDGES = ".,;:!?|*#%&$()[]{}\"'<>-_=+/\\~`^@"
@@ -56,8 +57,8 @@ def stems(w: str) -> tuple[str, ...]:
 
 
 def features(w: str) -> list[int]:
-    names = ("w" + w, *(f"{k}" + w[:k] for k in BEGINNINGS), "e" + w[-3:], f"l{min(len(w), 12)}")
-    return [xxhash.xxh32_intdigest(n) % BUCKETS for n in names]
+    names = ("w" + w, *[n + w[:k] for k, n in zip(BEGINNINGS, MARKS)], "e" + w[-3:], f"l{min(len(w), 12)}")
+    return [h % BUCKETS for h in map(xxhash.xxh32_intdigest, names)]
 
 
 def toxic_stems(texts: list[list[str]], labels: np.ndarray) -> set[str]:
@@ -92,26 +93,47 @@ def passes(x: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def marginals(e: np.ndarray, first: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Log-odds of toxic at every position of texts laid end to end; first marks where each begins."""
+    """Log-odds of toxic at every position of texts laid end to end; first marks where each begins.
+
+    Messages are kept as odds, in which a step (`passes` and `passes_back` of their logarithm) is a quotient of two sums.
+    """
     n = len(e)
     if not n:
         return e
-    last = np.r_[first[1:], True]
-    forward, backward = e.copy(), np.zeros(n)
-    inner, before_last = np.flatnonzero(~first), np.flatnonzero(~last)
-    for at, value, step in ((inner, forward, -1), (before_last, backward, 1)):
-        on = at
-        while len(on):
-            if step < 0:
-                new = e[on] + passes(value[on - 1], a)
-            else:
-                new = passes_back(e[on + 1] + value[on + 1], a)
-            moved = np.abs(new - value[on]) > 1e-9
-            value[on] = new
-            touched = on[moved] - step
-            touched = touched[(touched >= 0) & (touched < n)]
-            on = touched[~(first if step < 0 else last)[touched]]
-    return forward + backward
+    own, t = np.exp(np.clip(e, -300, 300)), np.exp(a)
+    # what is passed on forward is a text's first odds at its beginning, backward nothing at its end
+    forward = settled(own, first, own, t[0, 1], t[1, 1], t[0, 0], t[1, 0])
+    last = np.r_[first[1:], True][::-1]
+    backward = settled(own[::-1], last, own[::-1], t[1, 0], t[1, 1], t[0, 0], t[0, 1])[::-1]
+    # the backward message includes its own word's odds
+    return np.log(forward) + np.log(backward) - np.clip(e, -300, 300)
+
+
+def settled(own: np.ndarray, first: np.ndarray, start: np.ndarray, p: float, q: float, r: float, s: float) -> np.ndarray:
+    """Odds x with x[i] = own[i] * (p + q * x[i - 1]) / (r + s * x[i - 1]), and start[i] where a text begins, iterated until none moves by 1e-9 of itself."""
+    x = start.copy()
+    inner = ~first[1:]
+    on = None  # all, until most have settled
+    while True:
+        if on is None:
+            before = x[:-1]
+            new = np.where(inner, own[1:] * (p + q * before) / (r + s * before), x[1:])
+            moved = np.abs(new - x[1:]) > 1e-9 * new
+            x[1:] = new
+            if 8 * np.count_nonzero(moved) > len(moved):
+                continue
+            on = np.flatnonzero(moved) + 1
+        else:
+            before = x[on - 1]
+            new = own[on] * (p + q * before) / (r + s * before)
+            moved = np.abs(new - x[on]) > 1e-9 * new
+            x[on] = new
+            on = on[moved]
+        on = on + 1
+        on = on[on < len(x)]
+        on = on[~first[on]]
+        if not len(on):
+            return x
 
 
 def passes_back(x: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -156,13 +178,13 @@ class Emissions(dict):
 
     def __init__(self, w: np.ndarray):
         super().__init__()
-        self.w = w
+        self.w = w.tolist()  # single numbers are read much faster from a list
 
     def __missing__(self, word: str) -> float:
         if len(self) > 200_000:
             self.clear()
         c = core(word)
-        self[word] = e = float(self.w[features(c)].sum()) if c else NONE
+        self[word] = e = sum(map(self.w.__getitem__, features(c))) if c else NONE
         return e
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, fingerprint, lines, lm, minhash, packing, quality, secrets, toxicity
@@ -488,3 +489,14 @@ def test_marginals():
             for i, t in enumerate(tags):
                 weight[i, t] += w
         assert toxicity.marginals(e, first, a) == pytest.approx(np.log(weight[:, 1] / weight[:, 0]), abs=1e-6)
+
+
+def test_emissions_of_many_words_are_cheap():
+    # new words are common in large corpora; a word's log-odds must not cost a numpy call
+    w = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    known = toxicity.Emissions(w)
+    for word in ("Hello,", "a", "...", "überaus!", "x" * 40):
+        c = toxicity.core(word)
+        assert known[word] == (pytest.approx(w[toxicity.features(c)].sum()) if c else toxicity.NONE)
+    assert isinstance(known.w, list) and type(known["Hello,"]) is float
+    assert toxicity.features("grimly") == [xxhash.xxh32_intdigest(n) % toxicity.BUCKETS for n in ("wgrimly", "3gri", "4grim", "5griml", "6grimly", "7grimly", "emly", "l6")]
