@@ -6,8 +6,8 @@
    and every term weighs something.
 2. The term space is reduced by a randomised SVD of the TF-IDF passages in one
    distributed pass: with a random matrix O, tasks sum A'(A O), and the small
-   factors (Nystroem) give the right singular vectors. It is fitted on at most
-   about SAMPLE_DOCS documents by hash; every passage is then looked at.
+   factors (Nystroem) give the right singular vectors. It is fitted on all distinct
+   passages of all documents, which are packed in the shared folder meanwhile.
 3. Every document passage (32 words, each 16 words) is compared by cosine with
    every passage of the benchmark; vectors are divided by the singular values.
    Beside them, an exact way that rests on no vector: a leak has PARAPHRASE of an
@@ -47,7 +47,7 @@ from .common import PACKED, U64, by_shard, discard, free, keep, mix64, pack, par
 
 WIDTH, STEP, ITEM_STEP = 32, 16, 8
 BUCKETS, RANK, RANGES = 1 << 12, 96, 16
-SAMPLE_DOCS, SEED = 10_000, 1
+SEED = 1
 COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.75
 LEAST, BLOCK, TERM_BITS = 6, 2000, 13
 #: Bytes of text of a block, which bounds what the driver collects and sends.
@@ -123,8 +123,8 @@ def distinct(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows[at], key
 
 
-def weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each term over all distinct passages, always above 0; 0 for filling."""
+def distinct_passages(docs: DataFrame) -> DataFrame:
+    """The distinct passages of all documents, one packed array of terms a shard, in the shared folder."""
     n_shards = 2 * partitions(docs.sparkSession)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,35 +136,47 @@ def weights(docs: DataFrame) -> np.ndarray:
             blobs = {s: pack(key[i], rows[i].reshape(-1)) for s, i in by_shard(key % U64(n_shards), n_shards)}
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], ["shard", "blob"])
 
-    def count(t: pa.Table) -> pa.Table:
+    def once(t: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in t.column("blob").to_pylist()]
-        rows, keys = distinct(np.concatenate([r for _, r in parts]).reshape(-1, WIDTH), np.concatenate([k for k, _ in parts]))
-        df = np.bincount(rows.reshape(-1), minlength=BUCKETS + 1)
-        df[BUCKETS] = len(keys)
-        return pa.Table.from_batches([parted(np.r_[df, np.zeros(RANGES - 1, np.int64)])])
+        rows, _ = distinct(np.concatenate([r for _, r in parts]).reshape(-1, WIDTH), np.concatenate([k for k, _ in parts]))
+        return pa.table({"shard": t.column("shard")[:1], "blob": pa.array([pack(rows.reshape(-1))], pa.binary())})
+
+    return keep(docs.select("text").mapInArrow(passages, PACKED).groupBy("shard").applyInArrow(once, PACKED), "passages")
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The passages of each shard of `distinct_passages`."""
+    for batch in batches:
+        for blob in batch.column(1):
+            yield unpack(blob.as_py())[0].reshape(-1, WIDTH)
+
 
-    total = summed(docs.select("text").mapInArrow(passages, PACKED).groupBy("shard").applyInArrow(count, PACKED))
+def weights(passages: DataFrame) -> np.ndarray:
+    """Inverse document frequency of each term over all distinct passages, always above 0; 0 for filling."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in shards_of(batches):
+            df = np.bincount(rows.reshape(-1), minlength=BUCKETS + 1)
+            df[BUCKETS] = len(rows)
+            yield parted(np.r_[df, np.zeros(RANGES - 1, np.int64)])
+
+    total = summed(passages.mapInArrow(count, PACKED))
     if not len(total):
         return np.zeros(BUCKETS + 1)
     df, n = total[:BUCKETS], total[BUCKETS]
     return np.r_[np.log((n + 2) / (df + 1)), 0.0]
 
 
-def latent(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Term vectors: right singular vectors over singular values, times idf, float32 (BUCKETS + 1, rank)."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+def latent(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Term vectors: right singular vectors of all distinct passages over singular values, times idf, float32 (BUCKETS + 1, rank)."""
     omega = np.random.default_rng(SEED).normal(size=(BUCKETS + 1, RANK)).astype(np.float32)
     omega[BUCKETS] = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, g = Terms(), np.zeros((RANK, BUCKETS + 1))
-        for (texts,) in text_chunks(batches, ["text"], 500_000):
-            flat, _ = padded([raw_words(t) for t in texts], terms, WIDTH)
-            rows = rows_of(flat)
+        g = np.zeros((RANK, BUCKETS + 1))
+        for rows in shards_of(batches):
             for i in range(0, len(rows), 2048):
-                r = rows[i : i + 2048]
+                r = rows[i : i + 2048].astype(np.int64)
                 a = idf[r]
                 a /= np.maximum(np.sqrt((a * a).sum(1, keepdims=True)), 1e-9)
                 y = np.einsum("nk,nkr->nr", a, omega[r])
@@ -172,7 +184,7 @@ def latent(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
                     g[c] += np.bincount(r.reshape(-1), (a * y[:, c, None]).reshape(-1), BUCKETS + 1)
         yield parted(g[:, :BUCKETS])
 
-    total = summed(picked.mapInArrow(run, PACKED))
+    total = summed(passages.mapInArrow(run, PACKED))
     g = total.reshape(RANK, BUCKETS).T if len(total) else np.zeros((BUCKETS, RANK))
     core = omega[:BUCKETS].astype(float).T @ g
     value, vector = np.linalg.eigh((core + core.T) / 2)
@@ -364,8 +376,10 @@ def in_blocks(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> DataFrame:
     """All columns of docs and what each document's text holds of the benchmark."""
     spark = docs.sparkSession
-    idf = weights(docs)
-    vectors = latent(docs, idf)
+    passages = distinct_passages(docs)
+    idf = weights(passages)
+    vectors = latent(passages, idf)
+    discard(passages)
     items = in_blocks(benchmark)
     blocks = [r["block"] for r in items.select("block").distinct().orderBy("block").collect()]
 

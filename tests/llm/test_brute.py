@@ -500,3 +500,16 @@ def test_emissions_of_many_words_are_cheap():
         assert known[word] == (pytest.approx(w[toxicity.features(c)].sum()) if c else toxicity.NONE)
     assert isinstance(known.w, list) and type(known["Hello,"]) is float
     assert toxicity.features("grimly") == [xxhash.xxh32_intdigest(n) % toxicity.BUCKETS for n in ("wgrimly", "3gri", "4grim", "5griml", "6grimly", "7grimly", "emly", "l6")]
+
+
+def test_vectors_are_fitted_on_all_passages(spark):
+    # 12,000 documents: more than a sample of 10,000 would take, some of them repeated
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(20))) for i in range(12_000)]
+    docs = spark.createDataFrame(rows + rows[:500], "doc_id long, text string").repartition(3)
+    passages = decontaminate.distinct_passages(docs)
+    terms = decontaminate.Terms()
+    want = np.unique(np.concatenate([decontaminate.rows_of(decontaminate.padded([decontaminate.raw_words(t)], terms, decontaminate.WIDTH)[0]) for _, t in rows]), axis=0)
+    got = np.concatenate([decontaminate.unpack(r["blob"])[0].reshape(-1, decontaminate.WIDTH) for r in passages.collect()])
+    assert len(got) == len(want) and np.array_equal(np.unique(got, axis=0), want)
+    idf = decontaminate.weights(passages)
+    assert idf.shape == (decontaminate.BUCKETS + 1,) and decontaminate.latent(passages, idf).shape[0] == decontaminate.BUCKETS + 1
