@@ -38,7 +38,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ WIDTH, STEP, ITEM_STEP = 32, 16, 8
 BUCKETS, RANK, RANGES = 1 << 12, 96, 16
 SEED = 1
 COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.8, 0.6, 0.75
-LEAST, BLOCK, TERM_BITS = 6, 2000, 13
+LEAST, BLOCK = 6, 2000
 #: Bytes of text of a block, which bounds what the driver collects and sends.
 BLOCK_BYTES = 8_000_000
 EDGES = b".,;:!?\"'()[]{}*#%&$|"
@@ -67,29 +66,90 @@ def tokens(text: str | None) -> list[bytes]:
     return stripped(raw_words(text))
 
 
-class Terms(dict):
-    """word as it stands -> its term, and above TERM_BITS its number in a vocabulary (0: not there); signs alone are filling."""
-
-    def __init__(self, vocabulary: dict[bytes, int] | None = None):
-        super().__init__()
-        self.vocabulary = vocabulary or {}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        w = word.strip(EDGES)
-        self[word] = t = xxhash.xxh64_intdigest(w) % BUCKETS | self.vocabulary.get(w, 0) << TERM_BITS if w else BUCKETS
-        return t
-
-
-def padded(per: list[list[bytes]], terms: Terms, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of texts laid end to end, each filled up to a whole number of steps with BUCKETS; and where each begins."""
-    sizes = np.array([-(-len(w) // step) * step for w in per], np.int64)
+#: What each byte is: of a word, of its edges (stripped from it), between words.
+INNER, EDGE, BLANK = 0, 1, 2
+KINDS = np.full(256, INNER, np.uint8)
+KINDS[list(EDGES)] = EDGE
+KINDS[list(b" \t\n\r\x0b\x0c")] = BLANK
+LETTERS = mix64(np.arange(1, 257, dtype=U64))
+BASE = 0xD1342543DE82EF95
+#: Words are hashed together by so many bytes of text.
+SLICE = 1 << 16
+
+
+class Terms:
+    """Hashes of words without a Python object for each, their terms, and their numbers in a vocabulary (hash -> number from 1; 0: not there)."""
+
+    def __init__(self, vocabulary: dict[int, int] | None = None):
+        self.known = np.array(sorted(vocabulary or {}), U64)
+        self.number = np.array([(vocabulary or {})[h] for h in self.known.tolist()], np.int32)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.known >> U64(44)] = True
+        self.powers, self.inverse = np.zeros(0, U64), np.zeros(0, U64)
+
+    def reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            self.powers, self.inverse = (np.multiply.accumulate(np.r_[U64(1), np.full(n - 1, x, U64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+    def hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word of lower-cased data begins, its hash as stripped, and whether anything is left of it.
+
+        A hash is the sum of the bytes' numbers times powers of BASE from the word's
+        begin: running sums over the text, less their value there, times the inverse power.
+        """
+        x = np.frombuffer(data, np.uint8)
+        kind = KINDS[x]
+        run = np.flatnonzero(np.r_[len(x) > 0, kind[1:] != kind[:-1]])
+        stop, what = np.r_[run[1:], len(x)][: len(run)], kind[run]
+        word = np.r_[False, what != BLANK, False]
+        begin, end = run[word[1:-1] & ~word[:-2]], stop[word[1:-1] & ~word[2:]]
+        start, inner = begin.copy(), what == INNER
+        left, right = np.flatnonzero(kind[start] == EDGE), np.flatnonzero(kind[end - 1] == EDGE)
+        start[left] = np.minimum(np.r_[run[inner], len(x)][np.searchsorted(run[inner], start[left])], end[left])
+        end[right] = np.maximum(np.r_[0, stop[inner]][np.searchsorted(stop[inner], end[right], "right")], start[right])
+        out = np.empty(len(start), U64)
+        cuts = np.searchsorted(begin, np.arange(0, len(x) + SLICE, SLICE)).tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            first, last = int(begin[lo]), int(end[lo:hi].max())
+            self.reach(last - first + 1)
+            sums = np.zeros(last - first + 1, U64)
+            np.cumsum(LETTERS[x[first:last]] * self.powers[: last - first], out=sums[1:])
+            s = start[lo:hi] - first
+            out[lo:hi] = mix64((sums[end[lo:hi] - first] - sums[s]) * self.inverse[s])
+        return begin, out, start < end
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash in the vocabulary."""
+        out = np.zeros(len(h), np.int32)
+        at = np.flatnonzero(self.maybe[h >> U64(44)])
+        place = np.searchsorted(self.known, h[at])
+        there = place < len(self.known)
+        at, place = at[there], place[there]
+        same = self.known[place] == h[at]
+        out[at[same]] = self.number[place[same]]
+        return out
+
+
+def terms_of(h: np.ndarray) -> np.ndarray:
+    return (h % U64(BUCKETS)).astype(np.int64)
+
+
+def padded(texts: list[str | None | list[bytes]], terms: Terms, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of texts (or of their words) laid end to end, each filled up to a whole number of steps with BUCKETS; where each begins, its words, and the words' numbers."""
+    data = [b" ".join(t) if isinstance(t, list) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+    begin, h, some = terms.hashes(b" ".join(data).lower())
+    bounds = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in data)]))
+    words = np.diff(bounds)
+    sizes = -(-words // step) * step
     starts = np.cumsum(sizes) - sizes
-    out = np.full(int(sizes.sum()), BUCKETS, np.int64)
-    for w, s in zip(per, starts.tolist()):
-        out[s : s + len(w)] = np.fromiter(map(terms.__getitem__, w), np.int64, len(w))
-    return out, starts
+    at = np.arange(len(h)) + np.repeat(starts - bounds[:-1], words)
+    flat, number = np.full(int(sizes.sum()), BUCKETS, np.int64), np.zeros(int(sizes.sum()), np.int32)
+    # signs alone are filling
+    flat[at] = np.where(some, terms_of(h), BUCKETS)
+    number[at[some]] = terms.numbers(h[some])
+    return flat, starts, words, number
 
 
 def rows_of(flat: np.ndarray) -> np.ndarray:
@@ -130,8 +190,7 @@ def distinct_passages(docs: DataFrame) -> DataFrame:
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for (texts,) in text_chunks(batches, ["text"]):
-            flat, _ = padded([raw_words(t) for t in texts], terms, WIDTH)
-            rows = rows_of(flat)
+            rows = rows_of(padded(texts, terms, WIDTH)[0])
             rows, key = distinct(rows.astype(np.uint16), mix64((mix64(rows.astype(U64)) * PLACES).sum(1, dtype=U64)))
             blobs = {s: pack(key[i], rows[i].reshape(-1)) for s, i in by_shard(key % U64(n_shards), n_shards)}
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], ["shard", "blob"])
@@ -216,14 +275,16 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], vectors: np.ndarray, idf: np.ndarray):
         self.vectors = vectors
         self.items = [(i, w) for i, t in items if (w := tokens(t))]
-        terms = Terms()
-        self.terms = [{terms[y] for y in w} for _, w in self.items]
+        hashed = Terms()
+        hashes = [hashed.hashes(b" ".join(w))[1] for _, w in self.items]
+        term = [terms_of(h) for h in hashes]
+        self.terms = [set(t.tolist()) for t in term]
         self.merged = [len(set(w)) - len(t) for (_, w), t in zip(self.items, self.terms)]
         found, own = [], []
         for k, (_, w) in enumerate(self.items):
             if len(w) < LEAST:
                 continue
-            x = vectors[np.array([terms[y] for y in w])]
+            x = vectors[term[k]]
             last = max(0, len(w) - WIDTH)
             for i in {*range(0, last + 1, ITEM_STEP), last}:
                 found.append(x[i : i + WIDTH].sum(0))
@@ -231,11 +292,12 @@ class Index:
         m = np.array(found, np.float32).reshape(len(found), vectors.shape[1])
         self.matrix = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).T
         self.own = np.array(own, np.int64)
-        self.vocabulary: dict[bytes, int] = {}
+        self.vocabulary: dict[int, int] = {}
         self.need = np.ones(len(self.items), np.int64)
         postings: list[list[int]] = [[]]
         for k, (_, w) in enumerate(self.items):
-            rarest = sorted(set(w), key=lambda y: (-idf[terms[y]], y))
+            own_hash = dict(zip(w, hashes[k].tolist()))
+            rarest = [own_hash[y] for y in sorted(own_hash, key=lambda y: (-idf[own_hash[y] % BUCKETS], y))]
             least = math.ceil(PARAPHRASE * len(rarest)) if len(w) >= LEAST else len(rarest)
             self.need[k] = max(1, least // 3) if len(w) >= LEAST else 1
             for y in rarest[: len(rarest) - least + int(self.need[k])]:
@@ -249,7 +311,8 @@ class Index:
 
     def passages(self, flat: np.ndarray) -> np.ndarray:
         """Vectors of the passages that begin at each step."""
-        steps = np.concatenate([self.vectors[flat[i : i + (1 << 15)]].reshape(-1, STEP, self.vectors.shape[1]).sum(1) for i in range(0, len(flat), 1 << 15)])
+        ones = np.ones((1, STEP), np.float32)
+        steps = np.concatenate([np.matmul(ones, self.vectors[flat[i : i + (1 << 11)]].reshape(-1, STEP, self.vectors.shape[1]))[:, 0] for i in range(0, len(flat), 1 << 11)])
         steps[:-1] += steps[1:]
         return steps / np.maximum(np.linalg.norm(steps, axis=1, keepdims=True), 1e-9)
 
@@ -289,29 +352,29 @@ class Index:
 
     def search(self, texts: list[str | None], terms: Terms) -> list[list[dict]]:
         """Leaks of each text, best alignment of each item."""
-        per = [raw_words(t) for t in texts]
-        found: list[dict[int, dict]] = [{} for _ in per]
-        if not self.items or not any(per):
-            return [[] for _ in per]
-        flat, starts = padded(per, terms, STEP)
-        number = flat >> TERM_BITS
-        flat &= (1 << TERM_BITS) - 1
+        found: list[dict[int, dict]] = [{} for _ in texts]
+        flat, starts, size, number = padded(texts, terms, STEP)
+        if not self.items or not len(flat):
+            return [[] for _ in texts]
         steps = self.passages(flat)
         pair = np.unique(np.concatenate([self.near(steps), self.sharing(number)]))
         if len(pair):
             step, item = np.divmod(pair, len(self.items))
-            full = np.flatnonzero([len(w) > 0 for w in per])
+            full = np.flatnonzero(size)
+            cut = (-1, [])
             doc = full[np.searchsorted(starts[full], step * STEP, "right") - 1]
             for s, k, d in zip(step.tolist(), item.tolist(), doc.tolist()):
                 number, words = self.items[k]
                 at = s * STEP - int(starts[d])
                 lo = max(0, at - len(words))
-                hi = min(len(per[d]), at + WIDTH + len(words))
+                hi = min(int(size[d]), at + WIDTH + len(words))
                 # terms first: words of one term count as one, so this lets through all that words would
                 near = self.terms[k].intersection(flat[starts[d] + lo : starts[d] + hi].tolist())
                 if len(near) < PARAPHRASE * len(self.terms[k]) - self.merged[k]:
                     continue
-                around = stripped(per[d][lo:hi])
+                if cut[0] != d:
+                    cut = d, raw_words(texts[d])
+                around = stripped(cut[1][lo:hi])
                 distinct = set(words)
                 if len(distinct.intersection(around)) < PARAPHRASE * len(distinct):
                     continue

@@ -513,3 +513,24 @@ def test_vectors_are_fitted_on_all_passages(spark):
     assert len(got) == len(want) and np.array_equal(np.unique(got, axis=0), want)
     idf = decontaminate.weights(passages)
     assert idf.shape == (decontaminate.BUCKETS + 1,) and decontaminate.latent(passages, idf).shape[0] == decontaminate.BUCKETS + 1
+
+
+def test_words_are_hashed_from_the_text_as_they_are_stripped(spark, monkeypatch):
+    # words had a Python object and a table's look-up each, which cost most of op2's time
+    texts = ["One, two (THREE) *** one\tTwo\x0b,three,", None, "", " \n ", "** .", "é, É a\u00a0b \x1c x", "w" * 300 + " end", *(f"n{i} n{i}." for i in range(400))]
+    for size in (64, 1 << 16):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        terms = decontaminate.Terms()
+        raw = [decontaminate.raw_words(t) for t in texts]
+        flat, starts, words, _ = decontaminate.padded(texts, terms, 16)
+        assert words.tolist() == [len(w) for w in raw]
+        assert np.array_equal(flat, decontaminate.padded(raw, terms, 16)[0]) and np.array_equal(starts, np.cumsum(-(-words // 16) * 16) - -(-words // 16) * 16)
+        begin, h, some = terms.hashes(b" ".join(w for ws in raw for w in ws))
+        of = {}
+        for w, x, kept in zip((w for ws in raw for w in ws), h.tolist(), some.tolist()):
+            core = w.strip(decontaminate.EDGES)
+            assert kept == bool(core) and (not kept or of.setdefault(core, x) == x)
+        assert len(set(of.values())) == len(of) == 410
+        known = decontaminate.Terms({of[b"two"]: 1, of[b"n7"]: 2})
+        _, starts, _, number = decontaminate.padded(texts, known, 16)
+        assert number[:7].tolist() == [0, 1, 0, 0, 0, 1, 0] and number[starts[14] : starts[14] + 3].tolist() == [2, 2, 0] and (number > 0).sum() == 4
