@@ -12,7 +12,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest of its neighbours and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,12 @@ def small_star(edges: DataFrame) -> DataFrame:
     return linked.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges to smaller nodes are stars: every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up + root > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all ends of edges (a, b long); component is the smallest node that can be reached.
 
@@ -33,14 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     now = keep(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark = None
     while True:
         before, now = now, keep(small_star(large_star(now)), "edges")
         discard(before)
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
+        if settled(now):
             break
-        mark = tuple(new)
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     alone = loops.join(found.union(roots), "node", "left_anti").select("node", F.col("node").alias("component"))

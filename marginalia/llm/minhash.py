@@ -147,7 +147,7 @@ MEMBER = "a long, b long"
 
 
 def linked(members: DataFrame, rule: Rule) -> DataFrame:
-    """Edges that connect the classes of each (family, task) group as all its links do.
+    """Edges from each component of a (family, task) group to the smallest that the group's links join it with.
 
     members: family, task, class, component, query, signature, full. Pairs of
     one component are skipped; where a group has query rows, so are pairs
@@ -156,14 +156,14 @@ def linked(members: DataFrame, rule: Rule) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("family", "ascending"), ("task", "ascending"), ("class", "ascending")])
-        fam, task, cls, comp, query = (t.column(c).to_numpy() for c in ("family", "task", "class", "component", "query"))
+        fam, task, comp, query = (t.column(c).to_numpy() for c in ("family", "task", "component", "query"))
         sig, full = t.column("signature"), t.column("full")
         starts = np.flatnonzero(np.r_[True, (fam[1:] != fam[:-1]) | (task[1:] != task[:-1])])
         out: list[tuple[int, int]] = []
         for lo, hi in zip(starts, np.r_[starts[1:], len(fam)]):
             if hi - lo < 2:
                 continue
-            c, q = cls[lo:hi], query[lo:hi]
+            q = query[lo:hi]
             s = np.frombuffer(b"".join(sig.slice(lo, hi - lo).to_pylist()), np.uint16).reshape(hi - lo, rule.k)
             rows = np.flatnonzero(q) if q.any() else np.arange(hi - lo)
             sets = [np.frombuffer(x, U64) for x in full.slice(lo, hi - lo).to_pylist()]
@@ -192,7 +192,7 @@ def linked(members: DataFrame, rule: Rule) -> DataFrame:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= rule.percent * (size[i] + size[j] - both):
                     top[max(x, y)] = min(x, y)
-                    out.append((c[i].item(), c[j].item()))
+            out += [(x, root(x)) for x in top if root(x) != x]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     groups = 8 * partitions(members.sparkSession)
@@ -234,7 +234,7 @@ def full_sets(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
-    """(node, component) of all classes that have a link."""
+    """(node, component), at least of all classes that aren't their component's smallest."""
     families = keep(components(star_edges(found, rule)), "families")
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block))
@@ -249,17 +249,22 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
 
     alone = F.col("class").alias("component"), F.lit(False).alias("query")
     first = joined(member.select("*", F.pmod(F.xxhash64("class"), "blocks").alias("task"), *alone))
+    # a class is in one block, so these are its block's components as they stand; those of families of one block are done
     if many.isEmpty():
-        return components(first)
+        return first.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    label = F.coalesce("b", "class").alias("component")
+    labels = keep(member.select("family", "class", "blocks").join(first, F.col("class") == F.col("a"), "left").select("family", "class", "blocks", label), "labels")
+    done = labels.where("blocks = 1").select(F.col("class").alias("node"), "component")
 
-    def labelled(edges: DataFrame) -> DataFrame:
-        c = components(edges)
-        return many.join(c.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).withColumn("query", F.lit(False))
+    def merged(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """rows with their components joined as the edges between components say."""
+        c = components(edges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        return rows.join(c, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
 
     task = F.pmod(F.xxhash64("class", F.lit(1)), "blocks")
-    second = joined(labelled(first).withColumn("task", task))
-    edges = first.union(second)
-    rows = keep(labelled(edges).select("family", "class", "component", "query", "blocks"), "labels")
+    some = labels.where("blocks > 1").withColumn("query", F.lit(False))
+    second = joined(some.withColumn("task", task).join(many.select("class", "signature", "full"), "class"))
+    rows = keep(merged(some, second).select("family", "class", "component", "query", "blocks"), "labels")
     largest = rows.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rest = rows.join(largest, "family").where("component <> largest").drop("largest")
     chunks = rest.groupBy("family").agg(F.ceil(F.count("*") / block).alias("chunks"))
@@ -270,7 +275,7 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
     there = there.join(asked.select("class", "block", "chunk"), ["class", "block", "chunk"], "left_anti")
     cols = ["family", "class", "component", "query", F.concat_ws(":", "block", "chunk").alias("task")]
     last = asked.select(cols).unionByName(there.select(cols)).join(member.select("class", "signature", "full"), "class")
-    return components(edges.union(joined(last)))
+    return done.union(merged(rows, joined(last)).select("class", "component"))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block: int = BLOCK) -> DataFrame:
