@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions, shingles, text_chunks, unpack, words
+from .common import PACKED, U64, Hashes, by_shard, keep, mix64, pack, partitions, shingles, side, text_chunks, unpack, words
 from .components import components
 
 BLOCK = 1024
@@ -236,12 +236,13 @@ def full_sets(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """(node, component), at least of all classes that aren't their component's smallest."""
     families = keep(components(star_edges(found, rule)), "families")
+    n = families.count()
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block))
-    member = keep(families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(sizes, "family"), "member")
-    one = found.join(member.select("class"), "class", "left_semi").groupBy("class").agg(F.first("signature").alias("signature"))
+    member = keep(families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(side(sizes, n), "family"), "member")
+    one = found.join(side(member.select("class"), n), "class", "left_semi").groupBy("class").agg(F.first("signature").alias("signature"))
     full = full_sets(docs, rule, member.select("class")).join(member.select("class").hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("full").alias("full"))
-    member = keep(member.join(one, "class").join(full, "class"), "members")
+    member = keep(member.join(side(one, n), "class").join(side(full, n), "class"), "members")
     many = member.where("blocks > 1")
 
     def joined(rows: DataFrame) -> DataFrame:
@@ -251,19 +252,19 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
     first = joined(member.select("*", F.pmod(F.xxhash64("class"), "blocks").alias("task"), *alone))
     # a class is in one block, so these are its block's components as they stand; those of families of one block are done
     if many.isEmpty():
-        return first.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return side(first.select(F.col("a").alias("node"), F.col("b").alias("component")), n)
     label = F.coalesce("b", "class").alias("component")
-    labels = keep(member.select("family", "class", "blocks").join(first, F.col("class") == F.col("a"), "left").select("family", "class", "blocks", label), "labels")
+    labels = keep(member.select("family", "class", "blocks").join(side(first, n), F.col("class") == F.col("a"), "left").select("family", "class", "blocks", label), "labels")
     done = labels.where("blocks = 1").select(F.col("class").alias("node"), "component")
 
     def merged(rows: DataFrame, edges: DataFrame) -> DataFrame:
         """rows with their components joined as the edges between components say."""
         c = components(edges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        return rows.join(c, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+        return rows.join(side(c, n), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
 
     task = F.pmod(F.xxhash64("class", F.lit(1)), "blocks")
     some = labels.where("blocks > 1").withColumn("query", F.lit(False))
-    second = joined(some.withColumn("task", task).join(many.select("class", "signature", "full"), "class"))
+    second = joined(some.withColumn("task", task).join(side(many.select("class", "signature", "full"), n), "class"))
     rows = keep(merged(some, second).select("family", "class", "component", "query", "blocks"), "labels")
     largest = rows.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rest = rows.join(largest, "family").where("component <> largest").drop("largest")
@@ -272,10 +273,10 @@ def links(docs: DataFrame, found: DataFrame, rule: Rule, block: int = BLOCK) ->
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = rest.join(chunks, "family").withColumn("query", F.lit(True)).withColumn("chunk", chunk).withColumn("block", every("blocks"))
     there = rows.join(chunks, "family").withColumn("block", task).withColumn("chunk", every("chunks"))
-    there = there.join(asked.select("class", "block", "chunk"), ["class", "block", "chunk"], "left_anti")
+    there = there.join(side(asked.select("class", "block", "chunk"), n), ["class", "block", "chunk"], "left_anti")
     cols = ["family", "class", "component", "query", F.concat_ws(":", "block", "chunk").alias("task")]
-    last = asked.select(cols).unionByName(there.select(cols)).join(member.select("class", "signature", "full"), "class")
-    return done.union(merged(rows, joined(last)).select("class", "component"))
+    last = asked.select(cols).unionByName(there.select(cols)).join(side(member.select("class", "signature", "full"), n), "class")
+    return side(done.union(merged(rows, joined(last)).select("class", "component")), n)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block: int = BLOCK) -> DataFrame:
@@ -285,7 +286,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), block: int = BLOCK) ->
     some, none = found.where("class is not null").select(names), found.where("class is null").select(names)
     rows = some.join(links(docs, found, rule, block).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(ids, "component")
+    out = rows.join(side(ids, found.count()), "component")
     # rows without shingles meet no join, so that many of them are no single task's
     alone = none.select(*names, F.col("class").alias("component"), F.col("doc_id").alias("component_id"))
     out = out.select(*alone.columns).union(alone)
